@@ -8,9 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.compaction import compact
+from ..operators.hierarchy import hierarchies
 from ..session import table
 
 
+def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Every expression with its root, depth and interval of descendants along first parents."""
+    first = table(spark, d, "archive_records").groupBy("expr_id").agg(F.min_by(F.get("parents", F.lit(0)), "line_no").alias("parent"))
+    return hierarchies(spark, first, "expr_id", "parent")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Root and depth of every expression; a lineage that never ends has root 'cycle' and depth -1."""
+    return p4_hierarchy(spark, d).select("expr_id", F.coalesce("root_id", F.lit("cycle")).alias("root_id"), "depth")
+
+
 def _compacted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     done = table(spark, d, "book_files").filter(~F.col("path").endswith(".tmp")).select("file_id", "path").distinct()
     book = table(spark, d, "book_top10")
@@ -24,10 +36,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p4_hierarchy": p4_hierarchy,
     "p5_found": p5_found,
 }
 
 SQL: dict[str, str] = {
+    "p4_found": """
+        WITH RECURSIVE f AS (SELECT expr_id, arg_min({'p': parents[1]}, line_no).p AS p FROM archive_records GROUP BY expr_id),
+        g AS (SELECT f.expr_id, CASE WHEN f.p IN (SELECT expr_id FROM f) THEN f.p END AS p FROM f),
+        r AS (SELECT expr_id, expr_id AS root_id, CAST(0 AS BIGINT) AS depth FROM g WHERE p IS NULL
+              UNION ALL SELECT g.expr_id, r.root_id, r.depth + 1 FROM g JOIN r ON g.p = r.expr_id)
+        SELECT expr_id, root_id, depth FROM r
+        UNION ALL SELECT expr_id, 'cycle', -1 FROM g WHERE expr_id NOT IN (SELECT expr_id FROM r)""",
     "p5_found": """
         SELECT DISTINCT snap_id FROM book_top10
         WHERE file_id IN (SELECT file_id FROM book_files WHERE path NOT LIKE '%.tmp')""",
