@@ -9,9 +9,20 @@ from pyspark.sql import functions as F
 
 from ..operators.compaction import compact
 from ..operators.hierarchy import hierarchies
+from ..operators.spikes import flag_readings
 from ..session import table
 
 
+def p1_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Every bar with what is wrong with it."""
+    return flag_readings(table(spark, d, "bars"), ["venue", "product_id"])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The bars that are impossible, a spike or stuck."""
+    return p1_flags(spark, d).filter("impossible OR spike OR stuck").select("bar_id")
+
+
 def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """Every expression with its root, depth and interval of descendants along first parents."""
     first = table(spark, d, "archive_records").groupBy("expr_id").agg(F.min_by(F.get("parents", F.lit(0)), "line_no").alias("parent"))
@@ -36,6 +47,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_flags": p1_flags,
     "p4_found": p4_found,
     "p4_hierarchy": p4_hierarchy,
     "p5_found": p5_found,
