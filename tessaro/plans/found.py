@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.compaction import compact
+from ..operators.gridfill import regular_grid
 from ..operators.hierarchy import hierarchies
 from ..operators.spikes import flag_readings
 from ..session import table
@@ -46,12 +47,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _compacted(spark, d)[0].select("snap_id")
 
 
+def p6_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Close and volume of every source for every minute of its capture runs."""
+    return regular_grid(table(spark, d, "bars"), table(spark, d, "capture_runs"), ["venue", "product_id"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The absent minutes."""
+    return p6_grid(spark, d).filter("absent").select("venue", "product_id", F.unix_seconds("minute").alias("minute_s"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_flags": p1_flags,
     "p4_found": p4_found,
     "p4_hierarchy": p4_hierarchy,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_grid": p6_grid,
 }
 
 SQL: dict[str, str] = {
@@ -65,4 +78,10 @@ SQL: dict[str, str] = {
     "p5_found": """
         SELECT DISTINCT snap_id FROM book_top10
         WHERE file_id IN (SELECT file_id FROM book_files WHERE path NOT LIKE '%.tmp')""",
+    "p6_found": """
+        WITH g AS (
+            SELECT DISTINCT venue, product_id, unnest(range(epoch_us(started_at) // 60000000, epoch_us(ended_at) // 60000000)) AS m FROM capture_runs),
+        b AS (SELECT DISTINCT venue, product_id, epoch_us("timestamp") // 60000000 AS m FROM bars
+              WHERE NOT isnan(open) AND NOT isnan(high) AND NOT isnan(low) AND NOT isnan(close))
+        SELECT venue, product_id, m * 60 AS minute_s FROM g ANTI JOIN b USING (venue, product_id, m)""",
 }
