@@ -14,12 +14,15 @@ scale, how often it repeats itself by nature) is aggregated before.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import whole_cells
+
 FIELDS = ("open", "high", "low", "close", "volume")
 #: Limits in units of the usual bar-to-bar change, and the weights of a new value.
 PRICE_LIMIT, VOLUME_LIMIT, LEVEL_WEIGHT, SCALE_WEIGHT = 14.0, 7.5, 0.5, 0.05
@@ -97,11 +100,11 @@ def _held_runs(beyond: np.ndarray) -> np.ndarray:
     return out
 
 
-def spiked(rows: pd.DataFrame, price_scale: float, volume_scale: float) -> np.ndarray:
+def spiked(rows: dict[str, np.ndarray], price_scale: float, volume_scale: float) -> np.ndarray:
     """Which rows of one unbroken stretch, in order, hold a spike."""
     with np.errstate(all="ignore"):
-        log = {f: np.log(np.where(rows[f].to_numpy(float) > 0, rows[f].to_numpy(float), np.nan)) for f in FIELDS}
-    bad = rows["bad"].to_numpy(bool)
+        log = {f: np.log(np.where(rows[f] > 0, rows[f], np.nan)) for f in FIELDS}
+    bad = rows["bad"]
     close = np.where(bad, np.nan, log["close"])
     before, after, scale, spike = _two_sided(close, price_scale, PRICE_LIMIT, LEVEL_WEIGHT)
     good = np.where(spike, np.nan, close)
@@ -115,10 +118,10 @@ def spiked(rows: pd.DataFrame, price_scale: float, volume_scale: float) -> np.nd
     return spike | _held_runs(over) | _held_runs(under) | loud
 
 
-def repeats(rows: pd.DataFrame, fields: list[str]) -> np.ndarray:
+def repeats(rows: dict[str, np.ndarray], fields: list[str]) -> np.ndarray:
     """Which rows are part of a series of STUCK_REPEATS or more repeats of all the fields, without its first."""
-    x = rows[fields].to_numpy(float)
-    same = np.zeros(len(rows), bool)
+    x = np.column_stack([rows[f] for f in fields])
+    same = np.zeros(len(x), bool)
     same[1:] = (x[1:] == x[:-1]).all(axis=1)
     edges = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
     for start, end in zip(edges[::2], edges[1::2]):
@@ -127,41 +130,48 @@ def repeats(rows: pd.DataFrame, fields: list[str]) -> np.ndarray:
     return same
 
 
-def _judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["minute", "place", "bar_id"], kind="stable").reset_index(drop=True)
-    usual = rows.iloc[0]
-    spike, stuck = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
-    newest = rows["newest"].to_numpy(bool)
+def _judge(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Spikes and stuck readings among one source's rows of one stretch, in order."""
+    n = len(rows["us"])
+    spike, stuck = np.zeros(n, bool), np.zeros(n, bool)
+    newest = rows["newest"]
     # The newest delivery of each stamp makes the chart; an earlier one is judged in its place.
-    slots = rows[newest].reset_index(drop=True)
-    parts = np.split(np.arange(len(slots)), np.flatnonzero(np.diff(slots["us"].to_numpy()) > GAP_US) + 1)
+    slots = {f: rows[f][newest] for f in ("us", "bad", *FIELDS)}
+    ends = [0, *(np.flatnonzero(np.diff(slots["us"]) > GAP_US) + 1), len(slots["us"])]
 
-    def judge(table: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        out = [spiked(table.iloc[p], usual["price_scale"], usual["volume_scale"]) for p in parts if len(p)]
-        kept = np.zeros(len(table), bool)
-        if usual["price_moves"]:
+    def judge(table: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        out = [spiked({f: x[a:b] for f, x in table.items()}, rows["price_scale"][0], rows["volume_scale"][0]) for a, b in zip(ends, ends[1:])]
+        kept = np.zeros(len(table["us"]), bool)
+        if rows["price_moves"][0]:
             kept |= repeats(table, ["high", "low", "close"])
-        if usual["volume_moves"]:
-            kept |= repeats(table, ["volume"]) & (table["volume"].to_numpy(float) != 0)
-        return np.concatenate(out) if out else np.zeros(0, bool), kept
+        if rows["volume_moves"][0]:
+            kept |= repeats(table, ["volume"]) & (table["volume"] != 0)
+        return np.concatenate(out), kept
 
     spike[newest], stuck[newest] = judge(slots)
     older = np.flatnonzero(~newest)
     if len(older):
-        at = {us: i for i, us in enumerate(slots["us"])}
+        at = {us: i for i, us in enumerate(slots["us"].tolist())}
         # One pass per rank of delivery; a stamp rarely has more than two.
-        for turn in sorted(set(rows["turn"].to_numpy()[older])):
-            mine = older[rows["turn"].to_numpy()[older] == turn]
-            where = np.array([at[us] for us in rows["us"].to_numpy()[mine]])
-            variant = slots.copy()
-            for f in (*FIELDS, "bad"):
-                column = slots[f].to_numpy().copy()
-                column[where] = rows[f].to_numpy()[mine]
-                variant[f] = column
+        for turn in np.unique(rows["turn"][older]):
+            mine = older[rows["turn"][older] == turn]
+            # A stamp's newest delivery is in the same stretch: both are cut by the stamp.
+            where = np.array([at[us] for us in rows["us"][mine].tolist()])
+            variant = dict(slots)
+            for f in ("bad", *FIELDS):
+                variant[f] = slots[f].copy()
+                variant[f][where] = rows[f][mine]
             a, b = judge(variant)
             spike[mine], stuck[mine] = a[where], b[where]
-    out = pd.DataFrame({"bar_id": rows["bar_id"], "spike": spike, "stuck": stuck})
-    return out[rows["own"].to_numpy(bool)]
+    return spike, stuck
+
+
+def _judge_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows, cuts in whole_cells(batches):
+        table = {c: rows[c].to_numpy() for c in rows.columns if c != "cell"}
+        parts = [_judge({c: x[a:b] for c, x in table.items()}) for a, b in zip(cuts, cuts[1:])]
+        out = pd.DataFrame({"bar_id": table["bar_id"], "impossible": table["bad"], "spike": np.concatenate([p[0] for p in parts]), "stuck": np.concatenate([p[1] for p in parts])})
+        yield out[table["own"]]
 
 
 def flag_readings(bars: DataFrame, source: list[str]) -> DataFrame:
@@ -183,14 +193,13 @@ def flag_readings(bars: DataFrame, source: list[str]) -> DataFrame:
     ).filter("bar_id IS NOT NULL").dropDuplicates(["bar_id"])
     rows = rows.withColumn("bad", impossible())
     usable = rows.dropna(subset=[*key, "us"])
-    # Deliveries of one stamp: a window over keys that are nearly unique.
-    stamp = Window.partitionBy(*key, "us")
+    # Deliveries of one stamp share their stretch, so one exchange serves this window and the next.
+    usable = usable.withColumn("stretch", F.floor(F.col("us") / STRETCH_US)).repartition(*key, "stretch")
+    stamp = Window.partitionBy(*key, "stretch", "us")
     turn = F.row_number().over(stamp.orderBy(F.col("came").asc_nulls_first(), "bar_id"))
     usable = usable.withColumns({"turn": turn, "place": F.min("bar_id").over(stamp), "last": F.count("*").over(stamp)})
     usable = usable.withColumn("newest", F.col("turn") == F.col("last")).drop("last").withColumn("minute", F.floor(F.col("us") / 60_000_000))
     # The source's own usual behaviour, over all its bars: changes from bar to bar within stretches.
-    stretch = F.floor(F.col("us") / STRETCH_US)
-    usable = usable.withColumn("stretch", stretch)
     along = Window.partitionBy(*key, "stretch").orderBy("minute", "place", "bar_id")
     log = lambda c: F.when(~F.col("bad") & (F.col(c) > 0) & ~F.isnan(c), F.ln(c))
     step = usable.filter("newest").select(
@@ -212,7 +221,9 @@ def flag_readings(bars: DataFrame, source: list[str]) -> DataFrame:
     # A stretch takes the bars of its neighbours' edges along as warm-up.
     first, last = F.floor((F.col("us") - WARM_UP_US) / STRETCH_US), F.floor((F.col("us") + WARM_UP_US) / STRETCH_US)
     charted = usable.join(usual, key).withColumn("at", F.explode(F.sequence(first, last))).withColumn("own", F.col("at") == F.col("stretch"))
-    judged = charted.groupBy(*key, "at").applyInPandas(_judge, "bar_id bigint, spike boolean, stuck boolean")
-    return rows.select("bar_id", F.col("bad").alias("impossible")).join(judged, "bar_id", "left").select(
-        "bar_id", "impossible", F.coalesce("spike", F.lit(False)).alias("spike"), F.coalesce("stuck", F.lit(False)).alias("stuck")
-    )
+    charted = charted.withColumn("cell", F.xxhash64(*key, "at")).repartition("cell").sortWithinPartitions(*key, "at", "minute", "place", "bar_id")
+    needed = ["cell", "bar_id", "us", "turn", "newest", "own", "bad", *FIELDS, "price_scale", "volume_scale", "price_moves", "volume_moves"]
+    judged = charted.select(*needed).mapInPandas(_judge_sorted, "bar_id bigint, impossible boolean, spike boolean, stuck boolean")
+    never = F.lit(False)
+    outside = rows.filter(F.col("us").isNull() | F.array_contains(F.array(*(F.col(k).isNull() for k in key)), True))
+    return judged.unionByName(outside.select("bar_id", F.col("bad").alias("impossible"), never.alias("spike"), never.alias("stuck")))
