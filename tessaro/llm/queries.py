@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .mojibake import restore
 from .neartime import replay_nearest, tagged
 from .topn import top_n_per_group
 
@@ -40,10 +41,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_nearest(spark, d).filter("snap_id IS NOT NULL").select("trade_id", "snap_id")
 
 
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with whether it was garbled, its text restored where possible, and the chains that were undone."""
+    return restore(spark, table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with a sentence that was read with the wrong encoding."""
+    return p9_restored(spark, d).filter("garbled").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_nearest": p3_nearest,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 
 _NEAREST = """
