@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .encode import decode, encode, vocabulary_file
 from .mojibake import restore
 from .neartime import replay_nearest, tagged
+from .packing import pack, token_sizes
 from .topn import top_n_per_group
 
 SCORED = ("noise", "redundant", "unstable", "candidate")
@@ -41,6 +43,27 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_nearest(spark, d).filter("snap_id IS NOT NULL").select("trade_id", "snap_id")
 
 
+VOCABULARY = "byte_bpe_50k"
+CAPACITY = 2048
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The token ids of every document."""
+    return encode(table(spark, d, "documents"), vocabulary_file(VOCABULARY))
+
+
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with whether its decoded ids give its text again; a null text comes back empty."""
+    back = decode(p7_ids(spark, d), vocabulary_file(VOCABULARY)).withColumnRenamed("text", "back")
+    return table(spark, d, "documents").join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of a document with its container of 2,048 tokens."""
+    sizes = token_sizes(table(spark, d, "documents"), vocabulary_file(VOCABULARY))
+    return pack(spark, sizes, CAPACITY)[0]
+
+
 def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     """Every document with whether it was garbled, its text restored where possible, and the chains that were undone."""
     return restore(spark, table(spark, d, "documents"))
@@ -55,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_nearest": p3_nearest,
+    "p7_ids": p7_ids,
+    "p7_round_trip": p7_round_trip,
+    "p8_containers": p8_containers,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }
@@ -74,6 +100,7 @@ _NEAREST = """
                      CASE WHEN least(b_gap, a_gap) <= 2000000 THEN least(b_gap, a_gap) END AS gap_us FROM a)"""
 
 SQL: dict[str, str] = {
+    "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
     "p3_found": _NEAREST + " SELECT trade_id, snap_id FROM p WHERE snap_id IS NOT NULL",
     "p3_nearest": _NEAREST + " SELECT trade_id, snap_id, gap_us FROM p",
     "p2_found": """
