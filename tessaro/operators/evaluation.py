@@ -1,0 +1,88 @@
+"""How well a factor ranks what follows: gated rank correlations and their bands."""
+
+from __future__ import annotations
+
+import math
+from statistics import NormalDist
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.safe import EPS, sdiv, sln
+from ..plans.compiler import along
+
+MIN_PAIRS, MIN_EFFECTIVE = 30, 8
+
+
+def forward_returns(close: Column, h: int) -> Column:
+    """ln(close h bars on / close)."""
+    return sln(sdiv(F.lead(close, h).over(along()), close))
+
+
+def midranks(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Each column's rank within its group, ties sharing the middle."""
+    for c in columns:
+        w = Window.partitionBy(*by)
+        df = df.withColumn(f"rank_{c}", F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2)
+    return df
+
+
+def correlation_of(x: str, y: str) -> Column:
+    """Pearson's correlation as an aggregate; null for a constant leg or fewer than three rows."""
+    vx, vy, n = F.var_pop(x), F.var_pop(y), F.count("*")
+    r = F.try_divide(F.covar_pop(x, y), F.sqrt(vx) * F.sqrt(vy))
+    return F.when((n >= 3) & (vx * n >= EPS) & (vy * n >= EPS), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
+def spearman(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
+    """(by..., n, rho) over the rows where both are known; groups without such a row don't come out."""
+    known = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = midranks(known, by, [x, y])
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation_of(f"rank_{x}", f"rank_{y}").alias("rho"))
+
+
+def gated(rho: Column, n: Column, h: Column) -> Column:
+    """Null below the least pairs, or where overlapping horizons leave too few independent ones."""
+    enough = (n >= MIN_PAIRS) & ((h <= 1) | (F.floor(n / h) >= MIN_EFFECTIVE))
+    return F.when(enough, F.round(rho, 4))
+
+
+def information(long: DataFrame, horizons: list[int], by: list[str]) -> DataFrame:
+    """(by..., h, n, n_eff, ic) of rows (by..., product_id, bar_idx, x, close); refusals keep their counts."""
+    pairs = long.withColumn("hy", F.array(*(F.struct(F.lit(h).alias("h"), forward_returns(F.col("close"), h).alias("y")) for h in horizons)))
+    pairs = pairs.select(*by, "x", F.inline("hy"))
+    out = spearman(pairs, [*by, "h"])
+    n_eff = F.floor(F.col("n") / F.col("h"))
+    return out.select(*by, "h", "n", n_eff.alias("n_eff"), gated(F.col("rho"), F.col("n"), F.col("h")).alias("ic"))
+
+
+def self_correlation(long: DataFrame, by: list[str]) -> DataFrame:
+    """Rank correlation of a series with itself one bar earlier."""
+    pairs = long.withColumn("y", F.lag("x").over(along()))
+    return spearman(pairs, by).select(*by, "n", F.round("rho", 4).alias("rho"))
+
+
+def correlation_matrix(long: DataFrame, name: str = "factor_id") -> DataFrame:
+    """(product_id, id_i, id_j, n, rho) for each pair of factors, ranks taken over the pair's joint bars."""
+    a = long.select("product_id", "bar_idx", F.col(name).alias("id_i"), F.col("x"))
+    b = long.select("product_id", "bar_idx", F.col(name).alias("id_j"), F.col("x").alias("y"))
+    pairs = a.join(b, ["product_id", "bar_idx"]).filter("id_i < id_j")
+    return spearman(pairs, ["product_id", "id_i", "id_j"]).withColumn("rho", gated(F.col("rho"), F.col("n"), F.lit(1)))
+
+
+def kappa(samples: DataFrame, by: list[str]) -> DataFrame:
+    """Root mean square of abs_ic * sqrt(n - 1): 1 on random walks."""
+    z = F.col("abs_ic") * F.sqrt(F.col("n") - 1)
+    return samples.filter("n >= 2 AND abs_ic IS NOT NULL").groupBy(*by).agg(F.sqrt(F.avg(z * z)).alias("kappa"), F.count("*").alias("samples"))
+
+
+def deflated_threshold(n: int, trials: int, *, kappa: float = 1.0, q: float = 0.95) -> float:
+    """The absolute correlation that the best of so many trials on n pairs exceeds by chance with probability 1 - q."""
+    z = NormalDist().inv_cdf((1 + q ** (1 / max(1, trials))) / 2)
+    return kappa * z / math.sqrt(max(1, n - 1))
+
+
+def holdout_p_value(ic: float, n: int, sign: int, k: int) -> float:
+    """One-sided p of a correlation in the predicted direction, adjusted for k looks."""
+    p = 1 - NormalDist().cdf(sign * ic * math.sqrt(max(1, n - 1)))
+    return 1 - (1 - p) ** max(1, k)

@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import found
+from . import factor_queries, found
+
+_MODULES = (found, factor_queries)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factor_queries.QUERIES["ic_flagship"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(found.QUERIES)
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(found.SQL)
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
