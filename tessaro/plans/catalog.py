@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import factor_queries, found
+from . import factor_queries, found, measure_queries
 
-_MODULES = (found, factor_queries)
+_MODULES = (found, factor_queries, measure_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
