@@ -1,0 +1,186 @@
+"""A closed factor search: propose, judge against the trials made so far, learn, and touch the holdout once.
+
+Proposal follows verdict, so the loop runs on the driver, one expression after the other; what is
+measured is a Spark job over the bars. Batches are judged together only where order doesn't
+matter: the seeds, and the finalists' costs.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import math
+import random
+from dataclasses import asdict, dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans import expr
+from ..plans.compiler import evaluate
+from . import evaluation as ev
+
+FAMILIES = {"momentum": "delta(close, 20) / delay(close, 20)", "reversal": "-1 * delta(close, 1)", "volatility": "stddev(returns, 20)", "turnover": "volume / sma(volume, 20)"}
+RHO_LIMIT, TOP_K, ALPHA = 0.7, 3, 0.05
+
+
+@dataclass(frozen=True)
+class Split:
+    """Bars for searching, cut into blocks, and bars held out; purge and embargo lie between."""
+
+    n: int
+    insample_end: int
+    holdout_start: int
+    blocks: tuple[tuple[int, int], ...]
+
+
+def split(n: int, *, holdout_frac: float = 0.2, purge: int = 24, embargo: int = 24, n_blocks: int = 3) -> Split:
+    start = n - round(n * holdout_frac)
+    end = start - purge - embargo
+    if end < n_blocks * ev.MIN_PAIRS:
+        raise ValueError("too few bars to search in")
+    edges = [round(i * end / n_blocks) for i in range(n_blocks + 1)]
+    return Split(n, end, start, tuple(zip(edges, edges[1:])))
+
+
+@dataclass(frozen=True)
+class Gates:
+    kappa: float = 1.0
+    q: float = 0.95
+
+    @property
+    def version(self) -> str:
+        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()[:8]
+
+    def threshold(self, n: int, trials: int) -> float:
+        return ev.deflated_threshold(n, trials, kappa=self.kappa, q=self.q)
+
+
+@dataclass
+class Bandit:
+    """Thompson sampling over families and, within one, over widening and deepening."""
+
+    rng: random.Random
+    arms: dict = field(default_factory=dict)
+
+    def choose(self) -> tuple[str, str]:
+        best = max(((f, m) for f in FAMILIES for m in ("widen", "deepen")), key=lambda a: self.rng.betavariate(*self.arms.get(a, (1, 1))))
+        return best
+
+    def update(self, arm: tuple[str, str], success: bool) -> None:
+        won, lost = self.arms.get(arm, (1, 1))
+        self.arms[arm] = (won + success, lost + (not success))
+
+
+def propose(rng: random.Random, mode: str, parents: list[expr.Node]) -> tuple[expr.Node, str]:
+    """A fresh tree, or a parent with a window moved, an operator exchanged, a subtree replaced, or wrapped."""
+    if mode == "widen" or not parents:
+        return expr.sample(rng, 3), "sample"
+    host = rng.choice(parents)
+    nodes = list(expr.walk(host))
+    how = rng.choice(("window", "operator", "subtree", "wrap"))
+    places = [i for i, x in enumerate(nodes) if not isinstance(x, str) and (how != "window" or expr.has_param(x[0]))]
+    if how == "window" and places:
+        i = rng.choice(places)
+        return expr.replace_at(host, i, (*nodes[i][:-1], expr.random_param(rng, nodes[i][0]))), how
+    if how == "operator" and places:
+        i = rng.choice(places)
+        op = nodes[i][0]
+        others = [o for o in expr.OPS if o != op and expr.arity(o) == expr.arity(op) and expr.has_param(o) == expr.has_param(op) and (o in expr.LAGGED) == (op in expr.LAGGED)]
+        if others:
+            return expr.replace_at(host, i, (rng.choice(others), *nodes[i][1:])), how
+    if how == "subtree":
+        return expr.replace_at(host, rng.randrange(len(nodes)), expr.sample(rng, 2)), how
+    op = rng.choice((*expr.UNARY, *expr.TRAILING))
+    return expr.make(op, host, *([expr.random_param(rng, op)] if expr.has_param(op) else [])), "wrap"
+
+
+def _measures(bars: DataFrame, nodes: dict[str, expr.Node], sp: Split, survivors: dict[str, expr.Node]) -> dict[str, dict]:
+    """In-sample and block correlations, and the closest survivor, of several expressions in three jobs."""
+    both = nodes | {k: v for k, v in survivors.items() if k not in nodes}
+    inside = evaluate(bars, both).filter(F.col("bar_idx") < sp.insample_end)
+    names = list(both)
+    long = inside.select("product_id", "bar_idx", "close", F.inline(F.array(*(F.struct(F.lit(n).alias("factor_id"), F.col(n).alias("x")) for n in names)))).persist()
+    own = long.filter(F.col("factor_id").isin(list(nodes))).withColumn("product_id", F.col("factor_id"))
+    out: dict[str, dict] = {n: {"ic": None, "n": 0, "blocks": [], "rho": 0.0} for n in nodes}
+    for r in ev.information(own, [1], ["product_id"]).collect():  # one row per expression
+        out[r["product_id"]] |= {"ic": r["ic"], "n": r["n"]}
+    spans = F.array(*(F.struct(F.lit(i).alias("b"), F.lit(a).alias("a"), F.lit(z).alias("z")) for i, (a, z) in enumerate(sp.blocks)))
+    cut = own.select("*", F.inline(spans)).filter("bar_idx >= a AND bar_idx < z").withColumn("product_id", F.concat_ws("|", "product_id", "b"))
+    for r in ev.information(cut, [1], ["product_id"]).collect():  # expressions times blocks
+        out[r["product_id"].split("|")[0]]["blocks"].append(r["ic"])
+    if survivors:
+        for r in ev.correlation_matrix(long.filter(F.col("factor_id").isin(names))).collect():
+            for one, other in ((r["id_i"], r["id_j"]), (r["id_j"], r["id_i"])):
+                if one in nodes and other in survivors and r["rho"] is not None:
+                    out[one]["rho"] = max(out[one]["rho"], abs(r["rho"]))
+    long.unpersist()
+    return out
+
+
+def verdict(m: dict, threshold: float) -> str:
+    """noise before redundant before unstable."""
+    if m["ic"] is None:
+        return "refused"
+    if abs(m["ic"]) < threshold:
+        return "noise"
+    if m["rho"] >= RHO_LIMIT:
+        return "redundant"
+    known = [b for b in m["blocks"] if b is not None]
+    agree = sum((b > 0) == (m["ic"] > 0) for b in known)
+    return "unstable" if len(known) >= 2 and agree < math.ceil(len(known) / 2) else "candidate"
+
+
+def run_search(bars: DataFrame, *, seed: int = 7, generations: int = 2, per_generation: int = 3, gates: Gates | None = None) -> dict:
+    """The records, the finalists' one look at the holdout, and the counts of a search over one product's bars."""
+    gates, rng = gates or Gates(), random.Random(seed)
+    bars = bars.persist()
+    sp = split(bars.count())
+    bandit, records, seen, survivors, trials = Bandit(rng), [], set(), {}, 0
+    nodes: dict[str, tuple[expr.Node, str]] = {}
+
+    def record(eid: str, node: expr.Node, m: dict, **more) -> None:  # noqa: ANN003
+        nonlocal trials
+        scored = m["ic"] is not None
+        trials += scored
+        bar = gates.threshold(m["n"], max(1, trials)) if scored else None
+        v = verdict(m, bar) if scored else "refused"
+        if v == "candidate":
+            survivors[eid] = node
+        nodes[eid] = (node, more["family"])
+        records.append({"expr_id": eid, "text": expr.to_text(node), "verdict": v, "insample": {"ic": m["ic"], "n": m["n"], "abs_ic": abs(m["ic"]) if scored else None, "threshold": bar}, "n_trials_at_verdict": trials, "gates_version": gates.version, **more})
+
+    seeds = {f"e{expr.expr_id(expr.parse(t))}": (expr.parse(t), f) for f, t in FAMILIES.items()}
+    measured = _measures(bars, {k: n for k, (n, _) in seeds.items()}, sp, {})
+    for eid, (node, family) in seeds.items():
+        seen.add(eid)
+        record(eid, node, measured[eid], family=family, mode="seed", op="seed", parents=[], generation=0)
+    for generation in range(1, generations + 1):
+        for _ in range(per_generation):
+            family, mode = arm = bandit.choose()
+            parents = [n for n, f in nodes.values() if f == family]
+            node, op = propose(rng, mode, parents)
+            eid = f"e{expr.expr_id(node)}"
+            why = expr.validate(node)
+            if why or eid in seen:
+                records.append({"expr_id": eid, "text": expr.to_text(node), "verdict": "rejected" if why else "duplicate", "reason": why or "seen", "family": family, "mode": mode, "op": op, "generation": generation})
+                seen.add(eid)
+                continue
+            seen.add(eid)
+            m = _measures(bars, {eid: node}, sp, survivors)[eid]
+            record(eid, node, m, family=family, mode=mode, op=op, generation=generation)
+            bandit.update(arm, records[-1]["verdict"] == "candidate")
+    standing = sorted((r for r in records if r["verdict"] == "candidate" and r["insample"]["abs_ic"] >= gates.threshold(r["insample"]["n"], trials)), key=lambda r: (-r["insample"]["abs_ic"], r["expr_id"]))[:TOP_K]
+    holdout = []
+    if standing:
+        outside = evaluate(bars, {r["expr_id"]: nodes[r["expr_id"]][0] for r in standing}).filter(F.col("bar_idx") >= sp.holdout_start)
+        long = outside.select("bar_idx", "close", F.inline(F.array(*(F.struct(F.lit(r["expr_id"]).alias("product_id"), F.col(r["expr_id"]).alias("x")) for r in standing))))
+        found = {r["product_id"]: r for r in ev.information(long, [1], ["product_id"]).collect()}
+        for r in standing:
+            h = found.get(r["expr_id"])
+            ic = h["ic"] if h else None
+            sign = 1 if r["insample"]["ic"] > 0 else -1
+            p = ev.holdout_p_value(ic, h["n"], sign, len(standing)) if ic is not None else None
+            holdout.append({"expr_id": r["expr_id"], "ic": ic, "p_adj": p, "passes": p is not None and p < ALPHA and ic * sign > 0})
+    bars.unpersist()
+    return {"records": records, "holdout": holdout, "trials": trials, "seed": seed, "gates": asdict(gates), "split": asdict(sp)}

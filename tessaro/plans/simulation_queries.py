@@ -98,20 +98,20 @@ add("tickets", lambda s, d: simulate.tickets(_curve(s, d)).select("run_id", "tic
 
 
 def _replay(s: SparkSession, d: str) -> DataFrame:
-    t = views.ticks(s, d).filter("size > 90")
+    t = views.ticks(s, d)
     runs = t.select("product_id", F.col("ts").alias("made_at"), F.col("seq").alias("run_no"), F.when(F.col("side") == "BUY", "trend_up").otherwise("trend_down").alias("regime"), (F.col("size") / 100).alias("confidence"))
     return simulate.replay_runs(views.bars(s, d), runs)
 
 
-add("replay_asof", _replay, with_(views.bars_sql(), "runs AS (SELECT * FROM ticks WHERE size > 90)",
+add("replay_asof", _replay, with_(views.bars_sql(), "runs AS (SELECT * FROM ticks)",
     "hit AS (SELECT runs.*, (SELECT min(b.bar_idx) FROM bars b WHERE b.product_id = runs.product_id AND b.ts >= runs.ts) AS bar_idx FROM runs)")
     + "SELECT product_id, bar_idx, arg_max(seq, (ts, seq)) AS run_no, arg_max(CASE side WHEN 'BUY' THEN 'trend_up' ELSE 'trend_down' END, (ts, seq)) AS regime, arg_max(size / 100, (ts, seq)) AS confidence FROM hit WHERE bar_idx IS NOT NULL GROUP BY 1, 2")
 
 
 def _flat_replay(s: SparkSession, d: str) -> DataFrame:
     """Decisions looked up by exact time; a bar without one is uncertain."""
-    said = views.bars(s, d).filter("bar_idx % 5 = 0").select("product_id", "ts", F.when(F.col("close") > F.col("open"), "trend_up").otherwise("trend_down").alias("regime"), F.lit(0.8).alias("confidence"))
+    said = views.bars(s, d).filter("close <> open").select("product_id", "ts", F.when(F.col("close") > F.col("open"), "trend_up").otherwise("trend_down").alias("regime"), F.lit(0.8).alias("confidence"))
     return views.bars(s, d).join(said, ["product_id", "ts"], "left").select("product_id", "bar_idx", F.coalesce("regime", F.lit("uncertain")).alias("regime"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
-add("replay_flat", _flat_replay, with_(views.bars_sql()) + "SELECT product_id, bar_idx, CASE WHEN bar_idx % 5 <> 0 THEN 'uncertain' WHEN close > open THEN 'trend_up' ELSE 'trend_down' END AS regime, CASE WHEN bar_idx % 5 = 0 THEN CAST(0.8 AS DOUBLE) ELSE 0.0 END AS confidence FROM bars")
+add("replay_flat", _flat_replay, with_(views.bars_sql()) + "SELECT product_id, bar_idx, CASE WHEN close = open THEN 'uncertain' WHEN close > open THEN 'trend_up' ELSE 'trend_down' END AS regime, CASE WHEN close <> open THEN CAST(0.8 AS DOUBLE) ELSE 0.0 END AS confidence FROM bars")
