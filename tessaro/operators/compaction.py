@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from ..session import Scratch
 
-_CSV = {"nullValue": "", "escape": '"'}
+_CSV = {"nullValue": "", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 FILES = "path string, part int, content binary, n_bytes bigint, checksum bigint, n_rows bigint, lines binary"
 MANIFEST = "name string, start bigint, n_bytes bigint, checksum bigint, n_rows bigint, n_files bigint"
 
@@ -42,8 +43,9 @@ def _header(columns: list[str]) -> bytes:
 
 
 def as_line(df: DataFrame, columns: list[str]) -> Column:
-    """A row as one line of text that holds no line break; null is an empty field, an empty text is quoted."""
-    escape = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    """A row as one line of text that holds no line break; null is an empty field, an empty text a mark."""
+    marks = (("\\", "\\s"), ("\n", "\\n"), ("\r", "\\r"))
+    escape = lambda c: F.when(F.col(c) == "", F.lit("\\e")).otherwise(reduce(lambda x, m: F.replace(x, F.lit(m[0]), F.lit(m[1])), marks, F.col(c)))
     text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
     stamp = {f.name for f in df.schema if isinstance(f.dataType, T.TimestampType)}
     field = lambda c: escape(c) if c in text else F.unix_micros(c) if c in stamp else F.col(c)
@@ -58,8 +60,8 @@ def from_line(line: Column, schema: T.StructType) -> Column:
     for f in schema:
         value = row[f.name]
         if isinstance(f.dataType, T.StringType):
-            value = F.replace(F.replace(value, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
-            value = F.replace(value, F.lit("\\s"), F.lit("\\"))
+            for mark, char in (("\\e", ""), ("\\n", "\n"), ("\\r", "\r"), ("\\s", "\\")):
+                value = F.replace(value, F.lit(mark), F.lit(char))
         elif isinstance(f.dataType, T.TimestampType):
             value = F.timestamp_micros(value)
         out.append(value.alias(f.name))

@@ -30,9 +30,10 @@ LAST = 1 << 18
 
 
 def _finish_peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches), ignore_index=True)
-    if not len(rows):
+    parts = list(batches)
+    if not sum(map(len, parts)):
         return
+    rows = pd.concat(parts, ignore_index=True)
     at = pd.Series(np.arange(len(rows)), index=rows["id"])
     parent = at.reindex(rows["parent"]).to_numpy(float)
     parent = np.where(np.isnan(parent), -1, parent).astype(np.int64)
@@ -116,9 +117,10 @@ def tours(forest: DataFrame) -> DataFrame:
 
 def _finish_rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pointer jumping over what is left: steps and balance from each arc to the end of its list."""
-    rows = pd.concat(list(batches), ignore_index=True)
-    if not len(rows):
+    parts = list(batches)
+    if not sum(map(len, parts)):
         return
+    rows = pd.concat(parts, ignore_index=True)
     n = len(rows)
     at = pd.Series(np.arange(n), index=rows["arc"])
     jump = at.reindex(rows["next"].astype("Int64")).to_numpy(float)
