@@ -135,7 +135,8 @@ def replay_nearest(
     cores = spark.sparkContext.defaultParallelism
     rows_per_slice = rows_per_slice or 250_000 * cores
     shards = shards or 4 * max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    log = scratch.keep(log, "log")
+    # Cut by time as it is written: a slice then reads its own files only, by their statistics.
+    log = scratch.keep(log.repartitionByRange("us"), "log")
     n = log.count()
     if not n:
         return spark.createDataFrame([], OUT)
