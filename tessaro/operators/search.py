@@ -131,6 +131,29 @@ def verdict(m: dict, threshold: float) -> str:
     return "unstable" if len(known) >= 2 and agree < math.ceil(len(known) / 2) else "candidate"
 
 
+COSTS = (0, 10, 20, 40, 60, 120)
+#: An edge that dies at no more than so many basis points a side can't stand alone.
+STANDALONE_BPS = 20
+
+
+def fee_after(bars: DataFrame, node: expr.Node, sign: int, first: int) -> DataFrame:
+    """(cost_bps, total_return, sharpe, n_trades) of holding the product while the factor points up, from bar `first` on."""
+    from . import simulate
+
+    signal = evaluate(bars, {"x": node}).filter(F.col("bar_idx") >= first)
+    aim = F.when(F.col("x").isNotNull(), (F.col("x") * sign > 0).cast("double"))
+    rows = signal.select("product_id", "bar_idx", "open", "close", aim.alias("weight"), F.explode(F.array(*(F.lit(float(c)) for c in COSTS))).alias("cost_bps"))
+    rows = rows.withColumns({"run_id": F.format_string("%s@%04d", "product_id", F.col("cost_bps").cast("int")), "symbol_ord": F.col("product_id")})
+    done = simulate.metrics(simulate.weight_engine(rows, every=1), "1h")
+    return done.select(F.substring_index("run_id", "@", -1).cast("int").alias("cost_bps"), F.substring_index("run_id", "@", 1).alias("product_id"), "total_return", "sharpe", "n_trades")
+
+
+def dies_at(fees: DataFrame) -> DataFrame:
+    """(product_id, dies_at_bps, label): the lowest cost at which nothing is earned; null if none of the grid."""
+    low = F.min(F.when(F.col("total_return") <= 0, F.col("cost_bps")))
+    return fees.groupBy("product_id").agg(low.alias("dies_at_bps"), F.when(low.isNull() | (low > STANDALONE_BPS), "standalone").otherwise("component").alias("label"))
+
+
 def run_search(bars: DataFrame, *, seed: int = 7, generations: int = 2, per_generation: int = 3, gates: Gates | None = None) -> dict:
     """The records, the finalists' one look at the holdout, and the counts of a search over one product's bars."""
     gates, rng = gates or Gates(), random.Random(seed)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import factor_queries, found, market_queries, measure_queries, search_queries, simulation_queries
+from . import board, factor_queries, found, market_queries, measure_queries, search_queries, simulation_queries
 
-_MODULES = (found, factor_queries, measure_queries, market_queries, simulation_queries, search_queries)
+_MODULES = (found, factor_queries, measure_queries, market_queries, simulation_queries, search_queries, board)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,15 @@ def _null_band(s: SparkSession, d: str) -> DataFrame:
     return band.withColumn("factor_id", F.coalesce("factor_id", F.lit("pooled")))
 
 
+def _fees(s: SparkSession, d: str) -> DataFrame:
+    """What the reversal factor earns on every product's bars after costs."""
+    from . import expr
+
+    fees = search.fee_after(views.bars(s, d), expr.parse("-1 * delta(close, 1)"), 1, 0)
+    return fees.select("product_id", "cost_bps", F.round("total_return", 5).alias("total_return"), "n_trades")
+
+
+add("fee_after", _fees)
 add("null_band", _null_band)
 _TRIALS = (1, 5, 50, 500)
 
