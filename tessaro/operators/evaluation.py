@@ -41,19 +41,19 @@ def spearman(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") -> Dat
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation_of(f"rank_{x}", f"rank_{y}").alias("rho"))
 
 
-def gated(rho: Column, n: Column, h: Column) -> Column:
+def gated(rho: Column, n: Column, h: Column, digits: int = 4) -> Column:
     """Null below the least pairs, or where overlapping horizons leave too few independent ones."""
     enough = (n >= MIN_PAIRS) & ((h <= 1) | (F.floor(n / h) >= MIN_EFFECTIVE))
-    return F.when(enough, F.round(rho, 4))
+    return F.when(enough, F.round(rho, digits))
 
 
-def information(long: DataFrame, horizons: list[int], by: list[str]) -> DataFrame:
+def information(long: DataFrame, horizons: list[int], by: list[str], digits: int = 4) -> DataFrame:
     """(by..., h, n, n_eff, ic) of rows (by..., product_id, bar_idx, x, close); refusals keep their counts."""
     pairs = long.withColumn("hy", F.array(*(F.struct(F.lit(h).alias("h"), forward_returns(F.col("close"), h).alias("y")) for h in horizons)))
     pairs = pairs.select(*by, "x", F.inline("hy"))
     out = spearman(pairs, [*by, "h"])
     n_eff = F.floor(F.col("n") / F.col("h"))
-    return out.select(*by, "h", "n", n_eff.alias("n_eff"), gated(F.col("rho"), F.col("n"), F.col("h")).alias("ic"))
+    return out.select(*by, "h", "n", n_eff.alias("n_eff"), gated(F.col("rho"), F.col("n"), F.col("h"), digits).alias("ic"))
 
 
 def self_correlation(long: DataFrame, by: list[str]) -> DataFrame:

@@ -116,12 +116,12 @@ def spearman_sql(source: str, by: str, name: str) -> list[str]:
 def _ic_sql(nodes: dict, horizons: tuple[int, ...]) -> str:
     pairs = " UNION ALL ".join(f"SELECT product_id, factor_id, {h} AS h, x, CASE WHEN close > 0 THEN ln(lead(close, {h}) {W} / close) END AS y FROM long" for h in horizons)
     return with_(*_long_sql(nodes), f"pairs AS ({pairs})", *spearman_sql("pairs", "product_id, factor_id, h", "s")) + (
-        "SELECT product_id, factor_id, h, n, n // h AS n_eff, CASE WHEN n >= 30 AND (h <= 1 OR n // h >= 8) THEN round(rho, 4) END AS ic FROM s"
+        "SELECT product_id, factor_id, h, n, n // h AS n_eff, CASE WHEN n >= 30 AND (h <= 1 OR n // h >= 8) THEN round(rho, 7) END AS ic FROM s"
     )
 
 
 def _ic(nodes: dict, horizons: tuple[int, ...]):  # noqa: ANN202
-    return lambda s, d: _apart(ev.information(_by_factor(factor_long(s, d, nodes)), list(horizons), ["product_id"]))
+    return lambda s, d: _apart(ev.information(_by_factor(factor_long(s, d, nodes)), list(horizons), ["product_id"], 7))
 
 
 add("ic_flagship", _ic(_a3, (1,)), _ic_sql(_a3, (1,)))
