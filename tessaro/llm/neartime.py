@@ -12,11 +12,13 @@ is late; the number of slices follows from the number of rows.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -135,30 +137,36 @@ def replay_nearest(
     cores = spark.sparkContext.defaultParallelism
     rows_per_slice = rows_per_slice or 250_000 * cores
     shards = shards or 4 * max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Cut by time as it is written: a slice then reads its own files only, by their statistics.
-    log = scratch.keep(log.repartitionByRange("us"), "log")
+    log = scratch.keep(log, "log")
     n = log.count()
     if not n:
         return spark.createDataFrame([], OUT)
     slices = -(-n // rows_per_slice)
-    last = log.agg(F.max("us")).first()[0]
-    cuts = log.agg(F.percentile_approx("us", F.array(*(F.lit(i / slices) for i in range(1, slices))), 100 * slices)).first()[0] if slices > 1 else []
-    cuts = sorted({*cuts, last})
-    for i, (low, high) in enumerate(zip([None, *cuts], cuts)):
-        part = log.filter((F.col("us") <= high) & (F.col("us") > low if low is not None else F.lit(True)))
+    inner = F.percentile_approx("us", F.array(*(F.lit(i / slices) for i in range(1, slices))), 100 * slices) if slices > 1 else F.array().cast("array<bigint>")
+    last, cuts = log.agg(F.max("us"), inner).first()
+    cuts = sorted({*cuts, last})  # as many as there are slices
+    # One pass lays the rows out by slice; each slice then arrives by a rename, without being read.
+    bounds = [-math.inf, *map(float, cuts[:-1]), math.inf]  # microseconds are exact as doubles
+    numbered = Bucketizer(splits=bounds, inputCol="_us", outputCol="_slice").transform(log.withColumn("_us", F.col("us").cast("double"))) if len(cuts) > 1 else log.withColumn("_slice", F.lit(0))
+    numbered.select(*log.columns, F.col("_slice").cast("int").alias("slice")).write.partitionBy("slice").parquet(scratch.path("sliced"))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(scratch.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop(scratch.path("arrived")))
+    for i in range(len(cuts)):
+        system.rename(hadoop(scratch.path(f"sliced/slice={i}")), hadoop(scratch.path(f"arrived/s{i}")))
         if i == len(cuts) - 1:
             end = last + 2 * tolerance_us + 10_000_000
             closing = spark.range(1).select(
                 F.lit(MARK).alias("kind"), F.lit("end").alias("entity"), F.lit(end).cast("bigint").alias("us"), F.lit("").alias("left_id"),
                 F.lit(0).cast("bigint").alias("right_id"), F.timestamp_micros(F.lit(end)).alias("at"),
             )
-            part = part.unionByName(closing)
-        part.write.mode("append").parquet(scratch.path("arrived"))
-        stream = spark.readStream.schema(log.schema).parquet(scratch.path("arrived"))
+            closing.write.parquet(scratch.path("arrived/end"))
+        stream = spark.readStream.schema(log.schema).option("recursiveFileLookup", True).parquet(scratch.path("arrived"))
         joined = nearest_in_time(stream, tolerance_us, lateness="0 seconds", shards=shards, stretch_us=stretch_us)
         query = (
             joined.writeStream.format("parquet").outputMode("append").option("checkpointLocation", scratch.path("progress"))
             .option("path", scratch.path("pairs")).trigger(availableNow=True).start()
         )
         query.awaitTermination()
+    scratch.drop("log", "sliced")
     return spark.read.schema(OUT).parquet(scratch.path("pairs"))
