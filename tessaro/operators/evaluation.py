@@ -35,8 +35,11 @@ def correlation_of(x: str, y: str) -> Column:
 
 
 def spearman(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """(by..., n, rho) over the rows where both are known; groups without such a row don't come out."""
-    known = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    """(by..., n, rho) over the rows where both are known; groups without such a row don't come out.
+
+    Values are ranked at ten digits, so that the last bits of a sum can't break a tie.
+    """
+    known = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({c: F.round(c, 10) for c in (x, y)})
     ranked = midranks(known, by, [x, y])
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation_of(f"rank_{x}", f"rank_{y}").alias("rho"))
 

@@ -107,7 +107,7 @@ def _apart(df: DataFrame) -> DataFrame:
 def spearman_sql(source: str, by: str, name: str) -> list[str]:
     """Tables from pairs (by, x, y) to (by, n, rho)."""
     return [
-        f"{name}_k AS (SELECT * FROM {source} WHERE x IS NOT NULL AND y IS NOT NULL)",
+        f"{name}_k AS (SELECT * REPLACE (round(x, 10) AS x, round(y, 10) AS y) FROM {source} WHERE x IS NOT NULL AND y IS NOT NULL)",
         f"{name}_r AS (SELECT {by}, rank() OVER (PARTITION BY {by} ORDER BY x) + (count(*) OVER (PARTITION BY {by}, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY {by} ORDER BY y) + (count(*) OVER (PARTITION BY {by}, y) - 1) / 2.0 AS ry FROM {name}_k)",
         f"{name} AS (SELECT {by}, count(*) AS n, CASE WHEN count(*) >= 3 AND var_pop(rx) * count(*) >= 1e-12 AND var_pop(ry) * count(*) >= 1e-12 THEN greatest(-1.0, least(1.0, covar_pop(rx, ry) / (sqrt(var_pop(rx)) * sqrt(var_pop(ry))))) END AS rho FROM {name}_r GROUP BY ALL)",
     ]
