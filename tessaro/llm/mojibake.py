@@ -118,10 +118,13 @@ def _places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ((a * 2654435761 ^ b * 40503 ^ c * 2246822519) >> 7) % TRI, ((b * 2654435761 ^ c * 40503) >> 5) % BI, c % UNI
 
 
-#: Taken off every count, so that a text garbled once doesn't vouch for itself.
-DISCOUNT = 3.0
+#: Taken off every count, so that a text garbled once doesn't vouch for itself: so much at least, and this share of
+#: all characters, half of what a place among the trigrams holds on average. So the corpus's size doesn't matter.
+DISCOUNT, DISCOUNT_SHARE = 3.0, 0.5 / TRI
 #: Likelihood of what was never seen: in a text as it stands, and in a reading of it, which has more to prove.
 UNSEEN, UNSEEN_READ = 1e-5, 1e-9
+#: The share of an unseen trigram in all, alike.
+RARE, RARE_READ = 1e-7, 1e-9
 
 
 class Model:
@@ -129,6 +132,7 @@ class Model:
 
     def __init__(self, tri: np.ndarray, bi: np.ndarray, uni: np.ndarray):
         self.tri, self.bi, self.uni, self.total = tri, bi, uni, max(1.0, float(uni.sum()))
+        self.discount = max(DISCOUNT, DISCOUNT_SHARE * self.total)
 
     def loss(self, text: str, unseen: float = UNSEEN) -> float:
         """Negative log likelihood of the third character onward."""
@@ -138,10 +142,21 @@ class Model:
         t, b, c = _places(x)
         before = _places(np.concatenate([[0], x[:-1]]))  # the contexts are n-grams themselves
         n_ab, n_b = self.bi[before[1]], self.uni[before[2]]
-        less = lambda n: np.maximum(n - DISCOUNT, 0.0)
+        less = lambda n: np.maximum(n - self.discount, 0.0)
         p = 0.6 * less(self.tri[t]) / np.maximum(n_ab, 1.0) + 0.3 * less(self.bi[b]) / np.maximum(n_b, 1.0) + 0.1 * less(self.uni[c]) / self.total + unseen
         return float(-np.log(np.minimum(p, 1.0)).sum())
 
+    def rarity(self, text: str, unseen: float = RARE) -> float:
+        """Negative logarithms of the trigrams' shares in all, added up.
+
+        Other than by their likelihood after one another, a language's garbled texts stay rarer than
+        its clean ones, however many of them there are.
+        """
+        x = _codes(text)
+        if len(x) < 3:
+            return 0.0
+        return float(-np.log(np.maximum(self.tri[_places(x)[0]] - self.discount, 0.0) / self.total + unseen).sum())
+
 
 def _bare(text: str) -> str:
     """The text without what stands between backticks."""
@@ -217,6 +232,7 @@ class Restorer:
         self.model, self.margin = model, margin
         self.known: dict[tuple[str, str, str], tuple[float, str, tuple]] = {}
         self.read: dict[str, dict] = {}
+        self.rare: dict[tuple[str, str, str], float] = {}
 
     def best(self, left: str, run: str, right: str) -> tuple[float, str, tuple]:
         """(gain over the run as it stands, reading, chain) of the likeliest reading in its context."""
@@ -238,6 +254,36 @@ class Restorer:
             self.known[key] = best
         return self.known[key]
 
+    def outnumbered(self, text: str) -> float:
+        """By how much readings of a passage's runs, other than as UTF-8, consist of more frequent trigrams, in nats.
+
+        For training only: where garbled texts were counted too, likelihoods don't tell them from clean ones.
+        """
+        gain = 0.0
+        for m in _RUN.finditer(text):
+            left, right = text[max(0, m.start() - 2) : m.start()], text[m.end() : m.end() + 2]
+            key = (left.translate(_ALIKE), m[0], right.translate(_ALIKE))
+            if key not in self.rare:
+                if len(self.rare) > 200_000:
+                    self.rare.clear()
+                if m[0] not in self.read:
+                    self.read[m[0]] = readings(m[0])
+                legacy = [(r, _COST.get(c[-1][1], _LEGACY_COST)) for r, c in self.read[m[0]].items() if c[-1][1] != "utf_8"]
+                here = self.model.rarity(left + m[0] + right) if legacy else 0.0
+                self.rare[key] = max((here - self.model.rarity(left + r + right, RARE_READ) - cost for r, cost in legacy), default=0.0)
+            gain += max(0.0, self.rare[key])
+        here = None
+        for w, t in _WHOLE:
+            raw = as_bytes(text, w) if gain <= 0 and t != "utf_8" else None
+            try:
+                whole = raw.decode(t) if raw is not None else text
+            except UnicodeDecodeError:
+                continue
+            if whole != text:
+                here = self.model.rarity(text) if here is None else here
+                gain = max(gain, here - self.model.rarity(whole, RARE_READ) - _COST.get(t, _LEGACY_COST))
+        return gain
+
     def passage(self, text: str) -> tuple[float, str, list[tuple]]:
         """The gain of a passage's runs together, the passage restored, and the chains."""
         gain, single, runs, weight = 0.0, 0, [], {}
@@ -318,14 +364,14 @@ def train(spark: SparkSession, documents: DataFrame) -> Model:
     """The model of the clean passages of all texts; its tables have TRI + BI + UNI places, whatever the corpus.
 
     A first training leaves out what looks wrong by its bytes, a second one what the first
-    model would rather read otherwise.
+    model would rather read otherwise, and what has a reading of more frequent trigrams.
     """
     first = _gathered(documents, lambda batches: _counter(batches, Suspects()))
     shared = spark.sparkContext.broadcast((first.tri, first.bi, first.uni))
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Restorer(Model(*shared.value), 0.0)
-        return _counter(batches, lambda p: LOST in p or bool(_CONTROL.search(p)) or judge.passage(p)[0] > 0)
+        return _counter(batches, lambda p: LOST in p or bool(_CONTROL.search(p)) or judge.passage(p)[0] > 0 or judge.outnumbered(p) > 0)
 
     return _gathered(documents, again)
 

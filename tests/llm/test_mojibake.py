@@ -48,3 +48,18 @@ def test_nothing(spark):
 def test_bytes_and_readings():
     assert as_bytes("Ã©", "cp1252") == b"\xc3\xa9" and as_bytes("\x81", "cp1252") == b"\x81" and as_bytes("日", "cp1252") is None
     assert readings("Ã©")["é"] == (("cp1252", "utf_8"),) and not any("\x00" in r for r in readings("é"))
+
+
+def test_legacy_chains_are_found_however_often_the_corpus_repeats(spark):
+    names = {"ru": ("cp1252", "cp1251"), "zh": ("cp1252", "gbk")}
+    for copies in (1, 40):
+        rows = []
+        for lang, (w, t) in names.items():
+            for i in range(300 * copies):
+                text = f"{PLAIN['en']} {i % 300}. {PLAIN[lang]}"
+                rows.append((len(rows), text, False))
+                if i % 300 < 30:
+                    raw = PLAIN[lang].encode(t)
+                    rows.append((len(rows), f"{PLAIN['en']} {i % 300}. " + "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in raw), True))
+        got = {r.doc_id: r.garbled for r in restore(spark, spark.createDataFrame(rows, "doc_id bigint, text string, truth boolean")).collect()}
+        assert not [t for i, t, truth in rows if got[i] != truth]
