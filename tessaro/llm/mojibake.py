@@ -233,6 +233,7 @@ class Restorer:
         self.known: dict[tuple[str, str, str], tuple[float, str, tuple]] = {}
         self.read: dict[str, dict] = {}
         self.rare: dict[tuple[str, str, str], float] = {}
+        self.judged: dict[str, bool] = {}
 
     def best(self, left: str, run: str, right: str) -> tuple[float, str, tuple]:
         """(gain over the run as it stands, reading, chain) of the likeliest reading in its context."""
@@ -284,6 +285,15 @@ class Restorer:
                 gain = max(gain, here - self.model.rarity(whole, RARE_READ) - _COST.get(t, _LEGACY_COST))
         return gain
 
+    def suspect(self, passage: str) -> bool:
+        """Whether to leave a passage out of a second training."""
+        key = passage.translate(_ALIKE)
+        if key not in self.judged:
+            if len(self.judged) > 200_000:
+                self.judged.clear()
+            self.judged[key] = LOST in key or bool(_CONTROL.search(key)) or self.passage(key)[0] > 0 or self.outnumbered(key) > 0
+        return self.judged[key]
+
     def passage(self, text: str) -> tuple[float, str, list[tuple]]:
         """The gain of a passage's runs together, the passage restored, and the chains."""
         gain, single, runs, weight = 0.0, 0, [], {}
@@ -371,50 +381,89 @@ def train(spark: SparkSession, documents: DataFrame) -> Model:
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Restorer(Model(*shared.value), 0.0)
-        return _counter(batches, lambda p: LOST in p or bool(_CONTROL.search(p)) or judge.passage(p)[0] > 0 or judge.outnumbered(p) > 0)
+        return _counter(batches, judge.suspect)
 
     return _gathered(documents, again)
 
 
-def held_out_margin(model: Model, texts: list[str]) -> float:
-    """A margin validated on passages: above what 99 % of those that look clean gain, below what 99 % of those garbled on purpose gain.
+#: Gains are counted by the hundredth of a nat up to this many nats, so that no quantile needs them in one place.
+MOST = 100.0
+
+
+def _measured(judge: Restorer, passages: list[str], times: list[int]) -> pd.DataFrame:
+    """How often clean passages, and those garbled on purpose, gain how much: (bad, gain, n)."""
+    found: dict[tuple[bool, float], int] = {}
+    for passage, n in zip(passages, times):
+        tried = [(False, passage)]
+        for w, t in (("cp1252", "utf_8"), ("latin_1", "utf_8"), ("cp437", "utf_8"), ("mac_roman", "utf_8")):
+            try:
+                tried.append((True, passage.encode(t).decode(w)))
+            except UnicodeError:
+                pass
+        for bad, text in tried:
+            at = (bad, round(min(MOST, judge.passage(text)[0]), 2))
+            found[at] = found.get(at, 0) + n
+    return pd.DataFrame([(*k, n) for k, n in found.items()], columns=["bad", "gain", "n"])
+
+
+def _quantile(gains: pd.DataFrame, q: float) -> float:
+    """The least counted gain that a share q of all does not exceed."""
+    gains = gains.sort_values("gain")
+    return float(gains["gain"].to_numpy()[np.searchsorted(gains["n"].cumsum().to_numpy(), q * gains["n"].sum())])
+
+
+def clean_passages(documents: DataFrame) -> DataFrame:
+    """(passage, n): every passage that isn't ASCII and looks clean by its bytes, digits being alike as in the model, and how many distinct ones it stands for."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        suspect = Suspects()
+        for rows in batches:
+            found = [p for p in dict.fromkeys(p for text in rows["text"] for p in _SENTENCE.split(_bare(text)) if not p.isascii()) if not suspect(p)]
+            yield pd.DataFrame({"passage": [p.translate(_ALIKE) for p in found], "as_is": found}, dtype=object)
+
+    spark = documents.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = documents.filter(F.col("text").rlike(r"[^\x00-\x7F]")).select("text")
+    distinct = texts.mapInPandas(cut, "passage string, as_is string").distinct()
+    return distinct.groupBy("passage").agg(F.count("*").alias("n")).repartition(tasks, "passage")
+
 
-    At least 1 nat; what looks clean by its bytes may still be garbled, hence no higher share.
+def margin_of(spark: SparkSession, documents: DataFrame, model: Model) -> float:
+    """A margin for passages: above what 99 % of those that look clean gain, below what 99 % of those garbled on purpose gain.
+
+    All distinct passages of the corpus count. At least 1 nat; what looks clean by its bytes may still
+    be garbled, hence no higher share.
     """
-    judge, suspect = Restorer(model, 0.0), Suspects()
-    clean, garbled = [], []
-    for text in texts:
-        for passage in dict.fromkeys(_SENTENCE.split(_bare(text or ""))):
-            if passage.isascii() or suspect(passage):
-                continue
-            clean.append(judge.passage(passage)[0])
-            for w, t in (("cp1252", "utf_8"), ("latin_1", "utf_8"), ("cp437", "utf_8"), ("mac_roman", "utf_8")):
-                try:
-                    garbled.append(judge.passage(passage.encode(t).decode(w))[0])
-                except UnicodeError:
-                    pass
-    if not clean:
+    shared = spark.sparkContext.broadcast((model.tri, model.bi, model.uni))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = Restorer(Model(*shared.value), 0.0)
+        for rows in batches:
+            yield _measured(judge, rows["passage"].tolist(), rows["n"].tolist())
+
+    gains = clean_passages(documents).mapInPandas(measure, "bad boolean, gain double, n bigint").groupBy("bad", "gain").agg(F.sum("n").alias("n")).toPandas()
+    clean, garbled = gains[~gains["bad"].astype(bool)], gains[gains["bad"].astype(bool)]
+    if clean.empty:
         return 3.0
-    return float(max(1.0, min(np.quantile(clean, 0.99), np.quantile(garbled, 0.01) if garbled else math.inf)))
+    return max(1.0, min(_quantile(clean, 0.99), _quantile(garbled, 0.01) if len(garbled) else math.inf))
 
 
-def restore(spark: SparkSession, documents: DataFrame, *, key: str = "doc_id", sample: int = 500) -> DataFrame:
+def restore(spark: SparkSession, documents: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """(key, garbled, text, chains, whole): one row per row of documents.
 
     garbled: at least one sentence was read with a wrong encoding. text: with what could be
     restored; whole: nothing of it is lost. Null, empty and pure ASCII texts, and what stands
     between backticks, are never garbled. A replacement character outside of backticks is a
     loss. Rows that repeat are each judged; an empty table gives an empty result. Only the key
-    and text are read, so other columns of any name do no harm. The model takes in all texts;
-    the margin is set on `sample` of them at most, those of the smallest hash.
+    and text are read, so other columns of any name do no harm. The model takes in all texts,
+    and the margin is set on all their passages.
     """
     docs = documents.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
     cores = spark.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < 2 * cores:
         docs = docs.repartition(2 * cores)
     model = train(spark, docs)
-    some = docs.filter("text IS NOT NULL").orderBy(F.xxhash64("text")).limit(sample).select("text")
-    margin = held_out_margin(model, [r[0] for r in some.collect()])
+    margin = margin_of(spark, docs, model)
     shared = spark.sparkContext.broadcast((model.tri, model.bi, model.uni, margin))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,8 @@
 import random
 
-from tessaro.llm.mojibake import as_bytes, readings, restore
+import pandas as pd
+
+from tessaro.llm.mojibake import _quantile, as_bytes, clean_passages, readings, restore
 
 PLAIN = {
     "fr": "La volatilité réalisée passe de 21 à 34 % ; l’écart reste élevé après la clôture.", "de": "Größere Fenster ändern das Vorzeichen, die Prüfung bleibt maßgeblich für später.",
@@ -63,3 +65,12 @@ def test_legacy_chains_are_found_however_often_the_corpus_repeats(spark):
                     rows.append((len(rows), f"{PLAIN['en']} {i % 300}. " + "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in raw), True))
         got = {r.doc_id: r.garbled for r in restore(spark, spark.createDataFrame(rows, "doc_id bigint, text string, truth boolean")).collect()}
         assert not [t for i, t, truth in rows if got[i] != truth]
+
+
+def test_every_distinct_passage_sets_the_margin(spark):
+    texts = [f"Der Wert {i} fällt für sich später aus." for i in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts * 2 + ["plain ascii", "Quoted: `Ã©`.", None, ""])]
+    got = {r.passage: r.n for r in clean_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {f"Der Wert {'0' * k} fällt für sich später aus.": n for k, n in ((1, 10), (2, 90), (3, 500))}
+    gains = pd.DataFrame({"gain": [5.0, 0.0, 1.0], "n": [1, 98, 1]})
+    assert [_quantile(gains, q) for q in (0.01, 0.98, 0.99, 1.0)] == [0.0, 0.0, 1.0, 5.0]
