@@ -4,19 +4,19 @@ A smoothed character n-gram model is trained on the corpus's clean passages; its
 tables of a fixed size, so the model is as small for 100 TB as for a page. Every run of
 non-ASCII characters is put through every candidate chain of encoding and decoding (twice over
 for text that was garbled twice); the likeliest reading in its context wins, if it beats the run
-as it stands by more than a margin. The margin is set on clean passages held out from the
-training, garbled on purpose.
+as it stands by more than a margin. The margin is set on all clean passages, as they are and
+garbled on purpose, each judged by a model trained on the other half of the texts only.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOST = "�"
@@ -197,32 +197,43 @@ class Suspects:
         return 2 * odd >= size > 0
 
 
-def _counter(batches: Iterator[pd.DataFrame], suspect: Callable[[str], bool]) -> Iterator[pd.DataFrame]:
-    tables = np.zeros(TRI + BI + UNI, np.int64)
-    held: list[str] = []
+#: Which table of counts is that of all texts; the others are those of each half.
+WHOLE = 2
 
-    def add() -> None:
-        x = _codes("\n\n" + "\n\n".join(held))
-        held.clear()
+
+def _counter(batches: Iterator[pd.DataFrame], suspects: list[tuple[int, Callable[[str], bool]]]) -> Iterator[pd.DataFrame]:
+    """The counts (part, at, n) of texts of one half each; a half's table takes its own texts, the table of the whole takes all."""
+    done: dict[int, np.ndarray] = {}
+    held: dict[int, list[str]] = {}
+
+    def add(part: int) -> None:
+        x = _codes("\n\n" + "\n\n".join(held.pop(part)))
+        tables = done.setdefault(part, np.zeros(TRI + BI + UNI, np.int64))
         for first, size, at in zip((0, TRI, TRI + BI), (TRI, BI, UNI), _places(x)):
             tables[first : first + size] += np.bincount(at, minlength=size)
 
     for rows in batches:
         size = 0
-        for text in rows["text"]:
+        for text, half in zip(rows["text"], rows["half"]):
             if not text:
                 continue
-            if not text.isascii():
-                text = "".join(p if p.isascii() or not suspect(p) else "\n" for p in _SENTENCE.split(_bare(text)))
-            held.append(text)
-            size += len(text)
+            for part, suspect in suspects:
+                if part not in (half, WHOLE):
+                    continue
+                kept = text
+                if not text.isascii():
+                    kept = "".join(p if p.isascii() or not suspect(p) else "\n" for p in _SENTENCE.split(_bare(text)))
+                held.setdefault(part, []).append(kept)
+                size += len(kept)
             if size > 2_000_000:
-                add()
+                for part in [*held]:
+                    add(part)
                 size = 0
-        if held:
-            add()
-    at = np.flatnonzero(tables)
-    yield pd.DataFrame({"at": at, "n": tables[at]})
+        for part in [*held]:
+            add(part)
+    for part, tables in done.items():
+        at = np.flatnonzero(tables)
+        yield pd.DataFrame({"part": part, "at": at, "n": tables[at]})
 
 
 class Restorer:
@@ -363,47 +374,95 @@ class Restorer:
         return garbled, "".join(out), sorted(used), not lost
 
 
-def _gathered(documents: DataFrame, count: Callable) -> Model:
-    counts = documents.select("text").mapInPandas(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    tables = np.zeros(TRI + BI + UNI, np.float32)
-    tables[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float32)
-    return Model(tables[:TRI], tables[TRI : TRI + BI], tables[TRI + BI :])
+def _tables(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return model.tri, model.bi, model.uni
+
+
+def _gathered(documents: DataFrame, count: Callable) -> list[Model]:
+    """The models of the first half, of the second, and of the whole."""
+    counts = documents.select("text", half(F.col("text")).alias("half")).mapInPandas(count, "part int, at bigint, n bigint").groupBy("part", "at").agg(F.sum("n").alias("n")).toPandas()
+    models = []
+    for part in range(WHOLE + 1):
+        own, tables = counts[counts["part"] == part], np.zeros(TRI + BI + UNI, np.float32)
+        tables[own["at"].to_numpy(np.int64)] = own["n"].to_numpy(np.float32)
+        models.append(Model(tables[:TRI], tables[TRI : TRI + BI], tables[TRI + BI :]))
+    return models
+
 
+def half(text: Column) -> Column:
+    """The half of the corpus that a text belongs to, with all its copies."""
+    return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
 
-def train(spark: SparkSession, documents: DataFrame) -> Model:
-    """The model of the clean passages of all texts; its tables have TRI + BI + UNI places, whatever the corpus.
+
+def train(spark: SparkSession, documents: DataFrame) -> list[Model]:
+    """The models of the clean passages of each half and of all texts; their tables have TRI + BI + UNI places, whatever the corpus.
 
     A first training leaves out what looks wrong by its bytes, a second one what the first
-    model would rather read otherwise, and what has a reading of more frequent trigrams.
+    model would rather read otherwise, and what has a reading of more frequent trigrams. A
+    half's model has seen nothing of the other half in either training.
     """
-    first = _gathered(documents, lambda batches: _counter(batches, Suspects()))
-    shared = spark.sparkContext.broadcast((first.tri, first.bi, first.uni))
+
+    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        suspect = Suspects()
+        return _counter(batches, [(part, suspect) for part in range(WHOLE)])
+
+    first = _gathered(documents, once)
+    # By bytes alone the halves' passages are chosen alike, so their counts add up to the whole's.
+    first[WHOLE] = Model(*(a + b for a, b in zip(_tables(first[0]), _tables(first[1]))))
+    shared = spark.sparkContext.broadcast([_tables(m) for m in first])
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = Restorer(Model(*shared.value), 0.0)
-        return _counter(batches, judge.suspect)
+        return _counter(batches, [(part, Restorer(Model(*tables), 0.0).suspect) for part, tables in enumerate(shared.value)])
 
     return _gathered(documents, again)
 
 
+def _kind(codec: str) -> str:
+    return codec if codec == "utf_8" else "multi" if codec in _MULTI else "western" if codec in (*_WESTERN, "iso8859_15") else "single"
+
+
+#: The chains by what kind of encoding was read as what other kind.
+FAMILIES: dict[tuple[str, str], list[tuple[str, str]]] = {}
+for _w, _t in CHAINS:
+    FAMILIES.setdefault((_kind(_w), _kind(_t)), []).append((_w, _t))
+_CHARACTERS = {c: {b: k for k, b in table.items()} for c, table in _TABLES.items()}
+
+
+def garble(text: str, w: str, t: str) -> str | None:
+    """The text written as t and read as w; null if it can't be, or stays what it is."""
+    raw = as_bytes(text, t)
+    try:
+        read = None if raw is None else "".join(chr(_CHARACTERS[w][b]) for b in raw) if w in _CHARACTERS else raw.decode(w)
+    except UnicodeDecodeError:
+        return None
+    return None if read == text else read
+
+
+def garblings(passage: str) -> dict[tuple[str, str], str]:
+    """The passage garbled by one chain of every family that can; the hash of the passage says with which to begin."""
+    out, begin = {}, zlib.crc32(passage.encode("utf_8", "surrogatepass"))
+    for family, chains in FAMILIES.items():
+        for k in range(len(chains)):
+            read = garble(passage, *chains[(begin + k) % len(chains)])
+            if read is not None:
+                out[family] = read
+                break
+    twice = garble(out.get(("western", "utf_8"), ""), "latin_1", "utf_8")
+    return out | ({("twice", "utf_8"): twice} if twice else {})
+
+
 #: Gains are counted by the hundredth of a nat up to this many nats, so that no quantile needs them in one place.
 MOST = 100.0
 
 
 def _measured(judge: Restorer, passages: list[str], times: list[int]) -> pd.DataFrame:
-    """How often clean passages, and those garbled on purpose, gain how much: (bad, gain, n)."""
-    found: dict[tuple[bool, float], int] = {}
+    """How often clean passages (family ""), and those garbled on purpose, gain how much: (family, gain, n)."""
+    found: dict[tuple[str, float], int] = {}
     for passage, n in zip(passages, times):
-        tried = [(False, passage)]
-        for w, t in (("cp1252", "utf_8"), ("latin_1", "utf_8"), ("cp437", "utf_8"), ("mac_roman", "utf_8")):
-            try:
-                tried.append((True, passage.encode(t).decode(w)))
-            except UnicodeError:
-                pass
-        for bad, text in tried:
-            at = (bad, round(min(MOST, judge.passage(text)[0]), 2))
+        for family, text in [("", passage), *((">".join(f), g) for f, g in garblings(passage).items())]:
+            at = (family, round(min(MOST, judge.passage(text)[0]), 2))
             found[at] = found.get(at, 0) + n
-    return pd.DataFrame([(*k, n) for k, n in found.items()], columns=["bad", "gain", "n"])
+    return pd.DataFrame([(*k, n) for k, n in found.items()], columns=["family", "gain", "n"])
 
 
 def _quantile(gains: pd.DataFrame, q: float) -> float:
@@ -413,39 +472,45 @@ def _quantile(gains: pd.DataFrame, q: float) -> float:
 
 
 def clean_passages(documents: DataFrame) -> DataFrame:
-    """(passage, n): every passage that isn't ASCII and looks clean by its bytes, digits being alike as in the model, and how many distinct ones it stands for."""
+    """(half, passage, n): every passage that isn't ASCII and looks clean by its bytes, digits being alike as in the model, and how many distinct ones it stands for."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         suspect = Suspects()
         for rows in batches:
-            found = [p for p in dict.fromkeys(p for text in rows["text"] for p in _SENTENCE.split(_bare(text)) if not p.isascii()) if not suspect(p)]
-            yield pd.DataFrame({"passage": [p.translate(_ALIKE) for p in found], "as_is": found}, dtype=object)
+            found = dict.fromkeys((h, p) for text, h in zip(rows["text"], rows["half"]) for p in _SENTENCE.split(_bare(text)) if not p.isascii())
+            found = [(h, p.translate(_ALIKE), p) for h, p in found if not suspect(p)]
+            yield pd.DataFrame(found, columns=["half", "passage", "as_is"])
 
     spark = documents.sparkSession
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = documents.filter(F.col("text").rlike(r"[^\x00-\x7F]")).select("text")
-    distinct = texts.mapInPandas(cut, "passage string, as_is string").distinct()
-    return distinct.groupBy("passage").agg(F.count("*").alias("n")).repartition(tasks, "passage")
+    texts = documents.filter(F.col("text").rlike(r"[^\x00-\x7F]")).select("text", half(F.col("text")).alias("half"))
+    distinct = texts.mapInPandas(cut, "half int, passage string, as_is string").distinct()
+    return distinct.groupBy("half", "passage").agg(F.count("*").alias("n")).repartition(tasks, "passage")
 
 
-def margin_of(spark: SparkSession, documents: DataFrame, model: Model) -> float:
+def margin_of(spark: SparkSession, documents: DataFrame, halves: list[Model]) -> float:
     """A margin for passages: above what 99 % of those that look clean gain, below what 99 % of those garbled on purpose gain.
 
-    All distinct passages of the corpus count. At least 1 nat; what looks clean by its bytes may still
-    be garbled, hence no higher share.
+    All distinct passages of the corpus count, each judged by the model of the half that it isn't
+    in. They are garbled by every family of chains; of families whose gains overlap with those of
+    clean passages more than that, none can set the margin. At least 1 nat; what looks clean by
+    its bytes may still be garbled, hence no higher share.
     """
-    shared = spark.sparkContext.broadcast((model.tri, model.bi, model.uni))
+    shared = spark.sparkContext.broadcast([_tables(m) for m in halves])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = Restorer(Model(*shared.value), 0.0)
+        judges = [Restorer(Model(*tables), 0.0) for tables in shared.value]
         for rows in batches:
-            yield _measured(judge, rows["passage"].tolist(), rows["n"].tolist())
+            for h, own in rows.groupby("half"):
+                yield _measured(judges[1 - h], own["passage"].tolist(), own["n"].tolist())
 
-    gains = clean_passages(documents).mapInPandas(measure, "bad boolean, gain double, n bigint").groupBy("bad", "gain").agg(F.sum("n").alias("n")).toPandas()
-    clean, garbled = gains[~gains["bad"].astype(bool)], gains[gains["bad"].astype(bool)]
-    if clean.empty:
+    gains = clean_passages(documents).mapInPandas(measure, "family string, gain double, n bigint").groupBy("family", "gain").agg(F.sum("n").alias("n")).toPandas()
+    by = {family: rows for family, rows in gains.groupby("family")}
+    if "" not in by:
         return 3.0
-    return max(1.0, min(_quantile(clean, 0.99), _quantile(garbled, 0.01) if len(garbled) else math.inf))
+    clean = max(1.0, _quantile(by.pop(""), 0.99))
+    least = [_quantile(rows, 0.01) for rows in by.values()]
+    return max(1.0, min([clean, *(x for x in least if x > 1.0)]))
 
 
 def restore(spark: SparkSession, documents: DataFrame, *, key: str = "doc_id") -> DataFrame:
@@ -462,8 +527,8 @@ def restore(spark: SparkSession, documents: DataFrame, *, key: str = "doc_id") -
     cores = spark.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < 2 * cores:
         docs = docs.repartition(2 * cores)
-    model = train(spark, docs)
-    margin = margin_of(spark, docs, model)
+    *halves, model = train(spark, docs)
+    margin = margin_of(spark, docs, halves)
     shared = spark.sparkContext.broadcast((model.tri, model.bi, model.uni, margin))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,8 +1,9 @@
 import random
+from collections import Counter
 
 import pandas as pd
 
-from tessaro.llm.mojibake import _quantile, as_bytes, clean_passages, readings, restore
+from tessaro.llm.mojibake import CHAINS, FAMILIES, _codes, _places, _quantile, as_bytes, clean_passages, garblings, half, readings, restore, train
 
 PLAIN = {
     "fr": "La volatilité réalisée passe de 21 à 34 % ; l’écart reste élevé après la clôture.", "de": "Größere Fenster ändern das Vorzeichen, die Prüfung bleibt maßgeblich für später.",
@@ -70,7 +71,22 @@ def test_legacy_chains_are_found_however_often_the_corpus_repeats(spark):
 def test_every_distinct_passage_sets_the_margin(spark):
     texts = [f"Der Wert {i} fällt für sich später aus." for i in range(600)]
     rows = [(i, t) for i, t in enumerate(texts * 2 + ["plain ascii", "Quoted: `Ã©`.", None, ""])]
-    got = {r.passage: r.n for r in clean_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = Counter()
+    for r in clean_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        got[r.passage] += r.n
     assert got == {f"Der Wert {'0' * k} fällt für sich später aus.": n for k, n in ((1, 10), (2, 90), (3, 500))}
     gains = pd.DataFrame({"gain": [5.0, 0.0, 1.0], "n": [1, 98, 1]})
     assert [_quantile(gains, q) for q in (0.01, 0.98, 0.99, 1.0)] == [0.0, 0.0, 1.0, 5.0]
+
+
+def test_halves_are_held_out_and_garbled_by_every_family(spark):
+    texts = [f"{PLAIN['de']} Größe {chr(0x4E00 + i)} zählt." for i in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key bigint, text string")
+    where = {r.text: r.half for r in df.select("text", half(df.text).alias("half")).collect()}
+    models = train(spark, df)
+    for i, text in enumerate(texts):
+        own = _places(_codes(f"Größe {chr(0x4E00 + i)} zählt."))[2][6 - 2]
+        assert [m.uni[own] for m in models] == [1 - where[text], where[text], 1]
+    done = {f for t in PLAIN.values() for part in (t, *t.split()) for f in garblings(part)}
+    assert done == {*FAMILIES, ("twice", "utf_8")} and sum(map(len, FAMILIES.values())) == len(CHAINS)
+    assert garblings("é")[("western", "utf_8")] == "Ã©"
