@@ -158,7 +158,7 @@ def spark_tail(s: SparkSession, d: str) -> DataFrame:
     """The last 24 values of each factor, oldest first."""
     from pyspark.sql import Window
 
-    long = factor_long(s, d, _few)
+    long = factor_long(s, d, {k: f.node for k, f in FACTORS.items()})
     newest = F.row_number().over(Window.partitionBy("product_id", "factor_id").orderBy(F.col("bar_idx").desc()))
     last = long.withColumn("k", newest).filter("k <= 24")
     tail = F.array_sort(F.collect_list(F.struct("bar_idx", F.round("x", 5).alias("x"))))

@@ -15,7 +15,8 @@ from ..session import Scratch, table
 from ..sources import lake, synthetic
 from . import views
 from .compiler import evaluate
-from .factor_queries import _few, _long, with_
+from .factor_queries import _long, with_
+from .factors import FACTORS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,10 +39,13 @@ def _search(s: SparkSession, d: str) -> DataFrame:
 add("search_run", _search)
 
 
+_all = {k: f.node for k, f in FACTORS.items()}
+
+
 def _null_band(s: SparkSession, d: str) -> DataFrame:
     """Percentiles of absolute correlations on random walks, per factor and pooled."""
     walks = synthetic.walks(s, list(range(1007, 1027)), 350)
-    long = _long(evaluate(walks.drop("seed"), _few), list(_few)).withColumn("product_id", F.concat_ws("|", "product_id", "factor_id"))
+    long = _long(evaluate(walks.drop("seed"), _all), list(_all)).withColumn("product_id", F.concat_ws("|", "product_id", "factor_id"))
     ics = ev.information(long, [1], ["product_id"]).select(F.split_part("product_id", F.lit("|"), F.lit(2)).alias("factor_id"), "n", F.abs("ic").alias("abs_ic"))
     band = ics.groupingSets([["factor_id"], []], "factor_id").agg(*(F.round(F.percentile("abs_ic", F.lit(q / 100)), 4).alias(f"p{q}") for q in (50, 95, 99)), F.count("abs_ic").alias("n"))
     return band.withColumn("factor_id", F.coalesce("factor_id", F.lit("pooled")))

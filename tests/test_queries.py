@@ -41,3 +41,11 @@ def test_equals_sql(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_the_null_band_has_every_factor(spark):
+    from tessaro.plans.factors import FACTORS
+    from tessaro.plans.search_queries import QUERIES
+
+    n = {r.factor_id: r.n for r in QUERIES["null_band"](spark, "").collect()}
+    assert {*n} == {*FACTORS, "pooled"} and n["pooled"] == sum(n[k] for k in FACTORS)
