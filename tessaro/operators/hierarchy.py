@@ -225,3 +225,26 @@ def paths(of: DataFrame, nodes: DataFrame, node: str, separator: str = "/") -> D
     above = x.join(y, "tree").filter("entry <= at AND at <= leave")
     steps = above.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("entry", "x"))).alias("s"))
     return steps.select(F.col("y").alias(node), F.array_join(F.transform("s", lambda s: s["x"]), separator).alias("path"))
+
+
+def lineages(spark: SparkSession, links: DataFrame, of: DataFrame, node: str, parent: str) -> DataFrame:
+    """Every (node, ancestor, distance) of hierarchies(spark, links, node, parent) = of, distance 0 being the node itself.
+
+    By doubling: what lies up to 2^k above, together with what lies up to 2^k above that which is
+    exactly 2^k above, is all up to 2^(k+1), each pair once. So the rounds grow with the logarithm
+    of the depth and every table is at most as large as the answer. A node on a cycle has no ancestor.
+    """
+    scratch = Scratch(spark, "lineages")
+    up = links.select(F.col(node).cast("string").alias("node"), F.col(parent).cast("string").alias("up"))
+    up = up.groupBy("node").agg(F.min(F.struct(F.col("up").isNotNull(), F.col("up"))).alias("m")).select("node", F.col("m.up").alias("ancestor"))
+    known = of.select(F.col(node).alias("node"), (F.col("looped") & (F.col(node) == F.col("tree"))).alias("on_cycle"))
+    above = up.join(known.filter("NOT on_cycle"), "node", "left_semi").join(known.select(F.col("node").alias("ancestor")), "ancestor", "left_semi")
+    pairs, k = scratch.keep(above.select("node", "ancestor", F.lit(1).cast("bigint").alias("distance")), "pairs0"), 0
+    while not (far := pairs.filter(F.col("distance") == 1 << k)).isEmpty():
+        beyond = pairs.select(F.col("node").alias("middle"), F.col("ancestor").alias("over"), F.col("distance").alias("more"))
+        longer = far.withColumnRenamed("ancestor", "middle").join(beyond, "middle").select("node", F.col("over").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+        pairs = scratch.keep(pairs.unionByName(longer), f"pairs{k + 1}")
+        scratch.drop(f"pairs{k}")
+        k += 1
+    own = known.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("bigint").alias("distance"))
+    return pairs.unionByName(own).withColumnRenamed("node", node)

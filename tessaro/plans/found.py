@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.compaction import compact
 from ..operators.gridfill import regular_grid
-from ..operators.hierarchy import hierarchies
+from ..operators.hierarchy import hierarchies, lineages
 from ..operators.spikes import flag_readings
 from ..session import table
 
@@ -26,8 +26,26 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """Every expression with its root, depth and interval of descendants along first parents."""
-    first = table(spark, d, "archive_records").groupBy("expr_id").agg(F.min_by(F.get("parents", F.lit(0)), "line_no").alias("parent"))
-    return hierarchies(spark, first, "expr_id", "parent")
+    return hierarchies(spark, _first_parents(spark, d), "expr_id", "parent")
+
+
+def _first_parents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "archive_records").groupBy("expr_id").agg(F.min_by(F.get("parents", F.lit(0)), "line_no").alias("parent"))
+
+
+def _lineages(spark: SparkSession, d: str) -> DataFrame:
+    return lineages(spark, _first_parents(spark, d), p4_hierarchy(spark, d), "expr_id", "parent")
+
+
+def p4_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Every expression's path from its root, or from the node of a cycle that it hangs on, down to itself."""
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "ancestor")))
+    return _lineages(spark, d).groupBy("expr_id").agg(F.transform(steps, lambda s: s["ancestor"]).alias("path"))
+
+
+def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every descendant of every expression, and how far below it lies."""
+    return _lineages(spark, d).filter("distance > 0").select(F.col("ancestor").alias("expr_id"), F.col("expr_id").alias("descendant"), "distance")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_flags": p1_flags,
     "p4_found": p4_found,
     "p4_hierarchy": p4_hierarchy,
+    "p4_paths": p4_paths,
+    "p4_descendants": p4_descendants,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_grid": p6_grid,

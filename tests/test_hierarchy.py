@@ -1,6 +1,6 @@
 import random
 
-from tessaro.operators.hierarchy import descendants, hierarchies, paths
+from tessaro.operators.hierarchy import descendants, hierarchies, lineages, paths
 
 
 def brute(parent, x):
@@ -53,3 +53,29 @@ def test_nulls_repeats_clashing_columns_and_nothing(spark):
     got = {r.id: (r.root_id, r.depth) for r in hierarchies(spark, df, "id", "parent").collect()}
     assert got == {"a": ("a", 0), "b": ("a", 1), "": ("a", 1), "x" * 5000: ("a", 2)}
     assert hierarchies(spark, df.limit(0), "id", "parent").count() == 0
+
+
+def test_all_lineages_against_brute_force(spark):
+    parent = forest(600, 5)
+    links = spark.createDataFrame(list(parent.items()), "x string, p string")
+    want = set()
+    for x in parent:
+        at, d, seen = x, 0, []
+        while at in parent:
+            seen.append(at)
+            want.add((x, at, d))
+            up, over = parent[at], set()
+            while up in parent and up not in over and up != at:
+                over.add(up)
+                up = parent[up]
+            if up == at:  # a cycle's node ends the path
+                break
+            at, d = parent[at], d + 1
+    got = [tuple(r) for r in lineages(spark, links, run(spark, parent), "x", "p").select("x", "ancestor", "distance").collect()]
+    assert len(got) == len(want) and {*got} == want
+
+
+def test_paths_and_descendants_are_queries():
+    from tessaro.plans.found import QUERIES
+
+    assert {"p4_paths", "p4_descendants"} <= {*QUERIES}
