@@ -154,7 +154,7 @@ def dies_at(fees: DataFrame) -> DataFrame:
     return fees.groupBy("product_id").agg(low.alias("dies_at_bps"), F.when(low.isNull() | (low > STANDALONE_BPS), "standalone").otherwise("component").alias("label"))
 
 
-def run_search(bars: DataFrame, *, seed: int = 7, generations: int = 2, per_generation: int = 3, gates: Gates | None = None) -> dict:
+def run_search(bars: DataFrame, *, seed: int = 7, generations: int = 8, per_generation: int = 6, gates: Gates | None = None) -> dict:
     """The records, the finalists' one look at the holdout, and the counts of a search over one product's bars."""
     gates, rng = gates or Gates(), random.Random(seed)
     bars = bars.persist()

@@ -29,9 +29,9 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | N
 
 
 def _search(s: SparkSession, d: str) -> DataFrame:
-    """A short search over a planted walk; its product is the driver's own, not a table."""
-    bars = synthetic.walks(s, [9], 1200, sigma=0.01, phi=-0.12).drop("seed")
-    found = search.run_search(bars, generations=1, per_generation=3)
+    """A search over a planted walk; its product is the driver's own, not a table."""
+    bars = synthetic.walks(s, [9], 2400, sigma=0.01, phi=-0.12).drop("seed")
+    found = search.run_search(bars)
     rows = [(r["expr_id"], r["text"], r["family"], r["verdict"], json.dumps(r.get("insample"))) for r in found["records"]]
     return s.createDataFrame(rows, "expr_id string, text string, family string, verdict string, insample string")
 

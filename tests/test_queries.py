@@ -49,3 +49,11 @@ def test_the_null_band_has_every_factor(spark):
 
     n = {r.factor_id: r.n for r in QUERIES["null_band"](spark, "").collect()}
     assert {*n} == {*FACTORS, "pooled"} and n["pooled"] == sum(n[k] for k in FACTORS)
+
+
+def test_the_registered_search_makes_all_proposals(spark, monkeypatch):
+    from tessaro.operators import search
+    from tessaro.plans.search_queries import QUERIES
+
+    monkeypatch.setattr(search, "_measures", lambda bars, nodes, *rest: {k: {"ic": None, "n": 0} for k in nodes})
+    assert QUERIES["search_run"](spark, "").count() == len(search.FAMILIES) + 8 * 6
