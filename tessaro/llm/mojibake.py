@@ -10,9 +10,10 @@ garbled on purpose, each judged by a model trained on the other half of the text
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,33 +49,33 @@ _QUOTED = re.compile(r"`[^`\n]*`")
 _SENTENCE = re.compile(r"(?<=[\n。！？])|(?<=[.!?…])(?=\s)")
 
 
-_ALIKE = {d: 48 for d in range(49, 58)}  # digits, as the model sees them
+_ALIKE = bytes(48 if 49 <= b <= 57 else b for b in range(256))
 
 
-class _Inverse(dict):
-    """Characters to the byte that stands for them; others to one no byte can hold."""
+def alike(text: str) -> str:
+    """The text as the model sees it: all digits are the same. In UTF-8 their bytes stand for nothing else."""
+    return text.encode("utf_8", "surrogatepass").translate(_ALIKE).decode("utf_8", "surrogatepass")
 
-    def __missing__(self, key: int) -> int:
-        return 0x100
 
-
-def _inverse(codec: str) -> _Inverse:
-    out = _Inverse()
+def _characters(codec: str) -> str:
+    """What each of the 256 bytes is read as; one left undefined stands for itself."""
+    out = []
     for b in range(256):
         try:
-            out[ord(bytes([b]).decode(codec))] = b
+            out.append(bytes([b]).decode(codec))
         except UnicodeDecodeError:
-            out.setdefault(b, b)
-    return out
+            out.append(chr(b))
+    return "".join(out)
 
 
-_TABLES = {c: _inverse(c) for c in _SINGLE}
+_CHARACTERS = {c: _characters(c) for c in _SINGLE}
+_BYTES = {c: codecs.charmap_build(table) for c, table in _CHARACTERS.items()}
 
 
 def as_bytes(text: str, codec: str) -> bytes | None:
     """The bytes that were read as text, or null if this encoding can't have produced it."""
     try:
-        return text.translate(_TABLES[codec]).encode("latin_1") if codec in _TABLES else text.encode(codec)
+        return codecs.charmap_encode(text, "strict", _BYTES[codec])[0] if codec in _BYTES else text.encode(codec)
     except UnicodeEncodeError:
         return None
 
@@ -112,10 +113,14 @@ def _codes(text: str) -> np.ndarray:
     return np.where((x >= 49) & (x <= 57), 48, x)  # digits are all alike
 
 
+def _hashes(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table places of the trigrams abc, the bigrams bc and the characters c."""
+    return ((a * 2654435761 ^ b * 40503 ^ c * 2246822519) >> 7) & (TRI - 1), ((b * 2654435761 ^ c * 40503) >> 5) & (BI - 1), c & (UNI - 1)
+
+
 def _places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The table places of the n-grams that end at each character from the third on."""
-    a, b, c = x[:-2], x[1:-1], x[2:]
-    return ((a * 2654435761 ^ b * 40503 ^ c * 2246822519) >> 7) % TRI, ((b * 2654435761 ^ c * 40503) >> 5) % BI, c % UNI
+    return _hashes(x[:-2], x[1:-1], x[2:])
 
 
 #: Taken off every count, so that a text garbled once doesn't vouch for itself: so much at least, and this share of
@@ -134,28 +139,60 @@ class Model:
         self.tri, self.bi, self.uni, self.total = tri, bi, uni, max(1.0, float(uni.sum()))
         self.discount = max(DISCOUNT, DISCOUNT_SHARE * self.total)
 
-    def loss(self, text: str, unseen: float = UNSEEN) -> float:
-        """Negative log likelihood of the third character onward."""
-        x = _codes(text)
-        if len(x) < 3:
-            return 0.0
-        t, b, c = _places(x)
-        before = _places(np.concatenate([[0], x[:-1]]))  # the contexts are n-grams themselves
-        n_ab, n_b = self.bi[before[1]], self.uni[before[2]]
-        less = lambda n: np.maximum(n - self.discount, 0.0)
-        p = 0.6 * less(self.tri[t]) / np.maximum(n_ab, 1.0) + 0.3 * less(self.bi[b]) / np.maximum(n_b, 1.0) + 0.1 * less(self.uni[c]) / self.total + unseen
-        return float(-np.log(np.minimum(p, 1.0)).sum())
+    def _less(self, n: np.ndarray) -> np.ndarray:
+        return np.maximum(n - self.discount, 0.0)
 
-    def rarity(self, text: str, unseen: float = RARE) -> float:
-        """Negative logarithms of the trigrams' shares in all, added up.
+    def _likely(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, unseen: float) -> np.ndarray:
+        """Negative log likelihood of the characters c, each after a and b."""
+        tri, bi, uni = _hashes(a, b, c)
+        _, before, _ = _hashes(a, a, b)  # the contexts are n-grams themselves
+        p = 0.6 * self._less(self.tri[tri]) / np.maximum(self.bi[before], 1.0)
+        p += 0.3 * self._less(self.bi[bi]) / np.maximum(self.uni[b & (UNI - 1)], 1.0) + 0.1 * self._less(self.uni[uni]) / self.total + unseen
+        return -np.log(np.minimum(p, 1.0))
+
+    def _frequent(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, unseen: float) -> np.ndarray:
+        """Negative logarithms of the trigrams' shares in all."""
+        return -np.log(self._less(self.tri[_hashes(a, b, c)[0]]) / self.total + unseen)
+
+    def _added(self, score: Callable, texts: list[str], unseen: float, most: np.ndarray | None) -> np.ndarray:
+        """The score of each text's characters from the third on, added up; infinite once it exceeds `most`.
+
+        All texts are scored together, a few characters further each time, so that a reading that
+        is no good costs its beginning only.
+        """
+        x = _codes("".join(texts))
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin, out = np.cumsum(size) - size, np.zeros(len(texts))
+        alive, at, step = np.flatnonzero(size > 2), 2, 8 if most is not None else 1 << 40
+        while len(alive):
+            n = np.minimum(size[alive] - at, step)
+            first = np.cumsum(n) - n
+            i = np.arange(n.sum()) + np.repeat(begin[alive] + at - first, n)
+            out[alive] += np.add.reduceat(score(x[i - 2], x[i - 1], x[i], unseen), first)
+            if most is not None:
+                lost = alive[out[alive] >= most[alive]]
+                out[lost] = np.inf
+            at, step = at + step, 2 * step
+            alive = alive[(size[alive] > at) & (out[alive] < np.inf)]
+        return out
+
+    def losses(self, texts: list[str], unseen: float = UNSEEN, most: np.ndarray | None = None) -> np.ndarray:
+        """Negative log likelihood of each text's third character onward; infinite where it reaches `most`."""
+        return self._added(self._likely, texts, unseen, most)
+
+    def rarities(self, texts: list[str], unseen: float = RARE, most: np.ndarray | None = None) -> np.ndarray:
+        """Negative logarithms of the trigrams' shares in all, added up per text.
 
         Other than by their likelihood after one another, a language's garbled texts stay rarer than
         its clean ones, however many of them there are.
         """
-        x = _codes(text)
-        if len(x) < 3:
-            return 0.0
-        return float(-np.log(np.maximum(self.tri[_places(x)[0]] - self.discount, 0.0) / self.total + unseen).sum())
+        return self._added(self._frequent, texts, unseen, most)
+
+    def loss(self, text: str, unseen: float = UNSEEN) -> float:
+        return float(self.losses([text], unseen)[0])
+
+    def rarity(self, text: str, unseen: float = RARE) -> float:
+        return float(self.rarities([text], unseen)[0])
 
 
 def _bare(text: str) -> str:
@@ -197,113 +234,184 @@ class Suspects:
         return 2 * odd >= size > 0
 
 
-#: Which table of counts is that of all texts; the others are those of each half.
-WHOLE = 2
+def passages(text: str) -> list[str]:
+    """The passages of a text, as the model sees them, without what is quoted."""
+    return _SENTENCE.split(_bare(alike(text)))
 
 
-def _counter(batches: Iterator[pd.DataFrame], suspects: list[tuple[int, Callable[[str], bool]]]) -> Iterator[pd.DataFrame]:
-    """The counts (part, at, n) of texts of one half each; a half's table takes its own texts, the table of the whole takes all."""
+def _counter(batches: Iterator[pd.DataFrame], suspects: Callable[[int], Callable[[list[str]], list[bool]]]) -> Iterator[pd.DataFrame]:
+    """The counts (part, at, n) of the passages of each half's texts; suspects(half) says of passages which to leave out."""
     done: dict[int, np.ndarray] = {}
-    held: dict[int, list[str]] = {}
-
-    def add(part: int) -> None:
-        x = _codes("\n\n" + "\n\n".join(held.pop(part)))
-        tables = done.setdefault(part, np.zeros(TRI + BI + UNI, np.int64))
-        for first, size, at in zip((0, TRI, TRI + BI), (TRI, BI, UNI), _places(x)):
-            tables[first : first + size] += np.bincount(at, minlength=size)
-
+    tell: dict[int, Callable] = {}
     for rows in batches:
-        size = 0
-        for text, half in zip(rows["text"], rows["half"]):
-            if not text:
-                continue
-            for part, suspect in suspects:
-                if part not in (half, WHOLE):
-                    continue
-                kept = text
-                if not text.isascii():
-                    kept = "".join(p if p.isascii() or not suspect(p) else "\n" for p in _SENTENCE.split(_bare(text)))
-                held.setdefault(part, []).append(kept)
-                size += len(kept)
-            if size > 2_000_000:
-                for part in [*held]:
-                    add(part)
-                size = 0
-        for part in [*held]:
-            add(part)
+        for part, own in rows.groupby("half")["text"]:
+            if part not in done:
+                done[part], tell[part] = np.zeros(TRI + BI + UNI, np.int64), suspects(int(part))
+            tables = done[part]
+            for texts in _portions([t for t in own if t]):
+                cut = [[t] if t.isascii() else passages(t) for t in texts]
+                asked = list(dict.fromkeys(p for t in cut for p in t if not p.isascii()))
+                left_out = {p for p, odd in zip(asked, tell[part](asked)) if odd}
+                x = _codes("\n\n" + "\n\n".join("".join("\n" if p in left_out else p for p in t) for t in cut))
+                for first, size, at in zip((0, TRI, TRI + BI), (TRI, BI, UNI), _places(x)):
+                    tables[first : first + size] += np.bincount(at, minlength=size)
     for part, tables in done.items():
         at = np.flatnonzero(tables)
         yield pd.DataFrame({"part": part, "at": at, "n": tables[at]})
 
 
+def _portions(texts: list[str | None], size: int = 1_000_000) -> Iterator[list[str | None]]:
+    """The texts in portions of about so many characters."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t or "")
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 class Restorer:
     """Judges and restores texts by a model and a margin; remembers runs it has seen."""
 
+    #: Runs in their contexts, and passages, that are remembered at a time.
+    MOST = 200_000
+
     def __init__(self, model: Model, margin: float):
         self.model, self.margin = model, margin
         self.known: dict[tuple[str, str, str], tuple[float, str, tuple]] = {}
         self.read: dict[str, dict] = {}
         self.rare: dict[tuple[str, str, str], float] = {}
         self.judged: dict[str, bool] = {}
+        self.gains: dict[str, float] = {}
+
+    def _runs(self, texts: Iterable[str], seen: dict) -> list[tuple[str, str, str]]:
+        """The (two characters before, run, two after) of all runs that aren't in `seen`, and have readings."""
+        if len(seen) > self.MOST:
+            seen.clear()
+        if len(self.read) > self.MOST:
+            self.read.clear()
+        fresh = {}
+        for text in texts:
+            for m in _RUN.finditer(text):
+                key = (text[max(0, m.start() - 2) : m.start()], m[0], text[m.end() : m.end() + 2])
+                if key not in seen:
+                    fresh[key] = None
+        for key in fresh:
+            if key[1] not in self.read:
+                self.read[key[1]] = readings(key[1])
+        return list(fresh)
+
+    def learn(self, texts: Iterable[str]) -> None:
+        """Find (gain over the run as it stands, reading, chain) of the likeliest reading of all runs, each in its context."""
+        keys = self._runs(texts, self.known)
+        here = self.model.losses(["".join(k) for k in keys])
+        tried, most, owner = [], [], []
+        for i, ((left, run, right), loss) in enumerate(zip(keys, here.tolist())):
+            self.known[keys[i]] = (0.0, run, ())
+            for read, chain in self.read[run].items():
+                # No reading can gain more than the run loses, so most need no scoring.
+                limit = loss - _COST.get(chain[-1][1], _LEGACY_COST)
+                if limit > 0:
+                    tried.append(left + read + right)
+                    most.append(limit)
+                    owner.append((i, read, chain))
+        most = np.array(most)
+        gain = most - self.model.losses(tried, UNSEEN_READ, most)
+        for j in np.flatnonzero(gain > 0).tolist():
+            i, read, chain = owner[j]
+            self.known[keys[i]] = max(self.known[keys[i]], (float(gain[j]), read, chain))
 
     def best(self, left: str, run: str, right: str) -> tuple[float, str, tuple]:
-        """(gain over the run as it stands, reading, chain) of the likeliest reading in its context."""
-        key = (left.translate(_ALIKE), run, right.translate(_ALIKE))
+        """(gain, reading, chain) of a run in its context."""
+        key = (alike(left), run, alike(right))
         if key not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-                self.read.clear()
-            if run not in self.read:
-                self.read[run] = readings(run)
-            found = self.read[run]
-            here = self.model.loss(left + run + right) if found else 0.0
-            best = (0.0, run, ())
-            for read, chain in found.items():
-                # No reading can gain more than the run loses, so most need no scoring.
-                most = here - _COST.get(chain[-1][1], _LEGACY_COST)
-                if most > best[0]:
-                    best = max(best, (most - self.model.loss(left + read + right, UNSEEN_READ), read, chain))
-            self.known[key] = best
+            self.learn(["".join(key)])
         return self.known[key]
 
-    def outnumbered(self, text: str) -> float:
-        """By how much readings of a passage's runs, other than as UTF-8, consist of more frequent trigrams, in nats.
+    def compare(self, texts: Iterable[str]) -> None:
+        """By how much readings of runs, other than as UTF-8, consist of more frequent trigrams, in nats.
 
         For training only: where garbled texts were counted too, likelihoods don't tell them from clean ones.
         """
-        gain = 0.0
+        keys = self._runs(texts, self.rare)
+        here = self.model.rarities(["".join(k) for k in keys])
+        tried, most, owner = [], [], []
+        for i, ((left, run, right), rare) in enumerate(zip(keys, here.tolist())):
+            self.rare[keys[i]] = 0.0
+            for read, chain in self.read[run].items():
+                limit = rare - _COST.get(chain[-1][1], _LEGACY_COST)
+                if chain[-1][1] != "utf_8" and limit > 0:
+                    tried.append(left + read + right)
+                    most.append(limit)
+                    owner.append(keys[i])
+        most = np.array(most)
+        gain = most - self.model.rarities(tried, RARE_READ, most)
+        for j in np.flatnonzero(gain > 0).tolist():
+            self.rare[owner[j]] = max(self.rare[owner[j]], float(gain[j]))
+
+    def _together(self, text: str, known: dict) -> tuple[float, int]:
+        """The gain of a passage's runs added up, and how many characters of them stand for single bytes."""
+        gain, single = 0.0, 0
         for m in _RUN.finditer(text):
-            left, right = text[max(0, m.start() - 2) : m.start()], text[m.end() : m.end() + 2]
-            key = (left.translate(_ALIKE), m[0], right.translate(_ALIKE))
-            if key not in self.rare:
-                if len(self.rare) > 200_000:
-                    self.rare.clear()
-                if m[0] not in self.read:
-                    self.read[m[0]] = readings(m[0])
-                legacy = [(r, _COST.get(c[-1][1], _LEGACY_COST)) for r, c in self.read[m[0]].items() if c[-1][1] != "utf_8"]
-                here = self.model.rarity(left + m[0] + right) if legacy else 0.0
-                self.rare[key] = max((here - self.model.rarity(left + r + right, RARE_READ) - cost for r, cost in legacy), default=0.0)
-            gain += max(0.0, self.rare[key])
-        here = None
-        for w, t in _WHOLE:
-            raw = as_bytes(text, w) if gain <= 0 and t != "utf_8" else None
-            try:
-                whole = raw.decode(t) if raw is not None else text
-            except UnicodeDecodeError:
-                continue
-            if whole != text:
-                here = self.model.rarity(text) if here is None else here
-                gain = max(gain, here - self.model.rarity(whole, RARE_READ) - _COST.get(t, _LEGACY_COST))
-        return gain
-
-    def suspect(self, passage: str) -> bool:
-        """Whether to leave a passage out of a second training."""
-        key = passage.translate(_ALIKE)
-        if key not in self.judged:
-            if len(self.judged) > 200_000:
-                self.judged.clear()
-            self.judged[key] = LOST in key or bool(_CONTROL.search(key)) or self.passage(key)[0] > 0 or self.outnumbered(key) > 0
-        return self.judged[key]
+            more, _, chain = known[text[max(0, m.start() - 2) : m.start()], m[0], text[m.end() : m.end() + 2]]
+            if more > 0:
+                gain += more
+                single += len(m[0]) if chain[-1][1] != "utf_8" else 2
+        return gain, single
+
+    def _wholes(self, texts: list[str], gains: list[float], score: Callable, unseen: float, chains: list[tuple[str, str]]) -> Iterator[tuple[int, float, str, tuple[str, str]]]:
+        """(which text, gain, reading, chain) of passages that gain more as a whole, where one character took an ASCII byte along."""
+        here = score(texts)
+        tried, most, owner = [], [], []
+        for i, (text, gain, loss) in enumerate(zip(texts, gains, here.tolist())):
+            for w, t in chains:
+                raw = as_bytes(text, w)
+                try:
+                    whole = text if raw is None else raw.decode(t)
+                except UnicodeDecodeError:
+                    continue
+                limit = loss - _COST.get(t, _LEGACY_COST) - gain
+                if whole != text and limit > 0:
+                    tried.append(whole)
+                    most.append(limit)
+                    owner.append((i, (w, t)))
+        most = np.array(most)
+        more = most - score(tried, unseen, most)
+        for j in np.flatnonzero(more > 0).tolist():
+            i, chain = owner[j]
+            yield i, gains[i] + float(more[j]), tried[j], chain
+
+    def gains_of(self, texts: list[str]) -> list[float]:
+        """The gains of passages as the model sees them."""
+        self.learn(texts)
+        gains = []
+        for text in texts:
+            gain, single = self._together(text, self.known)
+            # One rare symbol may look like another one's byte; a passage of one has more to prove.
+            gains.append(gain - _LEGACY_COST if single == 1 else gain)
+        open_ = [i for i, (text, gain) in enumerate(zip(texts, gains)) if gain > 0 or _CONTROL.search(text)]
+        for j, gain, _, _ in self._wholes([texts[i] for i in open_], [gains[i] for i in open_], self.model.losses, UNSEEN_READ, _WHOLE):
+            gains[open_[j]] = max(gains[open_[j]], gain)
+        shut = set(range(len(texts))).difference(open_)
+        return [0.0 if i in shut else g for i, g in enumerate(gains)]
+
+    def suspects(self, texts: list[str]) -> list[bool]:
+        """Of passages as the model sees them, which to leave out of a second training."""
+        if len(self.judged) > self.MOST:
+            self.judged.clear()
+        fresh = [p for p in dict.fromkeys(texts) if p not in self.judged]
+        self.judged |= {p: gain > 0 or LOST in p or bool(_CONTROL.search(p)) for p, gain in zip(fresh, self.gains_of(fresh))}
+        unsure = [p for p in fresh if not self.judged[p]]
+        self.compare(unsure)
+        rare = [sum(self.rare[text[max(0, m.start() - 2) : m.start()], m[0], text[m.end() : m.end() + 2]] for m in _RUN.finditer(text)) for text in unsure]
+        self.judged |= {p: True for p, gain in zip(unsure, rare) if gain > 0}
+        unsure = [p for p in unsure if not self.judged[p]]
+        for i, _, _, _ in self._wholes(unsure, [0.0] * len(unsure), self.model.rarities, RARE_READ, [c for c in _WHOLE if c[1] != "utf_8"]):
+            self.judged[unsure[i]] = True
+        return [self.judged[p] for p in texts]
 
     def passage(self, text: str) -> tuple[float, str, list[tuple]]:
         """The gain of a passage's runs together, the passage restored, and the chains."""
@@ -317,8 +425,7 @@ class Restorer:
                 weight[chain] = weight.get(chain, 0.0) + more
             runs.append((m, left, right, more, read, chain))
         if single == 1:
-            # One rare symbol may look like another one's byte; a passage of one has more to prove.
-            gain -= _LEGACY_COST
+            gain -= _LEGACY_COST  # as in gains_of()
         if gain <= 0 and not _CONTROL.search(text):
             return 0.0, text, []
         # Runs too short to tell by themselves follow the chain that explains most of the passage.
@@ -326,7 +433,7 @@ class Restorer:
         out, at, chains = [], 0, []
         for m, left, right, more, read, chain in runs:
             if weight and chain != leading:
-                same = next((r for r, c in self.read.get(m[0], {}).items() if c == leading), None)
+                same = next((r for r, c in readings(m[0]).items() if c == leading), None)
                 if same is not None and self.model.loss(left + same + right, UNSEEN_READ) <= self.model.loss(left + (read if more > 0 else m[0]) + right) + 2.0:
                     more, read, chain = 1.0, same, leading
             if more > 0:
@@ -334,21 +441,25 @@ class Restorer:
                 out += [text[at : m.start()], read]
                 at = m.end()
         read = "".join([*out, text[at:]])
-        # Where one character took an ASCII byte along, only the passage as a whole can be undone.
-        here = self.model.loss(text)
-        for w, t in _WHOLE:
-            raw = as_bytes(text, w)
-            if raw is None:
-                continue
-            try:
-                whole = raw.decode(t)
-            except UnicodeDecodeError:
-                continue
-            more = here - self.model.loss(whole, UNSEEN_READ) - _COST.get(t, _LEGACY_COST)
-            if whole != text and more > gain:
-                gain, read, chains = more, whole, [((w, t),)]
+        for _, more, whole, chain in self._wholes([text], [gain], self.model.losses, UNSEEN_READ, _WHOLE):
+            if more > gain:
+                gain, read, chains = more, whole, [(chain,)]
         return gain, read, chains
 
+    def weigh(self, texts: Iterable[str | None]) -> None:
+        """Find the gains of all passages of the texts at once; text() then looks them up."""
+        if len(self.gains) > self.MOST:
+            self.gains.clear()
+        fresh = list(dict.fromkeys(p for t in texts if t and not t.isascii() for p in passages(t) if p not in self.gains and not p.isascii()))
+        self.gains |= dict(zip(fresh, self.gains_of(fresh)))
+
+    def gain(self, part: str) -> float:
+        """A passage's gain, which depends on what the model sees only."""
+        key = alike(part)
+        if key not in self.gains:
+            self.gains[key] = self.gains_of([key])[0]
+        return self.gains[key]
+
     def text(self, text: str | None) -> tuple[bool, str | None, list[str], bool]:
         """(garbled, restored text, chains, whether all of it could be restored)."""
         if not text or text.isascii():
@@ -361,8 +472,8 @@ class Restorer:
             if part.isascii():
                 out.append(whole)
                 continue
-            gain, read, chains = self.passage(part)
-            if gain > self.margin:
+            if self.gain(part) > self.margin:
+                _, read, chains = self.passage(part)
                 garbled = True
                 used |= {"+".join(f"{w}>{t}" for w, t in c) for c in chains}
                 out.append(read if part == whole else self.passage(whole)[1])
@@ -379,14 +490,14 @@ def _tables(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _gathered(documents: DataFrame, count: Callable) -> list[Model]:
-    """The models of the first half, of the second, and of the whole."""
+    """The models of the first half, of the second, and of the whole, whose counts are those of both."""
     counts = documents.select("text", half(F.col("text")).alias("half")).mapInPandas(count, "part int, at bigint, n bigint").groupBy("part", "at").agg(F.sum("n").alias("n")).toPandas()
-    models = []
-    for part in range(WHOLE + 1):
+    halves = []
+    for part in range(2):
         own, tables = counts[counts["part"] == part], np.zeros(TRI + BI + UNI, np.float32)
         tables[own["at"].to_numpy(np.int64)] = own["n"].to_numpy(np.float32)
-        models.append(Model(tables[:TRI], tables[TRI : TRI + BI], tables[TRI + BI :]))
-    return models
+        halves.append(tables)
+    return [Model(t[:TRI], t[TRI : TRI + BI], t[TRI + BI :]) for t in (*halves, halves[0] + halves[1])]
 
 
 def half(text: Column) -> Column:
@@ -404,15 +515,13 @@ def train(spark: SparkSession, documents: DataFrame) -> list[Model]:
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         suspect = Suspects()
-        return _counter(batches, [(part, suspect) for part in range(WHOLE)])
+        return _counter(batches, lambda part: lambda texts: [suspect(p) for p in texts])
 
     first = _gathered(documents, once)
-    # By bytes alone the halves' passages are chosen alike, so their counts add up to the whole's.
-    first[WHOLE] = Model(*(a + b for a, b in zip(_tables(first[0]), _tables(first[1]))))
-    shared = spark.sparkContext.broadcast([_tables(m) for m in first])
+    shared = spark.sparkContext.broadcast([_tables(m) for m in first[:2]])
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _counter(batches, [(part, Restorer(Model(*tables), 0.0).suspect) for part, tables in enumerate(shared.value)])
+        return _counter(batches, lambda part: Restorer(Model(*shared.value[part]), 0.0).suspects)
 
     return _gathered(documents, again)
 
@@ -425,14 +534,13 @@ def _kind(codec: str) -> str:
 FAMILIES: dict[tuple[str, str], list[tuple[str, str]]] = {}
 for _w, _t in CHAINS:
     FAMILIES.setdefault((_kind(_w), _kind(_t)), []).append((_w, _t))
-_CHARACTERS = {c: {b: k for k, b in table.items()} for c, table in _TABLES.items()}
 
 
 def garble(text: str, w: str, t: str) -> str | None:
     """The text written as t and read as w; null if it can't be, or stays what it is."""
     raw = as_bytes(text, t)
     try:
-        read = None if raw is None else "".join(chr(_CHARACTERS[w][b]) for b in raw) if w in _CHARACTERS else raw.decode(w)
+        read = None if raw is None else codecs.charmap_decode(raw, "strict", _CHARACTERS[w])[0] if w in _CHARACTERS else raw.decode(w)
     except UnicodeDecodeError:
         return None
     return None if read == text else read
@@ -458,10 +566,13 @@ MOST = 100.0
 def _measured(judge: Restorer, passages: list[str], times: list[int]) -> pd.DataFrame:
     """How often clean passages (family ""), and those garbled on purpose, gain how much: (family, gain, n)."""
     found: dict[tuple[str, float], int] = {}
-    for passage, n in zip(passages, times):
-        for family, text in [("", passage), *((">".join(f), g) for f, g in garblings(passage).items())]:
-            at = (family, round(min(MOST, judge.passage(text)[0]), 2))
-            found[at] = found.get(at, 0) + n
+    for i in range(0, len(passages), 1_000):
+        cases = [[("", p), *((">".join(f), g) for f, g in garblings(p).items())] for p in passages[i : i + 1_000]]
+        gains = iter(judge.gains_of([alike(g) for c in cases for _, g in c]))
+        for case, n in zip(cases, times[i : i + 1_000]):
+            for family, _ in case:
+                at = (family, round(min(MOST, next(gains)), 2))
+                found[at] = found.get(at, 0) + n
     return pd.DataFrame([(*k, n) for k, n in found.items()], columns=["family", "gain", "n"])
 
 
@@ -535,7 +646,10 @@ def restore(spark: SparkSession, documents: DataFrame, *, key: str = "doc_id") -
         tri, bi, uni, limit = shared.value
         judge = Restorer(Model(tri, bi, uni), limit)
         for rows in batches:
-            done = [judge.text(t) for t in rows["text"]]
+            done = []
+            for texts in _portions([t if isinstance(t, str) else None for t in rows["text"]]):
+                judge.weigh(texts)
+                done += map(judge.text, texts)
             yield pd.DataFrame({"key": rows["key"], "garbled": [d[0] for d in done], "text": [d[1] for d in done], "chains": [d[2] for d in done], "whole": [d[3] for d in done]})
 
     kind = docs.schema["key"].dataType.simpleString()
