@@ -29,24 +29,34 @@ def _top(side: str, field: str) -> Column:
 
 
 def quotes() -> dict[str, Column]:
-    """micro, mid, deviation in bps, queue imbalance and spread in bps of the best levels; null on an empty or crossed book."""
+    """micro, mid, deviation in bps, queue imbalance and spread in bps of the best levels; null on an empty or crossed book, the spread only without a side."""
     pb, qb, pa, qa = _top("bids", "px"), _top("bids", "sz"), _top("asks", "px"), _top("asks", "sz")
-    open_ = pb < pa
+    open_ = pb <= pa
     micro, mid = sdiv(pa * qb + pb * qa, qb + qa), (pa + pb) / 2
     return {
-        "micro": F.when(open_, micro), "mid": F.when(open_, mid), "deviation_bps": F.when(open_, sdiv(micro - mid, mid) * 1e4),
+        "micro": F.when(open_, micro), "mid": F.when(open_ & micro.isNotNull(), mid), "deviation_bps": F.when(open_, sdiv(micro - mid, mid) * 1e4),
         "queue_imbalance": sdiv(qb - qa, qb + qa), "spread_bps": sdiv(pa - pb, pb) * 1e4,
     }
 
 
+def _two_sided(value: Column) -> Column:
+    return F.when((F.size("bids") > 0) & (F.size("asks") > 0), value)
+
+
+def _weighed(side: str, decay: float) -> Column:
+    powers = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: F.pow(F.lit(decay), i))
+    return F.aggregate(F.zip_with(F.col(side), powers, lambda x, w: F.coalesce(x["sz"] * w, F.lit(0.0))), F.lit(0.0), lambda a, v: a + v)
+
+
 def pressure(decay: float = 0.5) -> Column:
-    """Imbalance of sizes weighted by decay**level; a missing side weighs nothing."""
+    """Imbalance of sizes weighted by decay**level; null where a side is missing or all is empty."""
+    bids, asks = _weighed("bids", decay), _weighed("asks", decay)
+    return _two_sided(F.when(bids + asks > 0, F.try_divide(bids - asks, bids + asks)))
 
-    def weight(side: str) -> Column:
-        powers = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: F.pow(F.lit(decay), i))
-        return F.aggregate(F.zip_with(F.col(side), powers, lambda x, w: F.coalesce(x["sz"] * w, F.lit(0.0))), F.lit(0.0), lambda a, v: a + v)
 
-    return sdiv(weight("bids") - weight("asks"), weight("bids") + weight("asks"))
+def depth_ratio(decay: float = 0.5) -> Column:
+    """The bids' share of all sizes; null where pressure() is."""
+    return F.when(pressure(decay).isNotNull(), F.coalesce(F.try_divide(depth("bids"), depth("bids") + depth("asks")), F.lit(0.5)))
 
 
 def depth(side: str) -> Column:
@@ -70,25 +80,56 @@ def flow_imbalance(book: DataFrame, by: list[str], order: list[str]) -> DataFram
 
 
 def trade_flow(trades: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Signed flow of each group's prints: imbalance, volume delta, later half against earlier, mean size, share of large ones."""
-    sign = side_sign()
-    rows = trades.withColumn("sign", sign).filter(F.col("sign").isNotNull() & (F.col("size") > 0))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    rows = rows.withColumns({"k": place, "n": F.count("*").over(Window.partitionBy(*by)), "mean": F.avg("size").over(Window.partitionBy(*by))})
-    signed = F.col("sign") * F.col("size")
-    half = F.floor(F.col("n") / 2)
+    """Signed flow of each group's prints: imbalance, volume delta, the later half's imbalance less the earlier's, count, share of large ones.
+
+    Prints without a known side or a positive size don't count. The halves are told apart by ranks
+    that are counted per group and stretch of time, so no task sorts a whole group.
+    """
+    rows = trades.withColumn("sign", side_sign()).filter(F.col("sign").isNotNull() & (F.col("size") > 0) & ~F.isnan("size"))
+    rows = with_places(rows, by, order).withColumn("signed", F.col("sign") * F.col("size"))
+    late, large = F.col("place") > F.floor(F.col("group_n") / 2), F.col("size") > 3 * F.col("group_mean")
+    ratio = lambda half: F.coalesce(F.try_divide(F.sum(F.when(half, F.col("signed"))), F.sum(F.when(half, F.col("size")))), F.lit(0.0))
     return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.try_divide(F.sum(signed), F.sum("size")).alias("tfi"), F.sum(signed).alias("cvd"),
-        F.sum(F.when(F.col("k") > half, signed).otherwise(-signed)).alias("accel"), F.avg("size").alias("intensity"),
-        F.try_divide(F.sum(F.when(F.col("size") > 3 * F.col("mean"), F.col("size")).otherwise(0.0)), F.sum("size")).alias("large_share"),
+        F.count("*").alias("n"), F.try_divide(F.sum("signed"), F.sum("size")).alias("tfi"), F.sum("signed").alias("cvd"),
+        F.when(F.count("*") < 2, 0.0).otherwise(ratio(late) - ratio(~late)).alias("accel"), F.count("*").cast("double").alias("intensity"),
+        F.try_divide(F.sum(F.when(large, F.col("size")).otherwise(0.0)), F.sum("size")).alias("large_share"),
     )
 
 
+def with_places(rows: DataFrame, by: list[str], order: list[str], stretch: str = "1 hour") -> DataFrame:
+    """Adds place (from 1, by `order`, whose first column is a time), group_n and group_mean (of size) within each group.
+
+    Rows are ranked within their group's stretches of time; how many lie in the stretches before
+    comes from their counts. The counts are as few as there are stretches.
+    """
+    cut = rows.withColumn("_cell", F.date_trunc(stretch.split()[1], F.col(order[0])))
+    counts = cut.groupBy(*by, "_cell").agg(F.count("*").alias("_n"), F.sum("size").alias("_s"))
+    w = Window.partitionBy(*by)
+    before = counts.withColumns({
+        "_before": F.sum("_n").over(w.orderBy("_cell")) - F.col("_n"), "group_n": F.sum("_n").over(w), "_total": F.sum("_s").over(w),
+    }).select(*by, "_cell", "_before", "group_n", F.try_divide("_total", "group_n").alias("group_mean"))
+    ranked = cut.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(*order)))
+    return ranked.join(before, [*by, "_cell"]).withColumn("place", F.col("_before") + F.col("_k")).drop("_cell", "_before", "_k")
+
+
 def kyle_lambda(trades: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Price move in bps per unit of traded size."""
+    """Price move from the first print to the last, in bps per unit of traded size; null for a single print."""
     at = F.struct(*order)
     first, last = F.min_by("price", at), F.max_by("price", at)
-    return trades.filter("price > 0 AND size > 0").groupBy(*by).agg(F.try_divide(F.try_divide(F.abs(last - first), first) * 1e4, F.sum("size")).alias("kyle_lambda"))
+    move = F.try_divide(F.try_divide(F.abs(last - first), first) * 1e4, F.sum("size"))
+    usable = trades.filter("price > 0 AND NOT isnan(price) AND size > 0 AND NOT isnan(size)")
+    return usable.groupBy(*by).agg(F.when(F.count("*") >= 2, move).alias("kyle_lambda"))
+
+
+def bundle(book: DataFrame, trades: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Every factor of each group's newest book (rows of with_levels()) and of all its prints, rounded for showing."""
+    q = quotes()
+    values = {"micro_dev_bps": q["deviation_bps"], "queue_imbalance": q["queue_imbalance"], "book_pressure": pressure(), "depth_ratio": depth_ratio(), "spread_bps": q["spread_bps"]}
+    shown = [F.round(c, 3).alias(n) for n, c in values.items()]
+    last = book.groupBy(*by).agg(F.max_by(F.struct("bids", "asks"), F.struct(*order)).alias("b")).select(*by, "b.*").select(*by, *shown)
+    flow = trade_flow(trades, by, order).select(*by, F.round("tfi", 3).alias("tfi"), F.round("accel", 3).alias("flow_accel"), F.round("large_share", 3).alias("large_share"), "intensity")
+    impact = kyle_lambda(trades, by, order).select(*by, F.round("kyle_lambda", 4).alias("impact_bps_per_unit"))
+    return last.join(flow, by, "left").join(impact, by, "left")
 
 
 def freshest_venue(book: DataFrame) -> DataFrame:
@@ -112,14 +153,25 @@ def tail(book: DataFrame, n: int = TAIL) -> DataFrame:
 
 
 def section(book: DataFrame, trades: DataFrame, n: int = TAIL, most: int = MAX_TRADES) -> DataFrame:
-    """One row per product: statistics of the tail's series and of the prints within its window."""
+    """One row per product: value, mean, deviation and count of each of the tail's series, and aggregates of the prints within its window.
+
+    has_flow is false where no print lies within the window.
+    """
     t = with_levels(tail(book, n))
-    t = flow_imbalance(t.withColumns(quotes()).withColumn("pressure", pressure()), ["product_id"], ["ts", "seq"])
+    q = quotes()
+    t = t.withColumns({"micro_dev_bps": q["deviation_bps"], "queue_imbalance": q["queue_imbalance"], "book_pressure": pressure(), "depth_ratio": depth_ratio(), "spread_bps": q["spread_bps"]})
+    t = flow_imbalance(t, ["product_id"], ["ts", "seq"]).withColumnRenamed("ofi", "snapshot_ofi")
     at = F.struct("ts", "seq")
     stats = []
-    for c in ("deviation_bps", "queue_imbalance", "spread_bps", "pressure", "ofi"):
-        stats += [F.round(F.max_by(c, at), 4).alias(f"{c}_latest"), F.round(F.avg(c), 4).alias(f"{c}_mean"), F.round(F.stddev_samp(c), 4).alias(f"{c}_sd")]
+    for c in ("micro_dev_bps", "queue_imbalance", "book_pressure", "depth_ratio", "spread_bps", "snapshot_ofi"):
+        stats += [F.round(F.max_by(c, at), 4).alias(f"{c}_value"), F.round(F.avg(c), 4).alias(f"{c}_mean"), F.round(F.stddev_samp(c), 4).alias(f"{c}_std"), F.count(c).alias(f"{c}_n")]
     window = t.groupBy("product_id").agg(F.max("venue").alias("venue"), F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"), F.count("*").alias("snapshots"), *stats)
+    window = window.withColumn("span_s", F.round((F.unix_micros("to_ts") - F.unix_micros("from_ts")) / 1e6, 3))
     inside = trades.join(window.select("product_id", "from_ts", "to_ts"), "product_id").filter("ts BETWEEN from_ts AND to_ts").drop("from_ts", "to_ts")
-    flow = trade_flow(newest(inside, ["product_id"], ["ts", "seq"], most), ["product_id"], ["ts", "seq"])
-    return window.join(flow.select("product_id", F.col("n").alias("trades"), F.round("tfi", 4).alias("tfi"), F.round("cvd", 4).alias("cvd")), "product_id", "left")
+    inside = newest(inside, ["product_id"], ["ts", "seq"], most)
+    names = {"tfi": "tfi", "cvd": "cvd", "accel": "flow_accel", "intensity": "intensity", "large_share": "large_share"}
+    flow = trade_flow(inside, ["product_id"], ["ts", "seq"]).select("product_id", *(F.round(c, 4).alias(n) for c, n in names.items()))
+    impact = kyle_lambda(inside, ["product_id"], ["ts", "seq"]).select("product_id", F.round("kyle_lambda", 4).alias("impact_bps_per_unit"))
+    count = inside.groupBy("product_id").agg(F.count("*").alias("trades"))
+    out = window.join(count, "product_id", "left").join(flow, "product_id", "left").join(impact, "product_id", "left")
+    return out.withColumns({"trades": F.coalesce("trades", F.lit(0)), "has_flow": F.col("tfi").isNotNull() | F.col("impact_bps_per_unit").isNotNull()})

@@ -52,7 +52,8 @@ def rows(long: DataFrame) -> DataFrame:
 def board(spark: SparkSession, d: str) -> DataFrame:
     """The whole board over the hourly bars, with the books' section joined to each product."""
     long = long_frame(views.bars(spark, d), {k: f.node for k, f in FACTORS.items()}).persist()
-    section = microstructure.section(views.book(spark, d), views.ticks(spark, d)).select("product_id", F.struct("venue", "snapshots", "trades", "tfi", "cvd").alias("microstructure"))
+    section = microstructure.section(views.book(spark, d), views.ticks(spark, d))
+    section = section.select("product_id", F.struct(*(F.col(c) for c in section.columns if c != "product_id")).alias("microstructure"))
     return rows(long).join(section, "product_id", "left")
 
 
