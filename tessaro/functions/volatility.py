@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.compiler import along
-from .recursion import ewma_volatility
+from ..plans.stretches import along, in_stretches
+from .recursion import reach, scan, shifted, squared_returns, volatility_of
 from .safe import clip, sdiv, sln
 
 #: Fixed values of the trend state.
@@ -24,10 +25,10 @@ def rogers_satchell(bars: DataFrame, skip_first: bool = False) -> DataFrame:
 
 def yang_zhang(bars: DataFrame, ppy: float) -> DataFrame:
     """(product_id, vol): overnight, open-to-close and range variance combined, annualised."""
-    gap = sln(sdiv(F.col("open"), F.lag("close").over(along())))
-    day = sln(sdiv(F.col("close"), F.col("open")))
+    rows = in_stretches(bars.select("product_id", "bar_idx", "open", "high", "low", "close"), 1, lambda df: df.withColumn("before", F.lag("close").over(along())))
+    gap, day = sln(sdiv(F.col("open"), F.col("before"))), sln(sdiv(F.col("close"), F.col("open")))
     u, d = sln(sdiv(F.col("high"), F.col("open"))), sln(sdiv(F.col("low"), F.col("open")))
-    rows = bars.select("product_id", "bar_idx", gap.alias("gap"), day.alias("day"), (u * (u - day) + d * (d - day)).alias("rs")).filter("bar_idx > 0")
+    rows = rows.select("product_id", "bar_idx", gap.alias("gap"), day.alias("day"), (u * (u - day) + d * (d - day)).alias("rs")).filter("bar_idx > 0")
     k = F.lit(0.34) / (1.34 + F.try_divide(F.col("m") + 1, F.col("m") - 1))
     out = rows.groupBy("product_id").agg(F.count("*").alias("m"), F.var_samp("gap").alias("vo"), F.var_samp("day").alias("vc"), F.avg("rs").alias("vr"), F.count_if(F.col("gap").isNull() | F.col("rs").isNull()).alias("bad"))
     return out.select("product_id", F.when((F.col("bad") == 0) & (F.col("m") >= 2), F.sqrt(F.greatest(F.lit(0.0), F.col("vo") + k * F.col("vc") + (1 - k) * F.col("vr")) * ppy)).alias("vol"))
@@ -50,17 +51,23 @@ def rank_scores(df: DataFrame, group: str, value: str, tie: str) -> DataFrame:
     return df.withColumn("score", F.coalesce(F.try_divide(r - (n + 1) / 2, F.sqrt((n * n - 1) / 12)), F.lit(0.0)))
 
 
-def trend(bars: DataFrame, ppy: float = 365.0) -> DataFrame:
-    """(product_id, bar_idx, close, sigma, s22, s65, s261, score, vol_ratio) of each bar; null before MIN_BARS."""
-    fast = ewma_volatility(bars.select("product_id", "bar_idx", "close"), "fast", COM_FAST, ppy)
-    both = ewma_volatility(fast, "slow", COM_SLOW, ppy)
-    known = F.row_number().over(along()) >= MIN_BARS
-    # the volatility that was known two bars ago
-    f, s = F.lag("fast", 2).over(along()), F.lag("slow", 2).over(along())
-    rows = both.withColumns({"f": f, "s": s})
+def trend(bars: DataFrame, ppy: float = 365.0, span: int | None = None) -> DataFrame:
+    """(product_id, bar_idx, close, sigma, s22, s65, s261, score, vol_ratio) of each bar; null before MIN_BARS.
+
+    Both volatilities, as they were known two bars ago, and the earlier closes come from one pass.
+    """
+
+    def step(first: bool, x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        r2 = squared_returns(x["close"])
+        slow_fast = {name: shifted(volatility_of(r2, com, ppy, 20, first), 2) for name, com in (("f", COM_FAST), ("s", COM_SLOW))}
+        return slow_fast | {f"c{k}": shifted(x["close"], k) for k in (SHORT, MIDDLE, LONG)}
+
+    back = max(reach(COM_SLOW / (COM_SLOW + 1)), LONG)
+    rows = scan(bars.select("product_id", "bar_idx", "close"), ["close"], ["f", "s", *(f"c{k}" for k in (SHORT, MIDDLE, LONG))], back, step, span)
+    known = F.col("bar_idx") >= MIN_BARS - 1
     rows = rows.withColumns({"sigma": F.when(known, F.greatest(F.lit(VOL_FLOOR), (F.col("f") + F.col("s")) / 2)), "vol_ratio": F.when(known, sdiv(F.col("f"), F.col("s")))})
     for length in (SHORT, MIDDLE, LONG):
-        z = sdiv(sln(sdiv(F.col("close"), F.lag("close", length).over(along()))), F.col("sigma") * (length / ppy) ** 0.5)
+        z = sdiv(sln(sdiv(F.col("close"), F.col(f"c{length}"))), F.col("sigma") * (length / ppy) ** 0.5)
         rows = rows.withColumn(f"s{length}", F.tanh(z / 2))
     return rows.withColumn("score", 0.5 * F.col("s22") + 0.5 * F.col("s261")).select("product_id", "bar_idx", "close", "sigma", "s22", "s65", "s261", "score", "vol_ratio")
 
@@ -86,25 +93,92 @@ def _history(lookback: int) -> Window:
     return along().rowsBetween(-lookback, -1)
 
 
-def momentum_z(bars: DataFrame, h: int, lookback: int = 120) -> DataFrame:
-    """Adds z and rank of the h-bar return against those of the `lookback` bars before it."""
-    r = F.col("close") / F.lag("close", h).over(along()) - 1
-    rows = bars.withColumn("r", r)
-    n = F.count("r").over(_history(lookback))
-    z = F.when(n >= 2, F.try_divide(F.col("r") - F.avg("r").over(_history(lookback)), F.nullif(F.stddev_samp("r").over(_history(lookback)), F.lit(0.0))))
-    return rows.withColumn("z", F.round(z, 3))
-
-
-def volatility_state(bars: DataFrame, window: int = 24, lookback: int = 120, ppy: float = 8760.0) -> DataFrame:
-    """Adds vol, pct (tolerant midrank among the estimates before) and z."""
-    r = sln(sdiv(F.col("close"), F.lag("close", 1).over(along())))
-    w = along().rowsBetween(-(window - 1), 0)
-    rows = bars.withColumn("lr", r)
-    rows = rows.withColumn("vol", F.when(F.count("lr").over(w) == window, F.stddev_samp("lr").over(w) * ppy**0.5))
-    seen = F.collect_list("vol").over(_history(lookback))
-    near = lambda v: F.abs(v - F.col("vol")) <= 1e-9 * F.greatest(F.abs("vol"), F.lit(1.0))
-    below = F.aggregate(seen, F.lit(0.0), lambda a, v: a + F.when(near(v), 0.5).when(v < F.col("vol"), 1.0).otherwise(0.0))
-    n = F.count("vol").over(_history(lookback))
-    pct = F.when(F.col("vol").isNotNull(), F.coalesce(F.try_divide(below, F.size(seen)), F.lit(0.5)))
-    z = F.when(n >= 2, F.try_divide(F.col("vol") - F.avg("vol").over(_history(lookback)), F.nullif(F.stddev_samp("vol").over(_history(lookback)), F.lit(0.0))))
-    return rows.withColumns({"pct": F.round(pct, 3), "z": F.round(z, 3)})
+def label(x: Column, steps: tuple[tuple[float, str], ...], lowest: str) -> Column:
+    """The label of the first step that x reaches, from above."""
+    out = None
+    for least, name in steps:
+        out = F.when(x >= least, name) if out is None else out.when(x >= least, name)
+    return out.otherwise(lowest)
+
+
+def z_label(z: Column) -> Column:
+    return F.when(z.isNull(), "insufficient_data").when(z >= 2, "extremely_high").when(z >= 1, "high").when(z <= -2, "extremely_low").when(z <= -1, "low").otherwise("neutral")
+
+
+def volatility_label(pct: Column) -> Column:
+    return label(pct, ((0.90, "extreme"), (0.70, "elevated"), (0.30, "normal"), (0.10, "compressed")), "extremely_compressed")
+
+
+def funding_label(pct: Column) -> Column:
+    return F.when(pct >= 0.95, "extremely_positive").when(pct >= 0.80, "positive").when(pct <= 0.05, "extremely_negative").when(pct <= 0.20, "negative").otherwise("neutral")
+
+
+def _midrank(seen: Column, x: Column) -> Column:
+    """The share of `seen` below x, equals counting half; equal is what differs by 1e-9 of the largest magnitude."""
+    largest = F.aggregate(seen, F.greatest(F.abs(x), F.lit(1e-12)), lambda a, v: F.greatest(a, F.abs(v)))
+    below = F.aggregate(seen, F.lit(0.0), lambda a, v: a + F.when(F.abs(v - x) <= largest * 1e-9, 0.5).when(v < x, 1.0).otherwise(0.0))
+    return F.when(x.isNotNull(), F.coalesce(F.try_divide(below, F.size(seen)), F.lit(0.5)))
+
+
+def _scored(rows: DataFrame, value: str, lookback: int) -> DataFrame:
+    """Adds seen (the values before), samples, z and pct of a column against them."""
+    h = _history(lookback)
+    z = F.when(F.count(value).over(h) >= 2, F.try_divide(F.col(value) - F.avg(value).over(h), F.nullif(F.stddev_samp(value).over(h), F.lit(0.0))))
+    rows = rows.withColumns({"seen": F.collect_list(value).over(h), "z": z})
+    return rows.withColumns({"samples": F.size("seen"), "pct": _midrank(F.col("seen"), F.col(value))})
+
+
+def momentum_z(bars: DataFrame, h: int, lookback: int = 120, span: int | None = None) -> DataFrame:
+    """Adds return_pct, z, pct, samples and label of the h-bar return against those of the `lookback` bars before it."""
+
+    def make(df: DataFrame) -> DataFrame:
+        before = F.lag("close", h).over(along())
+        return _scored(df.withColumn("r", F.when(before > 0, F.col("close") / before - 1)), "r", lookback)
+
+    rows = in_stretches(bars, h + lookback, make, span=span)
+    return rows.withColumns({"return_pct": F.round(F.col("r") * 100, 4), "label": z_label(F.col("z")), "z": F.round("z", 3), "pct": F.round("pct", 3)}).drop("seen", "r")
+
+
+def volatility_state(bars: DataFrame, window: int = 24, lookback: int = 120, ppy: float = 8760.0, span: int | None = None) -> DataFrame:
+    """Adds vol (annualised), median, pct (tolerant midrank among the estimates before), z, vol_of_vol, samples and regime."""
+
+    def make(df: DataFrame) -> DataFrame:
+        w = along().rowsBetween(-(window - 1), 0)
+        df = df.withColumn("lr", sln(sdiv(F.col("close"), F.lag("close", 1).over(along()))))
+        df = df.withColumn("vol", F.when(F.count("lr").over(w) == window, F.stddev_samp("lr").over(w) * ppy**0.5))
+        df = _scored(df, "vol", lookback)
+        return df.withColumn("vol_of_vol", F.coalesce(F.try_divide(F.stddev_samp("vol").over(_history(lookback)), F.avg("vol").over(_history(lookback))), F.lit(0.0)))
+
+    rows = in_stretches(bars, window + lookback, make, span=span)
+    middle = F.sort_array("seen")
+    n = F.size(middle)
+    median = F.when(n > 0, (F.get(middle, F.floor((n - 1) / 2).cast("int")) + F.get(middle, F.floor(n / 2).cast("int"))) / 2)
+    known = F.col("vol").isNotNull()
+    regime = F.when(known, F.when(F.col("samples") == 0, "insufficient_history").otherwise(volatility_label(F.col("pct"))))
+    return rows.withColumns({
+        "median": F.when(known, median), "regime": regime, "pct": F.round("pct", 3), "z": F.round("z", 3), "vol_of_vol": F.when(known, F.round("vol_of_vol", 3)), "samples": F.when(known, F.col("samples")),
+    }).drop("seen", "lr")
+
+
+def funding_summary(rates: DataFrame, by: list[str], order: list[str], intervals: int = 3 * 365) -> DataFrame:
+    """(by..., samples, rate, annual_pct, median, z, pct, regime): each group's newest rate against all before it.
+
+    Plain aggregations, so a group of any size is combined before it is exchanged.
+    """
+    at = F.struct(*order)
+    newest = rates.groupBy(*by).agg(F.max(at).alias("_top"), F.max_by("rate", at).alias("rate"))
+    both = rates.withColumn("_at", at).withColumnRenamed("rate", "_rate").join(newest, by)
+    past = F.when(F.col("_at") < F.col("_top"), F.col("_rate"))
+    rows = both.withColumn("past", past)
+    facts = rows.groupBy(*by, "rate").agg(
+        F.count("past").alias("samples"), F.percentile("past", F.lit(0.5)).alias("median"), F.avg("past").alias("_mean"), F.stddev_samp("past").alias("_sd"),
+        F.greatest(F.abs(F.first("rate")), F.coalesce(F.max(F.abs("past")), F.lit(0.0)), F.lit(1e-12)).alias("_scale"),
+    )
+    near = F.abs(F.col("past") - F.col("rate")) <= F.col("_scale") * 1e-9
+    below = rows.join(facts.select(*by, "_scale"), by).groupBy(*by).agg(F.sum(F.when(near, 0.5).when(F.col("past") < F.col("rate"), 1.0).otherwise(0.0)).alias("_below"))
+    z = F.when(F.col("samples") >= 2, F.try_divide(F.col("rate") - F.col("_mean"), F.nullif(F.col("_sd"), F.lit(0.0))))
+    pct = F.coalesce(F.try_divide("_below", "samples"), F.lit(0.5))
+    return facts.join(below, by).select(
+        *by, "samples", F.round("rate", 8).alias("rate"), F.round(F.col("rate") * intervals * 100, 3).alias("annual_pct"), F.round("median", 8).alias("median"), F.round(z, 3).alias("z"),
+        F.round(pct, 3).alias("pct"), F.when(F.col("samples") == 0, "insufficient_history").otherwise(funding_label(pct)).alias("regime"),
+    )

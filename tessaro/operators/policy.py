@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.compiler import along, frame
+from ..plans.stretches import along, frame, in_stretches
 
 #: Action by state at high, middle and low confidence.
 STRONG, FAIR, LEGACY_SMALL = 0.70, 0.50, 0.60
@@ -67,11 +67,13 @@ def canonical_symbol(x: Column) -> Column:
 
 def momentum_signal(bars: DataFrame, short: int = 20, long: int = 80, hot: float = 75.0, cold: float = 25.0, period: int = 14) -> DataFrame:
     """(product_id, bar_idx, regime, confidence) from two plain means and a plain-mean strength index."""
-    dx = F.col("close") - F.lag("close").over(along())
-    rows = bars.withColumn("dx", dx)
-    up, down = (F.sum(F.greatest(e, F.lit(0.0))).over(frame(period)) for e in (F.col("dx"), -F.col("dx")))
-    rsi = F.when(down == 0, 100.0).otherwise(100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(up, down)))
-    rows = rows.withColumns({"rsi": rsi, "a": F.avg("close").over(frame(short)), "b": F.avg("close").over(frame(long))})
+    def make(df: DataFrame) -> DataFrame:
+        df = df.withColumn("dx", F.col("close") - F.lag("close").over(along()))
+        up, down = (F.sum(F.greatest(e, F.lit(0.0))).over(frame(period)) for e in (F.col("dx"), -F.col("dx")))
+        rsi = F.when(down == 0, 100.0).otherwise(100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(up, down)))
+        return df.withColumns({"rsi": rsi, "a": F.avg("close").over(frame(short)), "b": F.avg("close").over(frame(long))})
+
+    rows = in_stretches(bars.select("product_id", "bar_idx", "close"), max(long, period + 1), make)
     r, a, b, c = (F.col(x) for x in ("rsi", "a", "b", "close"))
     early = F.col("bar_idx") < long
     regime = F.when(early, "uncertain").when(r >= hot, "high_volatility_event").when((r <= cold) & (c < b), "range_bound").when(a > b, "trend_up").when(a < b, "trend_down").otherwise("uncertain")

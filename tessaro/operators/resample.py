@@ -45,16 +45,24 @@ def resample(minutes: DataFrame, granularity: str) -> DataFrame:
     return whole.select("product_id", F.timestamp_seconds(F.col("b") * span * 60).alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def number_bars(bars: DataFrame) -> DataFrame:
-    """bar_idx counts a product's bars from 0; a gap in time is no gap in the index."""
-    index = F.row_number().over(Window.partitionBy("product_id").orderBy("ts")) - 1
-    return bars.select("product_id", index.alias("bar_idx"), "ts", "open", "high", "low", "close", "volume")
+def number_bars(bars: DataFrame, span: int = 1 << 20) -> DataFrame:
+    """bar_idx counts a product's bars from 0; a gap in time is no gap in the index.
+
+    Bars are counted within stretches of `span` seconds (by default twelve days, so of minute bars
+    some 17,000 are sorted in a task at a time); what lies before a stretch comes from the counts.
+    """
+    cut = bars.withColumn("_cell", F.floor(F.unix_seconds("ts") / span))
+    counts = cut.groupBy("product_id", "_cell").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("product_id").orderBy("_cell")) - F.col("_n")).drop("_n")
+    ranked = cut.withColumn("_k", F.row_number().over(Window.partitionBy("product_id", "_cell").orderBy("ts")) - 1)
+    index = (F.col("_before") + F.col("_k")).cast("int")
+    return ranked.join(before, ["product_id", "_cell"]).select("product_id", index.alias("bar_idx"), "ts", "open", "high", "low", "close", "volume")
 
 
 def closed(bars: DataFrame, granularity: str, now: float) -> DataFrame:
     """Without bars that aren't over at `now` (epoch seconds), and with text columns read as numbers; bad rows drop out."""
     names = ("open", "high", "low", "close", "volume")
-    typed = bars.select("product_id", "ts", *(F.try_cast(F.col(c), "double").alias(c) if hasattr(F, "try_cast") else F.col(c).try_cast("double").alias(c) for c in names)).dropna()
+    typed = bars.select("product_id", "ts", *(F.col(c).try_cast("double").alias(c) for c in names)).dropna()
     return typed.filter(F.unix_micros("ts") / 1e6 + minutes_of(granularity) * 60 <= now)
 
 

@@ -78,7 +78,7 @@ def weight_engine(rows: DataFrame, *, every: int = 7, band: float = BAND, capita
                         quantity = min(amount, cash / (1 + cost)) / price
                         held[s] += quantity
                         cash -= quantity * price * (1 + cost)
-                    if quantity > 0:
+                    if quantity > 1e-12:
                         turnover += quantity * price
                         trades += 1
                 pending = {}
@@ -106,9 +106,10 @@ def action_engine(rows: DataFrame, *, every: int = 1, capital: float = CAPITAL,
 
     Starts in equal holdings, or in the given fractions with the rest in cash, without a fee.
     Orders fill at the next open in the symbols' order. An absolute target is a fraction of CAP of
-    equity; a purchase ends where cash does; several purchases of one bar share what cash there was.
+    equity. Several small purchases of one bar share what cash there was before costs; each
+    purchase, in turn, ends where the cash that is left does.
     """
-    if initial is not None and not (0 < sum(initial.values()) <= 1 + 1e-12 and min(initial.values()) >= 0):
+    if initial is not None and not 0 < sum(initial.values()) <= 1 + 1e-9:
         raise ValueError("the initial fractions must be positive and come to 1 at most")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,15 +117,18 @@ def action_engine(rows: DataFrame, *, every: int = 1, capital: float = CAPITAL,
         cash, held, pending, count = capital, {}, {}, 0
         for run_id, bar, rows in _sessions(batches):
             if run_id != now:
+                if initial is not None and not set(initial) <= set(rows):
+                    raise ValueError(f"no bars of {set(initial) - set(rows)}")
                 part = initial or {s: 1 / len(rows) for s in rows}
                 now, pending, count = run_id, {}, 0
                 held = {s: capital * part.get(s, 0.0) / r.open for s, r in rows.items()}
-                cash = capital * (1 - sum(part.get(s, 0.0) for s in rows))
+                cash = max(0.0, capital - sum(capital * part.get(s, 0.0) for s in rows))
             cost = next(iter(rows.values())).cost_bps / 1e4
             turnover, trades = 0.0, 0
             equity = cash + sum(held[s] * rows[s].open for s in rows)
             adders = [s for s, a in pending.items() if a == "reaccumulate_small"]
-            share = min(1.0, cash / (len(adders) * REACCUMULATE * equity * (1 + cost))) if adders and equity > 0 else 0.0
+            demand = len(adders) * REACCUMULATE * equity
+            share = min(1.0, cash / demand) if demand > 0 else 1.0
             for s, a in pending.items():
                 price, value = rows[s].open, held[s] * rows[s].open
                 aim = value
@@ -140,7 +144,7 @@ def action_engine(rows: DataFrame, *, every: int = 1, capital: float = CAPITAL,
                     cash -= amount * (1 + cost)
                 else:
                     cash += -amount * (1 - cost)
-                if abs(amount) > DUST:
+                if amount:
                     held[s] += amount / price
                     turnover += abs(amount)
                     trades += 1

@@ -1,18 +1,22 @@
 """Expressions to plans: one named column per distinct subtree, one projection per layer.
 
-Both targets share the layers: a Spark DataFrame, where every window has the same partition and
-order (so the whole plan has one exchange and one sort), and SQL text for checking.
+Both targets share the layers: a Spark DataFrame, where every window has the same partition (a
+stretch of a product's bars) and order, so the whole plan has one exchange and one sort; and SQL
+text for checking. Beside the operators of the text form there are constants, comparisons, and
+("forward", h), the log return of the next h bars.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import EPS, clip, finite, sdiv, sln
 from .expr import TERMINALS
+from .stretches import KEY, ORDER, along, frame, in_stretches
 
-KEY, ORDER = "product_id", "bar_idx"
+
+_FRAMED = ("sma", "ts_sum", "ts_min", "ts_max", "ts_argmax", "ts_rank", "ts_scale", "stddev", "correlation")
 
 
 def operands(node: tuple) -> tuple:
@@ -42,12 +46,15 @@ def layers(nodes: list) -> list[list]:
     return out
 
 
-def frame(w: int) -> Window:
-    return Window.partitionBy(KEY).orderBy(ORDER).rowsBetween(-(w - 1), 0)
-
-
-def along() -> Window:
-    return Window.partitionBy(KEY).orderBy(ORDER)
+def reaches(node) -> tuple[int, int]:  # noqa: ANN001
+    """How many bars back and ahead a node's value depends on."""
+    if isinstance(node, str):
+        return int(node == "returns"), 0
+    if node[0] == "forward":
+        return 0, node[1]
+    below = [reaches(x) for x in operands(node)]
+    own = node[-1] if node[0] in ("delay", "delta") else node[-1] - 1 if node[0] in _FRAMED else 0
+    return own + max((b for b, _ in below), default=0), max((a for _, a in below), default=0)
 
 
 def full(x: Column, w: int, value: Column) -> Column:
@@ -79,6 +86,8 @@ def column(node, ref) -> Column:  # noqa: ANN001, C901, PLR0911
     op = node[0]
     if op == "const":
         return F.lit(float(node[1]))
+    if op == "forward":
+        return sln(sdiv(F.lead("close", node[1]).over(along()), F.col("close")))
     x = [ref(c) for c in operands(node)]
     p = node[-1]
     if op == "neg":
@@ -119,15 +128,20 @@ def column(node, ref) -> Column:  # noqa: ANN001, C901, PLR0911
     return full(x[0], p, aggregate(x[0]).over(frame(p)))
 
 
-def evaluate(bars: DataFrame, exprs: dict[str, object]) -> DataFrame:
-    """The bars with one column per named expression; subtrees that recur are computed once."""
+def evaluate(bars: DataFrame, exprs: dict[str, object], span: int | None = None) -> DataFrame:
+    """The bars with one column per named expression; subtrees that recur are computed once, stretch by stretch."""
     name: dict = {t: t for t in TERMINALS if t not in ("returns", "vwap")}
     ref = lambda node: F.col(name[node])
-    df = bars
-    for level, nodes in enumerate(layers(list(exprs.values()))):
-        new = {f"_e{level}_{i}": node for i, node in enumerate(nodes)}
-        df = df.withColumns({c: column(node, ref) for c, node in new.items()})
-        name |= {node: c for c, node in new.items()}
+
+    def make(df: DataFrame) -> DataFrame:
+        for level, nodes in enumerate(layers(list(exprs.values()))):
+            new = {f"_e{level}_{i}": node for i, node in enumerate(nodes)}
+            df = df.withColumns({c: column(node, ref) for c, node in new.items()})
+            name.update({node: c for c, node in new.items()})
+        return df
+
+    reach = [reaches(node) for node in exprs.values()]
+    df = in_stretches(bars, max(b for b, _ in reach), make, max(a for _, a in reach), span)
     return df.select(*bars.columns, *(F.col(name[node]).alias(out) for out, node in exprs.items()))
 
 
@@ -139,6 +153,8 @@ def _sql(node, ref) -> str:  # noqa: ANN001, C901, PLR0911
     if node == "vwap":
         return "(high + low + close) / 3"
     op, p = node[0], node[-1]
+    if op == "forward":
+        return f"CASE WHEN close > 0 AND lead(close, {p}) {over} > 0 THEN ln(lead(close, {p}) {over} / close) END"
     if op == "const":
         return f"CAST({node[1]} AS DOUBLE)"
     x = [ref(c) for c in operands(node)]

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 Node = str | tuple
 
 TERMINALS = ("open", "high", "low", "close", "volume", "returns", "vwap")
-#: Fixed values of the search grammar: lags, windows, powers and the operators' classes.
-LAGS = (1, 2, 3, 5, 10, 20)
-WINDOWS = (5, 10, 20, 60)
-POWERS = (0.5, 2, 3)
+# Fixed values of the search grammar: lags, windows, powers, operators, families with their words, and seeds.
+LAGS = (1, 2, 3, 5, 10)
+WINDOWS = (5, 10, 20, 40, 60)
+POWERS = (0.5, 2.0)
 UNARY = ("neg", "abs", "sign", "log")
 BINARY = ("add", "sub", "mul", "div")
 LAGGED = ("delay", "delta")
@@ -26,6 +26,17 @@ TRAILING = ("sma", "ts_sum", "ts_min", "ts_max", "ts_argmax", "ts_rank", "ts_sca
 PAIRED = ("correlation",)
 OPS = (*UNARY, "signedpower", *BINARY, *LAGGED, *TRAILING, *PAIRED)
 SYMBOL = {"add": "+", "sub": "-", "mul": "*", "div": "/"}
+FAMILIES = ("reversal", "volume_price", "volatility", "range")
+GRAMMAR = {
+    "reversal": {"terminals": ("close", "returns", "vwap"), "ops": ("neg", "delta", "delay", "sma", "ts_min", "ts_max", "ts_rank", "ts_scale", "sub", "div")},
+    "volume_price": {"terminals": ("open", "close", "volume", "returns"), "ops": ("neg", "correlation", "ts_rank", "sma", "delta", "div", "mul", "log")},
+    "volatility": {"terminals": ("returns", "close", "high", "low"), "ops": ("stddev", "abs", "ts_max", "ts_min", "neg", "div", "sub", "sma", "signedpower")},
+    "range": {"terminals": ("open", "high", "low", "close"), "ops": ("sub", "div", "neg", "ts_rank", "sma", "delta", "abs")},
+}
+SEEDS = (
+    ("-1 * delta(close, 1)", "reversal"), ("-1 * (close - sma(close, 10))", "reversal"), ("-1 * correlation(open, volume, 10)", "volume_price"), ("ts_rank(volume / sma(volume, 20), 20)", "volume_price"),
+    ("stddev(returns, 20)", "volatility"), ("(close - open) / (high - low)", "range"), ("(high - low) / close", "range"),
+)
 
 
 def arity(op: str) -> int:
@@ -54,8 +65,7 @@ def make(op: str, *args) -> tuple:  # noqa: ANN002
         p = args[-1]
         if isinstance(p, bool) or not isinstance(p, (int, float)) or p <= 0 or (op != "signedpower" and p != int(p)):
             raise ValueError(f"{op} can't take {p!r}")
-        if op in ("stddev", *PAIRED) and p < 2:
-            raise ValueError(f"{op} needs a window of 2 or more")
+        args = (*args[:-1], float(p) if op == "signedpower" else int(p))
     return (op, *args)
 
 
@@ -109,14 +119,15 @@ def replace_at(node: Node, index: int, new: Node) -> Node:
 
 def validate(node: Node, *, max_depth: int = 5, max_size: int = 12, max_nesting: int = 2, max_warmup: int = 120) -> str | None:
     """Why a search may not use the expression, or null."""
-    for what, value, most in (("depth", depth(node), max_depth), ("size", size(node), max_size), ("nesting", nesting(node), max_nesting), ("warmup", warmup(node), max_warmup)):
-        if value > most:
-            return what
-    return None
+    if isinstance(node, str):
+        return "bare_terminal"
+    over = {"too_deep": depth(node) > max_depth, "too_big": size(node) > max_size, "too_nested": nesting(node) > max_nesting, "warmup": warmup(node) > max_warmup}
+    return next((why for why, is_so in over.items() if is_so), None)
 
 
-def _number(p: float) -> str:
-    return str(int(p)) if p == int(p) else repr(float(p))
+def _number(op: str, p: float) -> str:
+    """Powers are written with a point, lags and windows without."""
+    return str(float(p)) if op == "signedpower" else str(int(p))
 
 
 def to_text(node: Node) -> str:
@@ -139,7 +150,7 @@ def to_text(node: Node) -> str:
         if op in SYMBOL:
             own = level(x)
             return f"{put(x[1], own)} {SYMBOL[op]} {put(x[2], own + 1)}"
-        return f"{op}({', '.join([*map(show, children(x)), *([_number(param(x))] if has_param(op) else [])])})"
+        return f"{op}({', '.join([*map(show, children(x)), *([_number(op, param(x))] if has_param(op) else [])])})"
 
     return show(node)
 
@@ -215,8 +226,7 @@ def parse(text: str) -> Node:
             number = take()
             if not number[0].isdigit():
                 raise ValueError(f"{name} needs a number, found {number!r}")
-            value = float(number)
-            args.append(int(value) if value == int(value) else value)
+            args.append(float(number) if "." in number else int(number))
         take(")")
         return make(name, *args)
 
@@ -226,14 +236,34 @@ def parse(text: str) -> Node:
     return out
 
 
+def seed_nodes() -> list[tuple[Node, str]]:
+    """The seeds, parsed, each with its family."""
+    return [(parse(text), family) for text, family in SEEDS]
+
+
+def stable_seed(*parts: object) -> int:
+    """A seed that depends on the parts alone: the first eight bytes of the digest of their texts."""
+    return int.from_bytes(hashlib.sha256("|".join(map(str, parts)).encode()).digest()[:8], "big")
+
+
 def random_param(rng: random.Random, op: str):  # noqa: ANN201
+    """A parameter an operator may have, or null for one without."""
+    if not has_param(op):
+        return None
     return rng.choice(POWERS if op == "signedpower" else LAGS if op in LAGGED else WINDOWS)
 
 
-def sample(rng: random.Random, levels: int = 3) -> Node:
-    """A random tree of at most so many levels."""
-    if levels <= 1 or rng.random() < 0.25:
-        return rng.choice(TERMINALS)
-    op = rng.choice(OPS)
-    args = [sample(rng, levels - 1) for _ in range(arity(op))]
-    return make(op, *args, *([random_param(rng, op)] if has_param(op) else []))
+def sample(rng: random.Random, levels: int = 4, *, terminals: tuple[str, ...] = TERMINALS, ops: tuple[str, ...] = OPS, leaf: float = 0.35) -> Node:
+    """A random tree of a grammar, of at most so many levels; its root is an operator."""
+    if levels < 2:
+        raise ValueError("a tree has two levels at least")
+
+    def grow(level: int) -> Node:
+        if level == levels or level > 1 and rng.random() < leaf:
+            return rng.choice(terminals)
+        op = rng.choice(ops)
+        below = [grow(level + 1) for _ in range(arity(op))]
+        p = random_param(rng, op)
+        return make(op, *below, *([] if p is None else [p]))
+
+    return grow(1)

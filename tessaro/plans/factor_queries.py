@@ -63,11 +63,7 @@ for _name, _factor in FACTORS.items():
     add(f"alpha_{_factor.number:03d}", *_factor_query(_factor.node, 5))
 
 # Expressions given as text, as a search would propose them.
-SEEDS = {
-    "momentum": "delta(close, 20) / delay(close, 20)", "reversal": "-1 * delta(close, 1)", "volatility": "stddev(returns, 20)", "turnover": "volume / sma(volume, 20)",
-    "bar_range": "(high - low) / close", "price_volume": "-1 * correlation(close, volume, 10)", "position": "ts_rank(close, 60)",
-}
-_seeds = {k: expr.parse(t) for k, t in SEEDS.items()}
+_seeds = {f"seed{i}": node for i, (node, _) in enumerate(expr.seed_nodes())}
 
 
 def _long(df: DataFrame, names: list[str]) -> DataFrame:
@@ -90,24 +86,20 @@ add(
 )
 
 # Evaluation.
-_few = {k: FACTORS[k].node for k in ("a003", "a006", "a012", "a101")}
+_all = {k: f.node for k, f in FACTORS.items()}
 _a3 = {"a003": FACTORS["a003"].node}
 W = "OVER (PARTITION BY product_id, factor_id ORDER BY bar_idx)"
 
 
-def _by_factor(df: DataFrame) -> DataFrame:
-    """product_id stands for (product, factor), so that windows along the bars keep factors apart."""
-    return df.withColumn("product_id", F.concat_ws("|", "product_id", "factor_id"))
-
-
-def _apart(df: DataFrame) -> DataFrame:
-    return df.withColumns({"factor_id": F.split_part("product_id", F.lit("|"), F.lit(2)), "product_id": F.split_part("product_id", F.lit("|"), F.lit(1))})
+def canonical_sql(x: str) -> str:
+    """x at 33 binary digits."""
+    return f"({x} * 1048577.0) - (({x} * 1048577.0) - {x})"
 
 
 def spearman_sql(source: str, by: str, name: str) -> list[str]:
     """Tables from pairs (by, x, y) to (by, n, rho)."""
     return [
-        f"{name}_k AS (SELECT * REPLACE (round(x, 10) AS x, round(y, 10) AS y) FROM {source} WHERE x IS NOT NULL AND y IS NOT NULL)",
+        f"{name}_k AS (SELECT * REPLACE ({canonical_sql('x')} AS x, {canonical_sql('y')} AS y) FROM {source} WHERE x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y))",
         f"{name}_r AS (SELECT {by}, rank() OVER (PARTITION BY {by} ORDER BY x) + (count(*) OVER (PARTITION BY {by}, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY {by} ORDER BY y) + (count(*) OVER (PARTITION BY {by}, y) - 1) / 2.0 AS ry FROM {name}_k)",
         f"{name} AS (SELECT {by}, count(*) AS n, CASE WHEN count(*) >= 3 AND var_pop(rx) * count(*) >= 1e-12 AND var_pop(ry) * count(*) >= 1e-12 THEN greatest(-1.0, least(1.0, covar_pop(rx, ry) / (sqrt(var_pop(rx)) * sqrt(var_pop(ry))))) END AS rho FROM {name}_r GROUP BY ALL)",
     ]
@@ -116,36 +108,36 @@ def spearman_sql(source: str, by: str, name: str) -> list[str]:
 def _ic_sql(nodes: dict, horizons: tuple[int, ...]) -> str:
     pairs = " UNION ALL ".join(f"SELECT product_id, factor_id, {h} AS h, x, CASE WHEN close > 0 THEN ln(lead(close, {h}) {W} / close) END AS y FROM long" for h in horizons)
     return with_(*_long_sql(nodes), f"pairs AS ({pairs})", *spearman_sql("pairs", "product_id, factor_id, h", "s")) + (
-        "SELECT product_id, factor_id, h, n, n // h AS n_eff, CASE WHEN n >= 30 AND (h <= 1 OR n // h >= 8) THEN round(rho, 7) END AS ic FROM s"
+        "SELECT product_id, factor_id, h, n, n // h AS n_eff, CASE WHEN n >= 30 AND (h <= 1 OR n // h >= 8) THEN round(rho, 4) END AS ic FROM s"
     )
 
 
 def _ic(nodes: dict, horizons: tuple[int, ...]):  # noqa: ANN202
-    return lambda s, d: _apart(ev.information(_by_factor(factor_long(s, d, nodes)), list(horizons), ["product_id"], 7))
+    return lambda s, d: ev.information(views.bars(s, d), nodes, list(horizons))
 
 
 add("ic_flagship", _ic(_a3, (1,)), _ic_sql(_a3, (1,)))
-add("ic_h1_h24", _ic(_few, (1, 24)), _ic_sql(_few, (1, 24)))
-add("ic_decay", _ic(_a3, (1, 2, 3, 4, 6, 12, 24, 48)), _ic_sql(_a3, (1, 2, 3, 4, 6, 12, 24, 48)))
-_every = {k: f.node for k, f in FACTORS.items() if k != "a032"}
-add("ic_all_factors", _ic(_every, (1,)), _ic_sql(_every, (1,)))
-add("fwd_returns", lambda s, d: views.bars(s, d).select("product_id", "bar_idx", F.round(ev.forward_returns(F.col("close"), 1), 6).alias("fwd")), with_(views.bars_sql()) + "SELECT product_id, bar_idx, round(ln(lead(close) OVER (PARTITION BY product_id ORDER BY bar_idx) / close), 6) AS fwd FROM bars")
+add("ic_h1_h24", _ic(_all, (1, 24)), _ic_sql(_all, (1, 24)))
+DECAY = (1, 2, 3, 4, 6, 12, 24, 48)
+add("ic_decay", _ic(_all, DECAY), _ic_sql(_all, DECAY))
+add("ic_all_factors", _ic(_all, (1,)), _ic_sql(_all, (1,)))
+add("fwd_returns", lambda s, d: evaluate(views.bars(s, d), {"fwd": ("forward", 1)}).select("product_id", "bar_idx", F.round("fwd", 6).alias("fwd")), with_(views.bars_sql()) + "SELECT product_id, bar_idx, round(ln(lead(close) OVER (PARTITION BY product_id ORDER BY bar_idx) / close), 6) AS fwd FROM bars")
 add(
-    "turnover_lag1", lambda s, d: _apart(ev.self_correlation(_by_factor(factor_long(s, d, _few)), ["product_id"])),
-    with_(*_long_sql(_few), f"pairs AS (SELECT product_id, factor_id, x, lag(x) {W} AS y FROM long)", *spearman_sql("pairs", "product_id, factor_id", "s")) + "SELECT product_id, factor_id, n, round(rho, 4) AS rho FROM s",
+    "turnover_lag1", lambda s, d: ev.self_correlation(views.bars(s, d), _all),
+    with_(*_long_sql(_all), f"pairs AS (SELECT product_id, factor_id, x, lag(x) {W} AS y FROM long)", *spearman_sql("pairs", "product_id, factor_id", "s")) + "SELECT product_id, factor_id, n, round(rho, 4) AS rho FROM s",
 )
 add(
-    "corr_matrix", lambda s, d: ev.correlation_matrix(factor_long(s, d, _few)),
-    with_(*_long_sql(_few), "pairs AS (SELECT a.product_id, a.factor_id AS id_i, b.factor_id AS id_j, a.x, b.x AS y FROM long a JOIN long b ON a.product_id = b.product_id AND a.bar_idx = b.bar_idx AND a.factor_id < b.factor_id)", *spearman_sql("pairs", "product_id, id_i, id_j", "s"))
+    "corr_matrix", lambda s, d: ev.correlation_matrix(evaluate(views.bars(s, d), _all), list(_all)),
+    with_(*_long_sql(_all), "pairs AS (SELECT a.product_id, a.factor_id AS id_i, b.factor_id AS id_j, a.x, b.x AS y FROM long a JOIN long b ON a.product_id = b.product_id AND a.bar_idx = b.bar_idx AND a.factor_id < b.factor_id)", *spearman_sql("pairs", "product_id, id_i, id_j", "s"))
     + "SELECT product_id, id_i, id_j, n, CASE WHEN n >= 30 THEN round(rho, 4) END AS rho FROM s",
 )
 
 
 def _samples(s: SparkSession, d: str) -> DataFrame:
-    return _ic(_few, (1,))(s, d).select("factor_id", "n", F.abs("ic").alias("abs_ic"))
+    return _ic(_all, (1,))(s, d).select("factor_id", "n", F.abs("ic").alias("abs_ic"))
 
 
-_samples_sql = "ics AS (" + _ic_sql(_few, (1,)) + "), samples AS (SELECT factor_id, n, abs(ic) AS abs_ic FROM ics)"
+_samples_sql = "ics AS (" + _ic_sql(_all, (1,)) + "), samples AS (SELECT factor_id, n, abs(ic) AS abs_ic FROM ics)"
 add("kappa", lambda s, d: rounded(ev.kappa(_samples(s, d), ["factor_id"]), 6, "kappa"), with_(_samples_sql) + "SELECT factor_id, round(sqrt(avg(abs_ic * abs_ic * (n - 1))), 6) AS kappa, count(*) AS samples FROM samples WHERE n >= 2 AND abs_ic IS NOT NULL GROUP BY factor_id")
 add(
     "percentile_band",
@@ -154,16 +146,20 @@ add(
 )
 
 
-def spark_tail(s: SparkSession, d: str) -> DataFrame:
-    """The last 24 values of each factor, oldest first."""
-    from pyspark.sql import Window
+def newest_values(wide: DataFrame, names: list[str], n: int) -> DataFrame:
+    """(product_id, factor_id, spark): each factor's last n values, oldest first, null where there is none.
 
-    long = factor_long(s, d, {k: f.node for k, f in FACTORS.items()})
-    newest = F.row_number().over(Window.partitionBy("product_id", "factor_id").orderBy(F.col("bar_idx").desc()))
-    last = long.withColumn("k", newest).filter("k <= 24")
-    tail = F.array_sort(F.collect_list(F.struct("bar_idx", F.round("x", 5).alias("x"))))
-    return last.groupBy("product_id", "factor_id").agg(F.array_join(F.transform(tail, lambda v: F.coalesce(F.format_number(v["x"], 4), F.lit("-"))), " ").alias("tail"), F.count("x").alias("known"))
+    How many bars a product has is one small aggregation; only its last bars are exchanged.
+    """
+    tops = wide.groupBy("product_id").agg(F.max("bar_idx").alias("_top"))
+    tail = _long(wide.join(tops, "product_id").filter(F.col("bar_idx") > F.col("_top") - n), names)
+    at = F.array_sort(F.collect_list(F.struct("bar_idx", F.round("x", 6).alias("x"))))
+    return tail.groupBy("product_id", "factor_id").agg(F.transform(at, lambda v: v["x"]).alias("spark"))
 
 
-add("spark_tail", spark_tail)
-add("factor_row_summary", lambda s, d: rounded(factor_long(s, d, _few).groupBy("product_id", "factor_id").agg(F.max_by("x", "bar_idx").alias("latest"), F.count("x").alias("n_obs")), 4, "latest"), with_(*_long_sql(_few)) + "SELECT product_id, factor_id, round(arg_max_null(x, bar_idx), 4) AS latest, count(x) AS n_obs FROM long GROUP BY ALL")
+add(
+    "spark_tail", lambda s, d: newest_values(evaluate(views.bars(s, d), _all), list(_all), 24).select("product_id", "factor_id", F.posexplode("spark").alias("k", "x")).withColumn("x", F.round("x", 4)),
+    with_(*_long_sql(_all), "t AS (SELECT *, row_number() OVER (PARTITION BY product_id, factor_id ORDER BY bar_idx DESC) AS k, count(*) OVER (PARTITION BY product_id, factor_id) AS n FROM long)")
+    + "SELECT product_id, factor_id, CAST(least(n, 24) - k AS INTEGER) AS k, round(round(x, 6), 4) AS x FROM t WHERE k <= 24",
+)
+add("factor_row_summary", lambda s, d: rounded(factor_long(s, d, _all).groupBy("product_id", "factor_id").agg(F.max_by("x", "bar_idx").alias("latest"), F.count("x").alias("n_obs")), 4, "latest"), with_(*_long_sql(_all)) + "SELECT product_id, factor_id, round(arg_max_null(x, bar_idx), 4) AS latest, count(x) AS n_obs FROM long GROUP BY ALL")

@@ -36,7 +36,7 @@ def ewma_sql(source: str, name: str, com: float, ppy: float) -> list[str]:
     ]
 
 
-add("ewma_vol", lambda s, d: recursion.ewma_volatility(views.walk(s, d).select("product_id", "bar_idx", "close"), "vol", 60, 365.0).select("product_id", "bar_idx", F.round("vol", 6).alias("vol")), with_(views.WALK, *ewma_sql("walk", "vol", 60, 365.0)) + "SELECT product_id, bar_idx, round(vol, 6) AS vol FROM vol_v")
+add("ewma_vol", lambda s, d: recursion.ewma_volatility(views.walk(s, d).select("product_id", "bar_idx", "close"), {"vol": 60}, 365.0).select("product_id", "bar_idx", F.round("vol", 6).alias("vol")), with_(views.WALK, *ewma_sql("walk", "vol", 60, 365.0)) + "SELECT product_id, bar_idx, round(vol, 6) AS vol FROM vol_v")
 add("rogers_satchell", lambda s, d: rounded(volatility.rogers_satchell(views.walk(s, d)), 9, "rs"), with_(views.WALK) + "SELECT product_id, round(avg(ln(high / open) * (ln(high / open) - ln(close / open)) + ln(low / open) * (ln(low / open) - ln(close / open))), 9) AS rs FROM walk GROUP BY product_id")
 add(
     "yang_zhang", lambda s, d: rounded(volatility.yang_zhang(views.walk(s, d), 365.0), 6, "vol"),
@@ -72,12 +72,13 @@ def _beta(s: SparkSession, d: str) -> DataFrame:
 
 
 _D = repr(0.5 ** (1 / 60))
-_w = lambda e: f"sum({e} * pow({_D}, -bar_idx)) OVER ({P})"
+# Powers of the decay are taken from the first pair on, so that each bar's sum is that of the recursion.
 add(
     "ewma_beta", _beta,
-    _RET + f", b AS (SELECT bar_idx, avg(ret) AS bench FROM r GROUP BY 1), p AS (SELECT product_id, bar_idx, ret AS a, bench AS b, row_number() OVER ({P}) AS n FROM r JOIN b USING (bar_idx)),"
-    f" w AS (SELECT product_id, bar_idx, n, {_w('1')} AS w, {_w('a')} AS wa, {_w('b')} AS wb, {_w('a * b')} AS wab, {_w('b * b')} AS wbb FROM p)"
-    " SELECT product_id, bar_idx, round(CASE WHEN n < 90 OR wbb / w - pow(wb / w, 2) <= 1e-18 THEN 1.0 ELSE greatest(0, least(3, (2 / 3.0) * (wab / w - wa * wb / w / w) / (wbb / w - pow(wb / w, 2)) + 1 / 3.0)) END, 5) AS beta FROM w",
+    _RET + f""", b AS (SELECT bar_idx, avg(ret) AS bench FROM r GROUP BY 1), p AS (SELECT product_id, bar_idx, ret AS a, bench AS b, row_number() OVER ({P}) AS n FROM r JOIN b USING (bar_idx)),
+    w AS (SELECT product_id, bar_idx, n, a * b AS ab, b * b AS bb, pow({_D}, -(n - 1)) AS up FROM p),
+    m AS (SELECT *, (first_value(ab) OVER ({P}) + (1 - {_D}) * (sum(ab * up) OVER ({P}) - first_value(ab) OVER ({P}))) / up AS cov, (first_value(bb) OVER ({P}) + (1 - {_D}) * (sum(bb * up) OVER ({P}) - first_value(bb) OVER ({P}))) / up AS var FROM w)
+    SELECT product_id, bar_idx, round(CASE WHEN n < 90 OR var <= 1e-18 THEN 1.0 ELSE greatest(0, least(3, (2 / 3.0) * cov / var + 1 / 3.0)) END, 5) AS beta FROM m""",
 )
 
 _TREND = with_(
@@ -104,37 +105,56 @@ add("target_weight", lambda s, d: volatility.trend(views.walk(s, d)).select("pro
 add("institutional_signal", lambda s, d: trend_rows(s, d).select("product_id", "bar_idx", policy.action(F.col("regime"), F.col("confidence")).alias("action")), _TREND + f"SELECT product_id, bar_idx, {policy.action_sql('regime', 'confidence')} AS action FROM trend")
 
 # Momentum against its own history, on hourly bars.
+def _label_sql(x: str, steps: tuple[tuple[str, str], ...], other: str) -> str:
+    return "CASE " + " ".join(f"WHEN {x} {cond} THEN '{name}'" for cond, name in steps) + f" ELSE '{other}' END"
+
+
+_Z_LABEL = _label_sql("z", (("IS NULL", "insufficient_data"), (">= 2", "extremely_high"), (">= 1", "high"), ("<= -2", "extremely_low"), ("<= -1", "low")), "neutral")
+_VOL_LABEL = _label_sql("p", ((">= 0.9", "extreme"), (">= 0.7", "elevated"), (">= 0.3", "normal"), (">= 0.1", "compressed")), "extremely_compressed")
+_FUNDING_LABEL = _label_sql("p", ((">= 0.95", "extremely_positive"), (">= 0.8", "positive"), ("<= 0.05", "extremely_negative"), ("<= 0.2", "negative")), "neutral")
+_F = f"OVER ({P} ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)"
+
+
+def _scored_sql(source: str, x: str) -> list[str]:
+    """The values before each one, how they score it, and its midrank among them."""
+    near = f"abs(v - {x}) <= 1e-9 * greatest(abs({x}), list_max(list_transform(seen, lambda u: abs(u))), 1e-12)"
+    return [
+        f"hist AS (SELECT *, coalesce(list_filter(list({x}) {_F}, lambda u: u IS NOT NULL), []) AS seen, CASE WHEN count({x}) {_F} >= 2 THEN ({x} - avg({x}) {_F}) / nullif(stddev_samp({x}) {_F}, 0) END AS z FROM {source})",
+        f"scored AS (SELECT *, len(seen) AS samples, CASE WHEN {x} IS NULL THEN NULL WHEN len(seen) = 0 THEN 0.5 ELSE (len(list_filter(seen, lambda v: v < {x} AND NOT ({near}))) + 0.5 * len(list_filter(seen, lambda v: {near}))) / len(seen) END AS p FROM hist)",
+    ]
+
+
 for _h in (6, 24, 72):
-    _r = f"close / lag(close, {_h}) OVER ({P}) - 1"
-    _f = f"OVER ({P} ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)"
     add(
-        f"mom_z_{_h}", lambda s, d, h=_h: volatility.momentum_z(views.bars(s, d), h).select("product_id", "bar_idx", "z"),
-        with_(views.bars_sql(), f"r AS (SELECT *, {_r} AS r FROM bars)") + f"SELECT product_id, bar_idx, CASE WHEN count(r) {_f} >= 2 THEN round((r - avg(r) {_f}) / nullif(stddev_samp(r) {_f}, 0), 3) END AS z FROM r",
+        f"mom_z_{_h}", lambda s, d, h=_h: volatility.momentum_z(views.bars(s, d), h).select("product_id", "bar_idx", "return_pct", "z", "pct", "samples", "label"),
+        with_(views.bars_sql(), f"r AS (SELECT *, CASE WHEN lag(close, {_h}) OVER ({P}) > 0 THEN close / lag(close, {_h}) OVER ({P}) - 1 END AS r FROM bars)", *_scored_sql("r", "r"))
+        + f"SELECT product_id, bar_idx, round(r * 100, 4) AS return_pct, round(z, 3) AS z, round(p, 3) AS pct, CAST(samples AS INTEGER) AS samples, {_Z_LABEL} AS label FROM scored",
     )
-_f = f"OVER ({P} ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)"
+_V24 = f"OVER ({P} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"
 add(
-    "vol_regime", lambda s, d: volatility.volatility_state(views.bars(s, d)).select("product_id", "bar_idx", F.round("vol", 5).alias("vol"), "pct", "z"),
-    with_(views.bars_sql(), f"r AS (SELECT *, ln(close / lag(close) OVER ({P})) AS lr FROM bars)",
-          f"v AS (SELECT *, CASE WHEN count(lr) OVER ({P} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) = 24 THEN stddev_samp(lr) OVER ({P} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) * sqrt(8760) END AS vol FROM r)",
-          f"h AS (SELECT *, list_filter(list(vol) {_f}, lambda x: x IS NOT NULL) AS seen, CASE WHEN count(vol) {_f} >= 2 THEN (vol - avg(vol) {_f}) / nullif(stddev_samp(vol) {_f}, 0) END AS z FROM v)")
-    + "SELECT product_id, bar_idx, round(vol, 5) AS vol, round(z, 3) AS z, CASE WHEN vol IS NOT NULL THEN round(CASE WHEN coalesce(len(seen), 0) = 0 THEN 0.5 ELSE (len(list_filter(seen, lambda x: x < vol AND abs(x - vol) > 1e-9 * greatest(vol, 1))) + 0.5 * len(list_filter(seen, lambda x: abs(x - vol) <= 1e-9 * greatest(vol, 1)))) / len(seen) END, 3) END AS pct FROM h",
+    "vol_regime", lambda s, d: volatility.volatility_state(views.bars(s, d)).select("product_id", "bar_idx", F.round("vol", 5).alias("vol"), F.round("median", 5).alias("median"), "pct", "z", "vol_of_vol", "samples", "regime"),
+    with_(views.bars_sql(), f"r AS (SELECT *, CASE WHEN close > 0 AND lag(close) OVER ({P}) > 0 THEN ln(close / lag(close) OVER ({P})) END AS lr FROM bars)",
+          f"v AS (SELECT *, CASE WHEN count(lr) {_V24} = 24 THEN stddev_samp(lr) {_V24} * sqrt(8760) END AS vol FROM r)", *_scored_sql("v", "vol"))
+    + f"""SELECT product_id, bar_idx, round(vol, 5) AS vol, round(z, 3) AS z, round(p, 3) AS pct, CASE WHEN vol IS NOT NULL THEN CAST(samples AS INTEGER) END AS samples, CASE WHEN vol IS NOT NULL THEN round(list_median(seen), 5) END AS median,
+          CASE WHEN vol IS NOT NULL THEN CASE WHEN samples < 2 THEN 0.0 ELSE round(list_stddev_samp(seen) / list_avg(seen), 3) END END AS vol_of_vol,
+          CASE WHEN vol IS NOT NULL THEN CASE WHEN samples = 0 THEN 'insufficient_history' ELSE {_VOL_LABEL} END END AS regime FROM scored""",
 )
 
 
 def _funding(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rates = views.ticks(s, d).select("product_id", "ts", "seq", (F.col("price") / 1e5).alias("rate"))
-    w = Window.partitionBy("product_id").orderBy(F.col("ts").desc(), F.col("seq").desc())
-    tail = rates.withColumn("k", F.row_number().over(w)).filter("k <= 1095")
-    past = F.when(F.col("k") > 1, F.col("rate"))
-    return tail.groupBy("product_id").agg(F.max(F.when(F.col("k") == 1, F.col("rate"))).alias("rate"), F.avg(past).alias("mean"), F.stddev_samp(past).alias("sd"), F.count(past).alias("n")).select("product_id", "n", F.round(F.try_divide(F.col("rate") - F.col("mean"), F.col("sd")), 4).alias("z"))
+    return volatility.funding_summary(rates, ["product_id"], ["ts", "seq"])
 
 
-add("funding_z", _funding, with_(views.TICKS, "k AS (SELECT product_id, price / 1e5 AS rate, row_number() OVER (PARTITION BY product_id ORDER BY ts DESC, seq DESC) AS k FROM ticks)") + "SELECT product_id, count(*) FILTER (k > 1) AS n, round((max(rate) FILTER (k = 1) - avg(rate) FILTER (k > 1)) / stddev_samp(rate) FILTER (k > 1), 4) AS z FROM k WHERE k <= 1095 GROUP BY 1")
+add("funding_z", _funding, with_(
+    views.TICKS, "k AS (SELECT product_id, price / 1e5 AS rate, row_number() OVER (PARTITION BY product_id ORDER BY ts DESC, seq DESC) AS k FROM ticks)",
+    "c AS (SELECT product_id, rate AS now FROM k WHERE k = 1), h AS (SELECT k.*, now FROM k JOIN c USING (product_id) WHERE k > 1)",
+    "sc AS (SELECT product_id, greatest(max(abs(now)), max(abs(rate)), 1e-12) * 1e-9 AS tol FROM h GROUP BY 1)",
+    "q AS (SELECT product_id, any_value(now) AS now, count(*) AS samples, median(rate) AS med, (any_value(now) - avg(rate)) / stddev_samp(rate) AS z, (count(*) FILTER (rate < now - tol) + 0.5 * count(*) FILTER (abs(rate - now) <= tol)) / count(*) AS p FROM h JOIN sc USING (product_id) GROUP BY 1)")
+    + f"SELECT product_id, samples, round(now, 8) AS rate, round(now * 1095 * 100, 3) AS annual_pct, round(med, 8) AS median, round(z, 3) AS z, round(p, 3) AS pct, {_FUNDING_LABEL} AS regime FROM q")
 
 # Technical summaries.
-add("ema_9", lambda s, d: recursion.ema(views.bars(s, d).select("product_id", "bar_idx", "close"), "ema", 9).select("product_id", "bar_idx", F.round("ema", 6).alias("ema")))
+add("ema_9", lambda s, d: recursion.ema(views.bars(s, d).select("product_id", "bar_idx", "close"), {"ema": 9}).select("product_id", "bar_idx", F.round("ema", 6).alias("ema")))
 
 
 def ema_sql(source: str, name: str, period: int, x: str = "close") -> list[str]:
@@ -144,42 +164,56 @@ def ema_sql(source: str, name: str, period: int, x: str = "close") -> list[str]:
 
 
 SQL["ema_9"] = with_(views.bars_sql(), *ema_sql("bars", "ema", 9)) + "SELECT product_id, bar_idx, round(ema, 6) AS ema FROM ema_v"
-add("ema_cross", lambda s, d: technical.ema_cross(views.bars(s, d)), with_(views.bars_sql(), *ema_sql("bars", "quick", 9), *ema_sql("quick_v", "slow", 21),
-    f"x AS (SELECT *, max(bar_idx) OVER (PARTITION BY product_id) AS top, sign(quick - slow) AS side, lag(sign(quick - slow)) OVER ({P}) AS was FROM slow_v)")
-    + """SELECT product_id, max(CASE WHEN bar_idx = top THEN CASE WHEN side > 0 THEN 'above' WHEN side < 0 THEN 'below' ELSE 'equal' END END) AS state,
-         coalesce(arg_max(CASE WHEN side > 0 THEN 'up' ELSE 'down' END, bar_idx) FILTER (side * was < 0 AND bar_idx > top - 5), 'none') AS crossed FROM x GROUP BY 1""")
+_CROSS = [
+    *ema_sql("bars", "quick", 9), *ema_sql("quick_v", "slow", 21),
+    f"gap AS (SELECT product_id, bar_idx, quick, slow, quick - slow AS g, lag(quick - slow) OVER ({P}) AS w, max(bar_idx) OVER (PARTITION BY product_id) AS top FROM slow_v)",
+    """crossed AS (SELECT product_id, CASE WHEN max(top) >= 21 THEN round(arg_max(quick, bar_idx), 6) END AS ema_fast, CASE WHEN max(top) >= 21 THEN round(arg_max(slow, bar_idx), 6) END AS ema_slow,
+        CASE WHEN max(top) >= 21 THEN CASE WHEN arg_max(g, bar_idx) > 0 THEN 'bullish' WHEN arg_max(g, bar_idx) < 0 THEN 'bearish' ELSE 'flat' END END AS state,
+        CASE WHEN max(top) >= 21 THEN arg_max(CASE WHEN g > 0 THEN 'golden' ELSE 'death' END, bar_idx) FILTER (bar_idx > top - 5 AND ((w <= 0 AND g > 0) OR (w >= 0 AND g < 0))) END AS recent_cross FROM gap GROUP BY 1)""",
+]
+add("ema_cross", lambda s, d: technical.ema_cross(views.bars(s, d)), with_(views.bars_sql(), *_CROSS) + "SELECT * FROM crossed")
 _k = repr(13 / 14)
+_RSI = [
+    f"dx AS (SELECT product_id, bar_idx, close - lag(close) OVER ({P}) AS dx FROM bars)",
+    "ud AS (SELECT product_id, bar_idx, " + ", ".join(f"pow({_k}, bar_idx - 14) * (sum(CASE WHEN bar_idx BETWEEN 1 AND 14 THEN {e} / 14 ELSE 0 END) OVER ({P}) + sum(CASE WHEN bar_idx > 14 THEN {e} * pow({_k}, -(bar_idx - 14)) / 14 ELSE 0 END) OVER ({P})) AS {n}" for e, n in (("greatest(dx, 0)", "up"), ("greatest(-dx, 0)", "dn"))) + " FROM dx)",
+    "strength AS (SELECT product_id, bar_idx, CASE WHEN bar_idx >= 14 THEN CASE WHEN dn = 0 THEN 100.0 ELSE 100 - 100 / (1 + up / dn) END END AS rsi FROM ud)",
+]
 add(
     "rsi_wilder", lambda s, d: recursion.rsi_wilder(views.bars(s, d).select("product_id", "bar_idx", "close"), "rsi").select("product_id", "bar_idx", F.round("rsi", 5).alias("rsi")),
-    with_(views.bars_sql(), f"dx AS (SELECT product_id, bar_idx, close - lag(close) OVER ({P}) AS dx FROM bars)",
-          f"a AS (SELECT product_id, bar_idx, " + ", ".join(f"pow({_k}, bar_idx - 14) * (sum(CASE WHEN bar_idx BETWEEN 1 AND 14 THEN {e} / 14 ELSE 0 END) OVER ({P}) + sum(CASE WHEN bar_idx > 14 THEN {e} * pow({_k}, -(bar_idx - 14)) / 14 ELSE 0 END) OVER ({P})) AS {n}" for e, n in (("greatest(dx, 0)", "up"), ("greatest(-dx, 0)", "dn"))) + " FROM dx)")
-    + "SELECT product_id, bar_idx, CASE WHEN bar_idx >= 14 THEN round(CASE WHEN dn = 0 THEN 100.0 ELSE 100 - 100 / (1 + up / dn) END, 5) END AS rsi FROM a",
+    with_(views.bars_sql(), *_RSI) + "SELECT product_id, bar_idx, round(rsi, 5) AS rsi FROM strength",
 )
 add(
     "candles_technical", lambda s, d: technical.candle_summary(views.bars(s, d)),
-    with_(views.bars_sql(), f"r AS (SELECT *, close / lag(close) OVER ({P}) - 1 AS ret FROM bars)")
-    + "SELECT product_id, count(*) AS n, round((arg_max(close, bar_idx) / arg_min(close, bar_idx) - 1) * 100, 4) AS change_pct, round((max(high) - min(low)) / min(low) * 100, 4) AS range_pct, round(stddev_pop(ret) * 100, 4) AS volatility_pct FROM r GROUP BY 1",
+    with_(views.bars_sql(), *_CROSS, *_RSI, f"r AS (SELECT *, close / lag(close) OVER ({P}) - 1 AS ret FROM bars)",
+          "x AS (SELECT product_id, round(arg_max_null(rsi, bar_idx), 2) AS rsi_14 FROM strength GROUP BY 1)")
+    + """SELECT product_id, count(*) AS candles_used, arg_min(close, bar_idx) AS first_close, arg_max(close, bar_idx) AS last_close, round((arg_max(close, bar_idx) / arg_min(close, bar_idx) - 1) * 100, 2) AS change_pct,
+         round((max(high) - min(low)) / min(low) * 100, 2) AS range_pct, round(stddev_pop(ret) * 100, 3) AS realized_vol_pct, any_value(rsi_14) AS rsi_14, any_value(ema_fast) AS ema_9, any_value(ema_slow) AS ema_21,
+         any_value(state) AS ema_trend, any_value(recent_cross) AS ema_recent_cross FROM r LEFT JOIN x USING (product_id) LEFT JOIN crossed USING (product_id) GROUP BY 1 HAVING count(*) >= 2""",
 )
+_SIDED = "CASE WHEN lower(trim(side)) IN ('buy', 'b', 'bid') THEN 1 WHEN lower(trim(side)) IN ('sell', 's', 'ask') THEN -1 ELSE 0 END"
 add(
-    "trades_summary", lambda s, d: technical.trade_summary(views.ticks(s, d)),
-    with_(views.TICKS, "a AS (SELECT product_id, avg(size) AS mean FROM ticks GROUP BY 1)")
-    + "SELECT product_id, round(100 * sum(CASE WHEN side = 'BUY' THEN size ELSE 0 END) / sum(size), 4) AS buy_pct, round(100 * sum(CASE WHEN side = 'SELL' THEN size ELSE 0 END) / sum(size), 4) AS sell_pct, round(any_value(mean), 4) AS avg_size, count(*) FILTER (size > 3 * mean) AS large, sum(CASE side WHEN 'BUY' THEN size ELSE -size END) AS cvd, round(sum(CASE side WHEN 'BUY' THEN size ELSE -size END) / any_value(mean), 4) AS cvd_per_avg FROM ticks JOIN a USING (product_id) GROUP BY 1",
+    "trades_summary", lambda s, d: technical.trade_summary(table(s, d, "market_trades").filter("product_id IS NOT NULL")),
+    f"""WITH t AS (SELECT product_id, coalesce(size, 0) AS size, {_SIDED} AS sg, avg(coalesce(size, 0)) OVER (PARTITION BY product_id) AS mean FROM market_trades WHERE product_id IS NOT NULL)
+        SELECT product_id, count(*) AS trades_used, round(coalesce(sum(size) FILTER (sg = 1), 0) / sum(size) FILTER (sg <> 0) * 100, 2) AS aggressive_buy_pct, round(coalesce(sum(size) FILTER (sg = -1), 0) / sum(size) FILTER (sg <> 0) * 100, 2) AS aggressive_sell_pct,
+               round(any_value(mean), 4) AS avg_trade_size, count(*) FILTER (size > 3 * mean) AS large_trades_count, round(sum(sg * size), 4) AS cvd, round(sum(sg * size) / any_value(mean), 3) AS cvd_normalized FROM t GROUP BY 1""",
 )
 
 
 def _portfolio(s: SparkSession, d: str) -> DataFrame:
     held = table(s, d, "customer").select(F.element_at(F.array(*map(F.lit, ("click", "view", "signup", "gone"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("symbol"), F.col("c_acctbal").alias("quantity"), F.col("c_nationkey").alias("owner"))
     held = held.groupBy("owner", "symbol").agg(F.sum("quantity").alias("quantity"))
-    last = views.ticks(s, d).groupBy(F.col("product_id").alias("symbol")).agg(F.max_by("price", F.struct("ts", "seq")).alias("price"))
-    return technical.portfolio(held, last, "owner")
+    last = views.ticks(s, d).groupBy(F.col("product_id").alias("symbol")).agg(F.max_by("price", F.struct("ts", "seq")).alias("close"), (F.max_by("size", F.struct("ts", "seq")) / 1000).cast("string").alias("change24h"))
+    # the signups' price stands in another column, and the views' change can't be read
+    last = last.withColumns({"last": F.when(F.col("symbol") == "signup", "n/a").otherwise(F.col("close").cast("string")), "change_24h": F.when(F.col("symbol") == "view", "?")})
+    return technical.portfolio(held, last, "owner", ("last", "close"), ("change_24h", "change24h"))
 
 
 add(
     "portfolio_contexts", _portfolio,
-    with_(views.TICKS, "last AS (SELECT product_id AS symbol, arg_max(price, (ts, seq)) AS price FROM ticks GROUP BY 1)",
+    with_(views.TICKS, "last AS (SELECT product_id AS symbol, arg_max(price, (ts, seq)) AS price, round(arg_max(size, (ts, seq)) / 1000 * 100, 4) AS change FROM ticks GROUP BY 1)",
           "held AS (SELECT c_nationkey AS owner, ['click', 'view', 'signup', 'gone'][c_custkey % 4 + 1] AS symbol, sum(c_acctbal) AS quantity FROM customer GROUP BY ALL)",
-          "v AS (SELECT owner, symbol, quantity, coalesce(price, 0) AS price, quantity * coalesce(price, 0) AS value FROM held LEFT JOIN last USING (symbol))")
-    + "SELECT owner, symbol, round(quantity, 4) AS quantity, price, round(value, 2) AS value, CASE WHEN abs(sum(value) OVER (PARTITION BY owner)) >= 1e-12 THEN round(100 * value / sum(value) OVER (PARTITION BY owner), 4) END AS weight_pct FROM v",
+          "v AS (SELECT owner, symbol, quantity, coalesce(price, 0) AS price, quantity * coalesce(price, 0) AS value, change FROM held LEFT JOIN last USING (symbol))")
+    + "SELECT owner, symbol, quantity, round(price, 6) AS price_usdt, round(value, 2) AS value_usdt, CASE WHEN sum(value) OVER (PARTITION BY owner) = 0 THEN 0.0 ELSE round(100 * value / sum(value) OVER (PARTITION BY owner), 2) END AS weight_pct, change AS change_24h_pct FROM v",
 )
 add("policy_table", lambda s, d: policy.grid(s), policy.GRID_SQL)
 add("legacy_policy", lambda s, d: policy.grid(s, legacy=True), policy.LEGACY_SQL)

@@ -13,9 +13,8 @@ from ..operators import search
 from ..operators.hierarchy import hierarchies
 from ..session import Scratch, table
 from ..sources import lake, synthetic
-from . import views
-from .compiler import evaluate
-from .factor_queries import _long, with_
+from . import found, views
+from .factor_queries import with_
 from .factors import FACTORS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,9 +30,9 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | N
 def _search(s: SparkSession, d: str) -> DataFrame:
     """A search over a planted walk; its product is the driver's own, not a table."""
     bars = synthetic.walks(s, [9], 2400, sigma=0.01, phi=-0.12).drop("seed")
-    found = search.run_search(bars)
-    rows = [(r["expr_id"], r["text"], r["family"], r["verdict"], json.dumps(r.get("insample"))) for r in found["records"]]
-    return s.createDataFrame(rows, "expr_id string, text string, family string, verdict string, insample string")
+    found = search.run_search(bars, symbol="walk9")
+    rows = [(k, r["expr_id"], r["text"], r["family"], r["op"], r["verdict"], json.dumps(r.get("insample")), json.dumps(r.get("holdout"))) for k, r in enumerate(found["records"])]
+    return s.createDataFrame(rows, "no int, expr_id string, text string, family string, op string, verdict string, insample string, holdout string")
 
 
 add("search_run", _search)
@@ -45,21 +44,40 @@ _all = {k: f.node for k, f in FACTORS.items()}
 def _null_band(s: SparkSession, d: str) -> DataFrame:
     """Percentiles of absolute correlations on random walks, per factor and pooled."""
     walks = synthetic.walks(s, list(range(1007, 1027)), 350)
-    long = _long(evaluate(walks.drop("seed"), _all), list(_all)).withColumn("product_id", F.concat_ws("|", "product_id", "factor_id"))
-    ics = ev.information(long, [1], ["product_id"]).select(F.split_part("product_id", F.lit("|"), F.lit(2)).alias("factor_id"), "n", F.abs("ic").alias("abs_ic"))
-    band = ics.groupingSets([["factor_id"], []], "factor_id").agg(*(F.round(F.percentile("abs_ic", F.lit(q / 100)), 4).alias(f"p{q}") for q in (50, 95, 99)), F.count("abs_ic").alias("n"))
+    ics = ev.information(walks.drop("seed"), _all, [1]).select("factor_id", "n", F.abs("ic").alias("abs_ic"))
+    each = [F.round(F.percentile("abs_ic", F.lit(q / 100)), 4).alias(f"p{q}") for q in (50, 95, 99)]
+    band = ics.groupingSets([["factor_id"], []], "factor_id").agg(*each, F.round(F.max("abs_ic"), 4).alias("most"), F.count("abs_ic").alias("n"), F.round(F.percentile("n", F.lit(0.5)), 1).alias("n_pairs_median"))
     return band.withColumn("factor_id", F.coalesce("factor_id", F.lit("pooled")))
 
 
+def _sp(n: int) -> int:
+    """Where the holdout of n bars begins."""
+    return n - int(n * 0.2)
+
+
 def _fees(s: SparkSession, d: str) -> DataFrame:
-    """What the reversal factor earns on every product's bars after costs."""
+    """What the reversal seed earns on the walks' holdout bars after costs."""
     from . import expr
 
-    fees = search.fee_after(views.bars(s, d), expr.parse("-1 * delta(close, 1)"), 1, 0)
-    return fees.select("product_id", "cost_bps", F.round("total_return", 5).alias("total_return"), "n_trades")
+    bars = views.walk(s, d)
+    first = _sp(bars.groupBy("product_id").count().agg(F.min("count")).first()[0])
+    return search.fee_after(bars, expr.parse("-1 * delta(close, 1)"), 1.0, first).select("product_id", F.col("cost_bps").cast("int").alias("cost_bps"), F.round("total_return", 5).alias("total_return"), "n_trades")
+
+
+def _fee_sql(cost: int) -> str:
+    """Long after a fall, flat after a rise, held where nothing moved; everything is traded at the next open."""
+    k = cost / 1e4
+    return f"""c{cost} AS (SELECT product_id, bar_idx, CAST(10000 AS DOUBLE) AS cash, CAST(0 AS DOUBLE) AS q, 0 AS trades, close FROM aims WHERE bar_idx = head
+        UNION ALL SELECT product_id, bar_idx, cash - amount - abs(amount) * {k}, q + amount / open, CASE WHEN abs(amount / open) > 1e-12 THEN 1 ELSE 0 END, close
+        FROM (SELECT n.product_id, n.bar_idx, n.open, n.close, c.cash, c.q, CASE WHEN n.aim IS NULL THEN 0.0 WHEN n.aim = 0 THEN -c.q * n.open ELSE least(c.cash + c.q * n.open - c.q * n.open, c.cash / (1 + {k})) END AS amount
+              FROM c{cost} c JOIN aims n ON n.product_id = c.product_id AND n.bar_idx = c.bar_idx + 1))"""
 
 
-add("fee_after", _fees)
+add("fee_after", _fees, with_(
+    "RECURSIVE " + views.WALK, "len AS (SELECT min(n) - CAST(floor(min(n) * 0.2) AS BIGINT) AS head FROM (SELECT count(*) AS n FROM walk GROUP BY product_id))",
+    "sg AS (SELECT *, close - lag(close) OVER (PARTITION BY product_id ORDER BY bar_idx) AS dx FROM walk)",
+    "aims AS (SELECT sg.*, head, lag(CASE WHEN dx < 0 THEN 1.0 WHEN dx >= 0 THEN 0.0 END) OVER (PARTITION BY product_id ORDER BY bar_idx) AS aim FROM sg, len)", *map(_fee_sql, search.COSTS))
+    + " UNION ALL ".join(f"SELECT product_id, {c} AS cost_bps, round(arg_max(cash + q * close, bar_idx) / arg_min(cash + q * close, bar_idx) - 1, 5) AS total_return, CAST(sum(trades) AS BIGINT) AS n_trades FROM c{c} GROUP BY 1" for c in search.COSTS))
 add("null_band", _null_band)
 _TRIALS = (1, 5, 50, 500)
 
@@ -71,8 +89,9 @@ def _thresholds(s: SparkSession, d: str) -> DataFrame:
 #: The standard normal's quantile at (1 + 0.95 ** (1 / N)) / 2 for N = 1, 5, 50, 500.
 _Z = (1.959963985, 2.568763168, 3.283479816, 3.884403733)
 add("deflated_threshold", _thresholds, "SELECT CAST(n AS INTEGER) AS n, CAST(t AS INTEGER) AS trials, round(z / sqrt(n - 1), 4) AS threshold FROM (VALUES " + ", ".join(f"({t}, CAST({z} AS DOUBLE))" for t, z in zip(_TRIALS, _Z)) + ") AS a(t, z), (VALUES (759), (1870)) AS b(n)")
-add("holdout_split", lambda s, d: s.createDataFrame([(n, b, a, z) for n in (2400, 1001) for b, (a, z) in enumerate(search.split(n).blocks)], "n int, block int, first int, last int"),
-    "SELECT CAST(n AS INTEGER) AS n, CAST(b AS INTEGER) AS block, CAST(f AS INTEGER) AS first, CAST(l AS INTEGER) AS last FROM (VALUES (2400, 0, 0, 624), (2400, 1, 624, 1248), (2400, 2, 1248, 1872), (1001, 0, 0, 251), (1001, 1, 251, 502), (1001, 2, 502, 753)) AS t(n, b, f, l)")
+add("holdout_split", lambda s, d: s.createDataFrame([(n, b, a, z) for n in (2400, 1004) for b, (a, z) in enumerate(search.split(n).blocks)], "n int, block int, first int, last int"),
+    """WITH s AS (SELECT n, n - CAST(floor(n * 0.2) AS BIGINT) - 48 AS e FROM (VALUES (2400), (1004)) AS t(n))
+       SELECT CAST(n AS INTEGER) AS n, CAST(b AS INTEGER) AS block, CAST(round_even(e * b / 3.0, 0) AS INTEGER) AS first, CAST(round_even(e * (b + 1) / 3.0, 0) - 1 AS INTEGER) AS last FROM s, range(3) AS r(b)""")
 add("trial_counts", lambda s, d: table(s, d, "archive_records").dropDuplicates(["line_no"]).groupBy("verdict").agg(F.count("*").alias("n"), F.count_distinct("expr_id").alias("expressions"), F.count_if(F.col("insample").isNotNull()).alias("scored")),
     "SELECT verdict, count(*) AS n, count(DISTINCT expr_id) AS expressions, count(insample) AS scored FROM (SELECT DISTINCT ON (line_no) * FROM archive_records) GROUP BY 1")
 
@@ -107,7 +126,7 @@ def _lake(s: SparkSession, d: str) -> DataFrame:
 
 _LAKE = views.bars_sql().replace("FROM bars_1m GROUP BY ALL", "FROM (SELECT * REPLACE (volume + CASE WHEN close > open THEN 1 ELSE 0 END AS volume) FROM bars_1m WHERE make_timestamp(m * 60000000) BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20') GROUP BY ALL")
 add("dedupe_last_wins", _lake, with_(_LAKE) + "SELECT product_id, ts, open, high, low, close, volume FROM bars")
-add("lineage_depths", lambda s, d: _lineage(s, d))
+add("lineage_depths", lambda s, d: _lineage(s, d), f"WITH q AS ({found.SQL['p4_found']}) SELECT depth, count(*) AS n FROM q GROUP BY 1")
 
 
 def _lineage(s: SparkSession, d: str) -> DataFrame:

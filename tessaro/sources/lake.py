@@ -102,23 +102,42 @@ def decisions(spark: SparkSession, path: str) -> DataFrame:
 
 
 ARCHIVE = (
-    "_meta string, expr_id string, text string, family string, verdict string, insample struct<ic: double, n: bigint, abs_ic: double, threshold: double>, "
-    "parents array<string>, op string, mode string, generation bigint, trial_no bigint, n_trials_at_verdict bigint, gates_version string, cleared_null boolean, reason string"
+    "expr_id string, text string, family string, verdict string, insample struct<ic: double, n: bigint, abs_ic: double, threshold: double>, parents array<string>, op string, mode string, generation bigint, "
+    "trial_no bigint, n_trials_at_verdict bigint, gates_version string, cleared_null boolean, reason string"
 )
 
 
 def archive(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """(records in order with line_no, meta) of a verdict archive in JSON lines whose first line is its meta."""
-    rows = spark.read.schema(ARCHIVE).json(path).withColumn("line_no", F.monotonically_increasing_id())
-    meta = rows.filter("_meta IS NOT NULL").select("_meta").limit(1).collect()
-    return rows.filter("_meta IS NULL").drop("_meta"), json.loads(meta[0][0]) if meta else {}
-
-
-def write_archive(path: str, meta: dict, records: list[dict]) -> None:
-    """The driver's archive of one search: meta first, keys sorted."""
-    with open(path, "w") as file:
-        for row in ({"_meta": meta}, *records):
-            file.write(json.dumps(row, sort_keys=True) + "\n")
+    """(records in order with line_no, meta) of a verdict archive in JSON lines, one of which, the first, is its meta."""
+    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    is_meta = F.coalesce(F.get_json_object("value", "$._meta") == "true", F.lit(False))
+    meta = lines.filter(is_meta).select("value").take(1)
+    records = lines.filter(~is_meta & (F.trim("value") != "")).select(F.from_json("value", ARCHIVE).alias("r"), "line_no")
+    return records.select("r.*", "line_no"), {k: v for k, v in json.loads(meta[0][0]).items() if k != "_meta"} if meta else {}
+
+
+def read_archive(spark: SparkSession, path: str) -> tuple[list[dict], dict]:
+    """The records and the meta of one search's own archive, for the driver to go on with; both empty if there is none."""
+    fs, at = _file(spark, path)
+    if not fs.exists(at):
+        return [], {}
+    rows = [json.loads(r[0]) for r in spark.read.text(path).collect() if r[0].strip()]  # one line per proposal of the search
+    meta = next((r for r in rows if r.get("_meta") is True), {})
+    return [r for r in rows if r.get("_meta") is not True], {k: v for k, v in meta.items() if k != "_meta"}
+
+
+def _file(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_archive(spark: SparkSession, path: str, meta: dict, records: list[dict]) -> None:
+    """One search's archive on whatever file system the path names: meta first, keys sorted."""
+    lines = [json.dumps(row, sort_keys=True) for row in ({"_meta": True, **meta}, *records)]
+    fs, at = _file(spark, path)
+    stream = fs.create(at, True)
+    stream.write(bytearray("\n".join([*lines, ""]).encode()))
+    stream.close()
 
 
 def replayed_differently(records: DataFrame, again: DataFrame) -> DataFrame:
