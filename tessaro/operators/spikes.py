@@ -1,7 +1,7 @@
 """Implausible readings of bars: control charts per source, run-length counters, physical limits.
 
 Each source is held against itself. A robust exponentially weighted chart follows its level and
-its bar-to-bar scale; a value beyond the limits is held back, so it moves neither, and a
+its bar-to-bar scale; a value beyond the limits is clipped before it moves either, and a
 run-length counter tells what it was: back within the limits after at most three bars, a spike;
 still beyond them at the fourth, a lasting move, to which the level is set. Repeats are counted
 likewise. Physical limits need no history.
@@ -28,6 +28,8 @@ FIELDS = ("open", "high", "low", "close", "volume")
 PRICE_LIMIT, VOLUME_LIMIT, LEVEL_WEIGHT, SCALE_WEIGHT = 14.0, 7.5, 0.5, 0.05
 #: Most bars of a spike; repeats that make a series; share of repeats from which repeating is natural.
 SPIKE_BARS, STUCK_REPEATS, NATURAL_SHARE = 3, 5, 0.12
+#: A suspected value counts as this many scales off; deliveries that were replaced are judged with so many bars on either side.
+CLIP, AROUND = 3.0, 128
 STRETCH_US, WARM_UP_US, GAP_US = 6 * 3600 * 1_000_000, 90 * 60 * 1_000_000, 30 * 60 * 1_000_000
 
 
@@ -53,17 +55,20 @@ def chart(x: np.ndarray, usual: float, limit: float, weight: float = LEVEL_WEIGH
     known = np.flatnonzero(~np.isnan(x))
     if not len(known):
         return np.full(n, np.nan), np.full(n, usual), spike
-    m, s, held = float(np.median(x[known[:7]])), usual, []
+    m, s, held, up = float(np.median(x[known[:7]])), usual, [], False
     for i, value in enumerate(x.tolist()):
         level[i], scale[i] = m, s
         if value != value:
             continue
         error = value - m
         if abs(error) > limit * s:
-            if held and (error > 0) != (x[held[0]] > m):
+            if held and (error > 0) != up:
                 spike[held] = True  # beyond the limits on the other side: the former run is over
                 held = []
+            up = error > 0
             held.append(i)
+            m += weight * math.copysign(CLIP * s, error)
+            s += SCALE_WEIGHT * (CLIP - 1) * s
             if len(held) > SPIKE_BARS:
                 m, held = float(np.median(x[held])), []
             continue
@@ -71,7 +76,7 @@ def chart(x: np.ndarray, usual: float, limit: float, weight: float = LEVEL_WEIGH
             spike[held] = True
             held = []
         m += weight * error
-        s = max(0.5 * usual, s + SCALE_WEIGHT * (min(abs(error), 3 * s) - s))
+        s = max(0.5 * usual, s + SCALE_WEIGHT * (min(abs(error), CLIP * s) - s))
     if held:
         spike[held] = True
     return level, scale, spike
@@ -137,9 +142,9 @@ def _judge(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     newest = rows["newest"]
     # The newest delivery of each stamp makes the chart; an earlier one is judged in its place.
     slots = {f: rows[f][newest] for f in ("us", "bad", *FIELDS)}
-    ends = [0, *(np.flatnonzero(np.diff(slots["us"]) > GAP_US) + 1), len(slots["us"])]
 
     def judge(table: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        ends = [0, *(np.flatnonzero(np.diff(table["us"]) > GAP_US) + 1), len(table["us"])]
         out = [spiked({f: x[a:b] for f, x in table.items()}, rows["price_scale"][0], rows["volume_scale"][0]) for a, b in zip(ends, ends[1:])]
         kept = np.zeros(len(table["us"]), bool)
         if rows["price_moves"][0]:
@@ -151,18 +156,19 @@ def _judge(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     spike[newest], stuck[newest] = judge(slots)
     older = np.flatnonzero(~newest)
     if len(older):
-        at = {us: i for i, us in enumerate(slots["us"].tolist())}
-        # One pass per rank of delivery; a stamp rarely has more than two.
+        # A stamp's newest delivery is in the same stretch: both are cut by the stamp.
+        at = np.searchsorted(slots["us"], rows["us"]) if (np.diff(slots["us"]) >= 0).all() else np.array([{us: i for i, us in enumerate(slots["us"].tolist())}[us] for us in rows["us"].tolist()])
+        # One look per rank of delivery, at its surroundings only.
         for turn in np.unique(rows["turn"][older]):
             mine = older[rows["turn"][older] == turn]
-            # A stamp's newest delivery is in the same stretch: both are cut by the stamp.
-            where = np.array([at[us] for us in rows["us"][mine].tolist()])
-            variant = dict(slots)
-            for f in ("bad", *FIELDS):
-                variant[f] = slots[f].copy()
-                variant[f][where] = rows[f][mine]
-            a, b = judge(variant)
-            spike[mine], stuck[mine] = a[where], b[where]
+            mine = mine[np.argsort(at[mine], kind="stable")]
+            for group in np.split(mine, np.flatnonzero(np.diff(at[mine]) > 2 * AROUND) + 1):
+                first, last = max(0, at[group[0]] - AROUND), at[group[-1]] + AROUND + 1
+                variant = {f: x[first:last].copy() for f, x in slots.items()}
+                for f in ("bad", *FIELDS):
+                    variant[f][at[group] - first] = rows[f][group]
+                a, b = judge(variant)
+                spike[group], stuck[group] = a[at[group] - first], b[at[group] - first]
     return spike, stuck
 
 
@@ -204,12 +210,12 @@ def flag_readings(bars: DataFrame, source: list[str]) -> DataFrame:
     log = lambda c: F.when(~F.col("bad") & (F.col(c) > 0) & ~F.isnan(c), F.ln(c))
     step = usable.filter("newest").select(
         *key, F.abs(log("close") - F.lag(log("close")).over(along)).alias("dp"), F.abs(log("volume") - F.lag(log("volume")).over(along)).alias("dv"),
-        *((F.col(f) == F.lag(f).over(along)).alias(f"same_{f}") for f in ("high", "low", "close", "volume")),
+        *((F.col(f) == F.lag(f).over(along)).alias(f"same_{f}") for f in ("high", "low", "close", "volume")), (F.col("volume") != 0).alias("traded"),
     )
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     usual = step.groupBy(*key).agg(
         F.percentile_approx("dp", F.array(F.lit(0.5), F.lit(0.9)), 1000).alias("p"), F.percentile_approx("dv", F.array(F.lit(0.5), F.lit(0.9)), 1000).alias("v"),
-        share(F.col("same_high") & F.col("same_low") & F.col("same_close")).alias("still"), share(F.col("same_volume")).alias("still_volume"),
+        share(F.col("same_high") & F.col("same_low") & F.col("same_close")).alias("still"), F.coalesce(F.avg(F.when(F.col("traded"), F.coalesce("same_volume", F.lit(False)).cast("double"))), F.lit(0.0)).alias("still_volume"),
         F.percentile_approx(F.when(F.col("dp") > 0, F.col("dp")), 0.1, 1000).alias("least"),
     )
     scale = lambda c, k: F.greatest(F.get(c, F.lit(0)) / 0.6745 * 0.8, F.get(c, F.lit(1)) / 1.645 * 0.8, k)
