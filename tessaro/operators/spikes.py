@@ -119,8 +119,10 @@ def spiked(rows: dict[str, np.ndarray], price_scale: float, volume_scale: float)
     with np.errstate(invalid="ignore"):
         over = ~bad & (log["high"] - top > PRICE_LIMIT * scale)
         under = ~bad & (low - log["low"] > PRICE_LIMIT * scale)
+    # High and low are charted themselves too: their level is that of their own former bars.
+    high, lower = (_two_sided(np.where(bad, np.nan, log[f]), price_scale, PRICE_LIMIT, LEVEL_WEIGHT)[3] for f in ("high", "low"))
     _, _, _, loud = _two_sided(log["volume"], volume_scale, VOLUME_LIMIT, 0.3)
-    return spike | _held_runs(over) | _held_runs(under) | loud
+    return spike | (_held_runs(over) & high) | (_held_runs(under) & lower) | loud
 
 
 def repeats(rows: dict[str, np.ndarray], fields: list[str]) -> np.ndarray:
