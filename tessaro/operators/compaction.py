@@ -20,6 +20,7 @@ import uuid
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -113,29 +114,32 @@ def tiny_files(rows: DataFrame, path: str, columns: list[str], *, part_bytes: in
     return lines.mapInArrow(pack, FILES)
 
 
-def repeated_lines(files: DataFrame) -> DataFrame:
+def repeated_lines(files: DataFrame, scratch: Scratch) -> DataFrame:
     """(path, part, drop): the numbers of the lines that are exact copies of a line in an earlier place.
 
     Copies are recognised by 128-bit hashes of the line's bytes. The earliest place (by path,
     part, line) keeps its line; it is found by an aggregation that is combined before the
-    exchange, so a record that fills a third of the lake costs no single task anything.
+    exchange, so a record that fills a third of the lake costs no single task anything. The places
+    are written once, as they are read twice.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, k, held in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                n = len(held) // 16
-                halves = pa.array(memoryview(held).cast("q").tolist(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [halves.take(pa.array(range(0, 2 * n, 2))), halves.take(pa.array(range(1, 2 * n, 2))), pa.array([p] * n, pa.string()), pa.array([k] * n, pa.int32()), pa.array(range(n), pa.int32())],
-                    names=["h", "g", "path", "part", "line_no"],
-                )
+            held = batch.column(2).to_pylist()
+            n = np.array([len(x) // 16 for x in held], np.int64)
+            halves = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2)
+            of = np.repeat(np.arange(len(held)), n)
+            line = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(line.astype(np.int32))],
+                names=["h", "g", "path", "part", "line_no"],
+            )
 
     places = files.select("path", "part", "lines").mapInArrow(spread, "h bigint, g bigint, path string, part int, line_no int")
-    places = places.select("h", "g", F.struct("path", "part", "line_no").alias("place"))
+    places = scratch.keep(places.select("h", "g", F.struct("path", "part", "line_no").alias("place")), "places")
     first = places.groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     repeated = places.join(first, ["h", "g"]).filter("place > first")
-    return repeated.groupBy("place.path", "place.part").agg(F.collect_list("place.line_no").alias("drop"))
+    return scratch.keep(repeated.groupBy("place.path", "place.part").agg(F.collect_list("place.line_no").alias("drop")), "repeated")
 
 
 def consolidate(files: DataFrame, repeated: DataFrame, folder: str, columns: list[str], *, target_bytes: int, total_bytes: int, stretch_bytes: int = 4 << 20) -> DataFrame:
@@ -260,11 +264,11 @@ def compact(spark: SparkSession, rows: DataFrame, path: str, columns: list[str],
     where = jvm.org.apache.hadoop.fs.Path(folder)
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     system.mkdirs(where)
-    manifest = scratch.keep(consolidate(files, repeated_lines(files), folder, columns, target_bytes=target_bytes, total_bytes=total), "manifest")
+    manifest = scratch.keep(consolidate(files, repeated_lines(files, scratch), folder, columns, target_bytes=target_bytes, total_bytes=total), "manifest")
     names = {r[0] for r in manifest.select("name").distinct().collect()}  # as many as there are consolidated files
     for status in system.listStatus(where):
         if status.getPath().getName() not in names:
             system.delete(status.getPath(), False)
-    scratch.drop("files")
+    scratch.drop("files", "places")
     back = read_lines(manifest, folder).select(from_line(F.col("line"), schema).alias("r")).select("r.*")
     return back, manifest

@@ -44,4 +44,4 @@ def test_altered_bytes_are_noticed(spark):
     broken = files.withColumn("checksum", files["checksum"] + 1)
     scratch = Scratch(spark, "broken")
     with pytest.raises(Exception, match="recorded"):
-        consolidate(broken, repeated_lines(files), scratch.root, COLUMNS, target_bytes=1 << 20, total_bytes=100).collect()
+        consolidate(broken, repeated_lines(files, scratch), scratch.root, COLUMNS, target_bytes=1 << 20, total_bytes=100).collect()
