@@ -18,19 +18,23 @@ from pyspark.sql import functions as F
 from .cells import whole_cells
 
 MINUTE = 60_000_000
-#: Minutes of a stretch, of its overlap, lags of the embedding, singular vectors, most iterations.
-STRETCH, OVERLAP, LAGS, VECTORS, ITERATIONS = 720, 60, 24, 3, 25
+#: Minutes of a stretch, of its overlap, lags of the embedding, singular vectors.
+STRETCH, OVERLAP, LAGS, VECTORS = 720, 60, 24, 3
+#: A guard against a series that never settles; what is left by it is marked. Series of the test data settle within some 400.
+ITERATIONS = 5_000
+#: How missing values came to be filled, the best first.
+NOTHING, SETTLED, LINE, UNSETTLED = 0, 1, 2, 3
 
 
-def impute(x: np.ndarray, *, lags: int = LAGS, vectors: int = VECTORS, iterations: int = ITERATIONS, tolerance: float = 1e-3) -> np.ndarray:
-    """x with its NaN replaced; all NaN if it holds no number at all.
+def impute(x: np.ndarray, *, lags: int = LAGS, vectors: int = VECTORS, iterations: int = ITERATIONS, tolerance: float = 1e-3) -> tuple[np.ndarray, int]:
+    """x with its NaN replaced, and how; all NaN if it holds no number at all. A series too short to embed is filled by lines.
 
     Values far from the median of their neighbours don't shape the fill, but stay in the result.
     """
     missing = np.isnan(x)
     n, known = len(x), np.flatnonzero(~missing)
     if not len(known) or not missing.any():
-        return x.copy()
+        return x.copy(), NOTHING
     if len(known) > 8:
         near = np.lib.stride_tricks.sliding_window_view(np.pad(x[known], 3, mode="edge"), 7)
         off = np.abs(x[known] - np.median(near, axis=1))
@@ -40,11 +44,11 @@ def impute(x: np.ndarray, *, lags: int = LAGS, vectors: int = VECTORS, iteration
     use[known] = False
     lags = min(lags, n // 3)
     if lags < 2 or len(known) < 4:
-        return np.where(missing, y, x)
+        return np.where(missing, y, x), LINE
     mean = y[known].mean()
     y = y - mean
     spread = max(y[known].std(), 1e-12)
-    counts = np.convolve(np.ones(lags), np.ones(n - lags + 1))
+    counts, how = np.convolve(np.ones(lags), np.ones(n - lags + 1)), UNSETTLED
     for _ in range(iterations):
         hankel = np.lib.stride_tricks.sliding_window_view(y, lags)
         _, axes = np.linalg.eigh(hankel.T @ hankel)
@@ -55,8 +59,9 @@ def impute(x: np.ndarray, *, lags: int = LAGS, vectors: int = VECTORS, iteration
         moved = np.abs(rebuilt[use] - y[use]).max()
         y[use] = rebuilt[use]
         if moved <= tolerance * spread:
+            how = SETTLED
             break
-    return np.where(missing, y + mean, x)
+    return np.where(missing, y + mean, x), how
 
 
 def _fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,24 +70,28 @@ def _fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(all="ignore"):
             price = np.log(np.where(close > 0, close, np.nan))
             size = np.log1p(np.where(volume >= 0, volume, np.nan))
+        how = np.zeros((2, len(rows)), np.int64)
         for a, b in zip(cuts, cuts[1:]):
-            price[a:b], size[a:b] = impute(price[a:b]), impute(size[a:b])
+            for k, x in enumerate((price, size)):
+                x[a:b], how[k, a:b] = impute(x[a:b])
         out = rows.drop(columns=["cell", "close", "volume", "own"])
         out["close"] = np.where(np.isnan(close), np.exp(price), close)
         out["volume"] = np.where(np.isnan(volume), np.maximum(np.expm1(size), 0.0), volume)
         out["close_filled"] = np.isnan(close) & ~np.isnan(price)
         out["volume_filled"] = np.isnan(volume) & ~np.isnan(size)
+        out["how"] = np.maximum(np.where(out["close_filled"], how[0], NOTHING), np.where(out["volume_filled"], how[1], NOTHING))
         yield out[rows["own"].to_numpy(bool)]
 
 
 def regular_grid(bars: DataFrame, runs: DataFrame, source: list[str]) -> DataFrame:
-    """One row per source and minute of its runs: (source..., minute, close, volume, absent, close_filled, volume_filled).
+    """One row per source and minute of its runs: (source..., minute, close, volume, absent, close_filled, volume_filled, fill).
 
     bars: source, bar_id, timestamp, open, high, low, close, volume, ingested_at; runs: source,
     started_at (inclusive), ended_at (exclusive). A minute is absent if no bar whose four prices
     are all neither null nor NaN is stamped within it; of several such bars the one ingested last
     counts (then the larger bar_id). Its close is filled, and so is a volume that is null or NaN,
-    marked as such; a stretch without a single reading stays null. Runs that repeat or overlap
+    marked as such; fill says how: ssa, line (too few readings to embed) or unsettled (the guard
+    ended it), the less good of both. A stretch without a single reading stays null. Runs that repeat or overlap
     give each minute once; a run whose end isn't after its start, or with a null in its key or
     times, gives none, nor do bars outside every run or with a null key or time. Empty runs give
     an empty result. A column of the source may have any name; further columns are not read.
@@ -117,10 +126,10 @@ def regular_grid(bars: DataFrame, runs: DataFrame, source: list[str]) -> DataFra
     )
     placed = grid.repartition("cell").sortWithinPartitions("cell", "us").drop("minute")
     fields = "".join(f"{k} string, " for k in key)
-    filled = placed.mapInPandas(_fill, f"{fields}us bigint, absent boolean, close double, volume double, close_filled boolean, volume_filled boolean")
+    filled = placed.mapInPandas(_fill, f"{fields}us bigint, absent boolean, close double, volume double, close_filled boolean, volume_filled boolean, how bigint")
     out = filled.select(
         *(F.col(k).alias(c) for k, c in zip(key, source)), F.timestamp_seconds(F.col("us") * 60).alias("minute"),
-        *(_number(c).alias(c) for c in ("close", "volume")), "absent", "close_filled", "volume_filled",
+        *(_number(c).alias(c) for c in ("close", "volume")), "absent", "close_filled", "volume_filled", F.get(F.array(*map(F.lit, (None, "ssa", "line", "unsettled"))), F.col("how").cast("int")).alias("fill"),
     )
     return out
 

@@ -3,7 +3,7 @@ import math
 
 import numpy as np
 
-from tessaro.operators.gridfill import impute, regular_grid
+from tessaro.operators.gridfill import LINE, SETTLED, UNSETTLED, impute, regular_grid
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 BARS = "venue string, product_id string, bar_id bigint, timestamp timestamp, open double, high double, low double, close double, volume double, ingested_at timestamp, minute string, cell int"
@@ -29,12 +29,13 @@ def test_impute_follows_the_series_and_beats_the_line():
     hidden = np.random.default_rng(1).choice(400, 60, replace=False)
     x[hidden] = np.nan
     x[150] = 500.0  # a wild reading doesn't shape the fill
-    y = impute(x)
+    y, how = impute(x)
+    assert how == SETTLED and impute(x, iterations=2)[1] == UNSETTLED
     known = np.flatnonzero(~np.isnan(x))
     line = np.interp(t, known[known != 150], truth[known[known != 150]])
     error = lambda z: np.abs(z[hidden] - truth[hidden]).mean()
     assert error(y) < 0.5 * error(line) and y[150] == 500.0 and not np.isnan(y).any()
-    assert np.isnan(impute(np.full(5, np.nan))).all() and impute(np.array([np.nan, 2.0]))[0] == 2.0
+    assert np.isnan(impute(np.full(5, np.nan))[0]).all() and impute(np.array([np.nan, 2.0]))[0][0] == 2.0 and impute(np.array([np.nan, 2.0]))[1] == LINE
 
 
 def test_absent_minutes_and_the_latest_delivery(spark):
@@ -53,6 +54,7 @@ def test_long_runs_give_each_minute_once(spark):
     rows = grid(spark, bars, [("v", "p", at(0), at(2000), None)])
     assert len(rows) == len({r.minute for r in rows}) == 2000 and sum(r.absent for r in rows) == len([m for m in range(2000) if not m % 11])
     assert max(abs(math.log(r.close) - math.sin(i / 30)) for i, r in enumerate(rows)) < 0.02
+    assert {r.fill for r in rows} == {None, "ssa"} and all((r.fill is None) == (not r.close_filled and not r.volume_filled) for r in rows)
 
 
 def test_nothing(spark):
