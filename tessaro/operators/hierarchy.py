@@ -25,8 +25,8 @@ from pyspark.sql import Window
 
 from ..session import Scratch
 
-#: What one task may finish: arcs or nodes of 40 bytes each.
-LAST = 1 << 18
+#: What one task may finish: arcs or nodes of 40 bytes each. So many rounds are taken before, however few there are.
+LAST, ROUNDS = 1 << 18, 2
 
 
 def _finish_peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,7 +54,7 @@ def _finish_peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def peel(spark: SparkSession, links: DataFrame, scratch: Scratch, last: int = LAST) -> DataFrame:
     """(id, parent) with a parent that is an id: the ids that lie on a cycle."""
     now, rounds = links, 0
-    while (left := now.count()) > last:
+    while (left := now.count()) > last or left and rounds < ROUNDS:
         # One exchange by id brings each node its number of children and, if there is one only, the child.
         as_child = now.select("id", "parent", F.lit(None).cast("bigint").alias("child"), F.lit(0).alias("n"))
         as_parent = now.select(F.col("parent").alias("id"), F.lit(None).cast("bigint").alias("parent"), F.col("id").alias("child"), F.lit(1).alias("n"))
@@ -139,7 +139,7 @@ def rank(spark: SparkSession, arcs: DataFrame, scratch: Scratch, last: int = LAS
     """(arc, end, steps, balance): the last arc of each arc's list and what lies from it to there, both included."""
     now = scratch.keep(arcs.withColumn("steps", F.lit(1).cast("bigint")), "arcs0")
     rounds = 0
-    while now.count() > last:
+    while (left := now.count()) > last or left and rounds < ROUNDS:
         coin = lambda c: F.xxhash64(F.col(c), F.lit(rounds))
         taken = F.col("next").isNotNull() & F.col("prev").isNotNull() & (coin("arc") > coin("next")) & (coin("arc") > coin("prev"))
         marked = now.withColumn("taken", F.coalesce(taken, F.lit(False)))
@@ -167,6 +167,25 @@ def rank(spark: SparkSession, arcs: DataFrame, scratch: Scratch, last: int = LAS
     return done
 
 
+#: A key is hot if more than this fraction of all rows have it (and more than a task may finish).
+SHARE = 1024
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """rows with the facts of their key, null where there are none; facts has one row per key.
+
+    hot holds the facts of hot keys, of which there are at most SHARE, so that it may be broadcast:
+    what a third of all rows refer to isn't exchanged by its key.
+    """
+    columns = [c for c in facts.columns if c != key]
+    known = F.broadcast(hot.select(key, F.struct(*columns).alias("_hot")))
+    first = rows.join(known, key, "left")
+    # Rows that are done already are spread over salts that no facts have.
+    rest = first.withColumn("_salt", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SHARE))).cast("int"))
+    both = rest.join(facts.select(key, F.lit(0).alias("_salt"), F.struct(*columns).alias("_facts")), [key, "_salt"], "left")
+    return both.select(*rows.columns, *(F.coalesce(F.col("_hot")[c], F.col("_facts")[c]).alias(c) for c in columns))
+
+
 def hierarchies(spark: SparkSession, links: DataFrame, node: str, parent: str, *, last: int = LAST) -> DataFrame:
     """One row per distinct non-null node: (node, root_id, depth, tree, entry, leave, looped).
 
@@ -185,7 +204,9 @@ def hierarchies(spark: SparkSession, links: DataFrame, node: str, parent: str, *
     # Dense 64-bit numbers in place of texts from here on; the numbering is written, so it can't change.
     ids = scratch.keep(raw.withColumn("id", F.monotonically_increasing_id()), "ids")
     above = ids.select(F.col("node").alias("up"), F.col("id").alias("parent"))
-    numbered = scratch.keep(ids.join(above, "up", "left").select("id", "parent"), "numbered")
+    many = max(last, ids.count() // SHARE)
+    broods = ids.groupBy("up").agg(F.count("*").alias("_n")).filter(F.col("up").isNotNull() & (F.col("_n") > many)).select("up")
+    numbered = scratch.keep(looked_up(ids, above, above.join(broods, "up", "left_semi"), "up").select("id", "parent"), "numbered")
     looped = peel(spark, numbered.filter("parent IS NOT NULL"), scratch, last).withColumn("on_cycle", F.lit(True))
     opened = numbered.join(looped, "id", "left").select("id", F.when(F.col("on_cycle").isNull(), F.col("parent")).alias("parent"))
     ranked = rank(spark, tours(opened), scratch, last)
@@ -198,7 +219,7 @@ def hierarchies(spark: SparkSession, links: DataFrame, node: str, parent: str, *
     trees = spans.filter("id = root").select("root", F.col("to_end_in").alias("length"))
     names = ids.select(F.col("id").alias("root"), F.col("node").alias("tree"))
     roots = trees.join(names, "root").join(looped.withColumnRenamed("id", "root"), "root", "left")
-    placed = spans.join(roots, "root")
+    placed = looked_up(spans, roots, roots.filter(F.col("length") > 2 * many), "root").filter("length IS NOT NULL")
     named = placed.join(ids.select("id", "node"), "id")
     is_looped = F.coalesce("on_cycle", F.lit(False))
     return named.select(
@@ -207,26 +228,6 @@ def hierarchies(spark: SparkSession, links: DataFrame, node: str, parent: str, *
     )
 
 
-def descendants(of: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
-    """For a stated set of nodes (rows of hierarchies()), every descendant in `nodes`: (node, descendant).
-
-    An interval join on the tree: its size is that of the answer.
-    """
-    y = of.select(F.col(node).alias("y"), "tree", F.col("entry").alias("low"), F.col("leave").alias("high"))
-    x = nodes.select(F.col(node).alias("x"), "tree", "entry")
-    hit = x.join(y, "tree").filter("entry > low AND entry <= high")
-    return hit.select(F.col("y").alias(node), F.col("x").alias("descendant"))
-
-
-def paths(of: DataFrame, nodes: DataFrame, node: str, separator: str = "/") -> DataFrame:
-    """For a stated set of nodes, the path from its root: (node, path). A node on a cycle's tree starts at the cycle's node."""
-    y = of.select(F.col(node).alias("y"), "tree", F.col("entry").alias("at"))
-    x = nodes.select(F.col(node).alias("x"), "tree", "entry", "leave")
-    above = x.join(y, "tree").filter("entry <= at AND at <= leave")
-    steps = above.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("entry", "x"))).alias("s"))
-    return steps.select(F.col("y").alias(node), F.array_join(F.transform("s", lambda s: s["x"]), separator).alias("path"))
-
-
 def lineages(spark: SparkSession, links: DataFrame, of: DataFrame, node: str, parent: str) -> DataFrame:
     """Every (node, ancestor, distance) of hierarchies(spark, links, node, parent) = of, distance 0 being the node itself.
 
@@ -248,3 +249,14 @@ def lineages(spark: SparkSession, links: DataFrame, of: DataFrame, node: str, pa
         k += 1
     own = known.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("bigint").alias("distance"))
     return pairs.unionByName(own).withColumnRenamed("node", node)
+
+
+def paths(steps: DataFrame, node: str) -> DataFrame:
+    """Of lineages(): (node, path), the nodes from the root, or from the cycle's node that it hangs on, down to itself."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "ancestor")))
+    return steps.groupBy(node).agg(F.transform(ordered, lambda s: s["ancestor"]).alias("path"))
+
+
+def descendants(steps: DataFrame, node: str) -> DataFrame:
+    """Of lineages(): (node, descendant, distance), a row for everything below a node."""
+    return steps.filter("distance > 0").select(F.col("ancestor").alias(node), F.col(node).alias("descendant"), "distance")

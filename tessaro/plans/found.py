@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.compaction import compact
 from ..operators.gridfill import regular_grid
-from ..operators.hierarchy import hierarchies, lineages
+from ..operators.hierarchy import descendants, hierarchies, lineages, paths
 from ..operators.spikes import flag_readings
 from ..session import table
 
@@ -39,13 +39,12 @@ def _lineages(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     """Every expression's path from its root, or from the node of a cycle that it hangs on, down to itself."""
-    steps = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "ancestor")))
-    return _lineages(spark, d).groupBy("expr_id").agg(F.transform(steps, lambda s: s["ancestor"]).alias("path"))
+    return paths(_lineages(spark, d), "expr_id")
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every descendant of every expression, and how far below it lies."""
-    return _lineages(spark, d).filter("distance > 0").select(F.col("ancestor").alias("expr_id"), F.col("expr_id").alias("descendant"), "distance")
+    return descendants(_lineages(spark, d), "expr_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +86,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_grid": p6_grid,
 }
 
+# Everything above each expression along first parents; a cycle's own members have nothing above them.
+_ABOVE = """
+        WITH RECURSIVE f AS (SELECT expr_id, arg_min({'p': parents[1]}, line_no).p AS p FROM archive_records GROUP BY expr_id),
+        g AS (SELECT f.expr_id, CASE WHEN f.p IN (SELECT expr_id FROM f) THEN f.p END AS p FROM f),
+        r AS (SELECT expr_id FROM g WHERE p IS NULL UNION ALL SELECT g.expr_id FROM g JOIN r ON g.p = r.expr_id),
+        lost AS (SELECT * FROM g WHERE expr_id NOT IN (SELECT expr_id FROM r)),
+        up AS (SELECT expr_id AS origin, p AS cur, 1 AS n FROM lost UNION SELECT up.origin, lost.p, n + 1 FROM up JOIN lost ON lost.expr_id = up.cur WHERE up.cur <> up.origin AND n <= (SELECT count(*) FROM lost)),
+        looped AS (SELECT DISTINCT origin AS expr_id FROM up WHERE cur = origin),
+        h AS (SELECT expr_id, CASE WHEN expr_id NOT IN (SELECT expr_id FROM looped) THEN p END AS p FROM g),
+        a AS (SELECT expr_id, expr_id AS ancestor, CAST(0 AS BIGINT) AS distance FROM h UNION ALL SELECT a.expr_id, h.p, distance + 1 FROM a JOIN h ON h.expr_id = a.ancestor WHERE h.p IS NOT NULL)"""
 SQL: dict[str, str] = {
+    "p4_paths": _ABOVE + " SELECT expr_id, list(ancestor ORDER BY distance DESC) AS path FROM a GROUP BY 1",
+    "p4_descendants": _ABOVE + " SELECT ancestor AS expr_id, expr_id AS descendant, distance FROM a WHERE distance > 0",
     "p4_found": """
         WITH RECURSIVE f AS (SELECT expr_id, arg_min({'p': parents[1]}, line_no).p AS p FROM archive_records GROUP BY expr_id),
         g AS (SELECT f.expr_id, CASE WHEN f.p IN (SELECT expr_id FROM f) THEN f.p END AS p FROM f),

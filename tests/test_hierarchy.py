@@ -43,9 +43,17 @@ def test_intervals_paths_and_descendants(spark):
     nodes = run(spark, parent).cache()
     by = {r.x: r for r in nodes.collect()}
     assert (by["r"].leave - by["r"].entry + 1) // 2 == 5
-    got = {tuple(r) for r in descendants(nodes.filter("x IN ('r', 'a')"), nodes, "x").collect()}
-    assert got == {("r", "a"), ("r", "b"), ("r", "c"), ("r", "d"), ("a", "b"), ("a", "c")}
-    assert {tuple(r) for r in paths(nodes, nodes, "x").collect()} == {("r", "r"), ("a", "r/a"), ("b", "r/a/b"), ("c", "r/a/c"), ("d", "r/d"), ("s", "s")}
+    steps = lineages(spark, spark.createDataFrame(list(parent.items()), "x string, p string"), nodes, "x", "p").cache()
+    got = {(r.x, r.descendant, r.distance) for r in descendants(steps, "x").collect()}
+    assert got == {("r", "a", 1), ("r", "b", 2), ("r", "c", 2), ("r", "d", 1), ("a", "b", 1), ("a", "c", 1)}
+    assert got == {(y.x, x.x, x.depth - y.depth) for x in by.values() for y in by.values() if x.tree == y.tree and y.entry < x.entry <= y.leave}
+    assert {(r.x, "/".join(r.path)) for r in paths(steps, "x").collect()} == {("r", "r"), ("a", "r/a"), ("b", "r/a/b"), ("c", "r/a/c"), ("d", "r/d"), ("s", "s")}
+
+
+def test_one_parent_of_most_nodes(spark):
+    parent = {"hub": None} | {f"n{i}": "hub" for i in range(3000)} | {f"m{i}": f"n{i}" for i in range(500)}
+    got = {r.x: (r.root_id, r.depth) for r in run(spark, parent, 200).collect()}  # the hub and its tree are hot
+    assert got == {x: ("hub", 0 if x == "hub" else 1 if x[0] == "n" else 2) for x in parent}
 
 
 def test_nulls_repeats_clashing_columns_and_nothing(spark):
