@@ -26,6 +26,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..session import Scratch
 
 LEFT, RIGHT, MARK = 0, 1, 2
+#: The stretch of time of a cell, and how many rows of an entity it may hold.
+CELL_US, CELL_ROWS = 600_000_000, 200_000
 LOG = "kind int, entity string, us bigint, left_id string, right_id bigint, at timestamp"
 OUT = "left_id string, right_id bigint, gap_us bigint"
 
@@ -82,7 +84,7 @@ def match(left: pd.DataFrame, right: pd.DataFrame, tolerance_us: int) -> pd.Data
     return pd.DataFrame({"left_id": left["left_id"].to_numpy(object)[order[rows]], "right_id": got, "gap_us": width})
 
 
-def nearest_in_time(log: DataFrame, tolerance_us: int, *, lateness: str, shards: int = 64, stretch_us: int = 600_000_000) -> DataFrame:
+def nearest_in_time(log: DataFrame, tolerance_us: int, *, lateness: str, shards: int = 64, stretch_us: int = CELL_US) -> DataFrame:
     """Streaming: every left row of the log once, with its nearest right row or null.
 
     log has the columns of LOG; rows later than `lateness` behind the newest are dropped by the
@@ -124,7 +126,7 @@ def nearest_in_time(log: DataFrame, tolerance_us: int, *, lateness: str, shards:
 
 
 def replay_nearest(
-    spark: SparkSession, log: DataFrame, tolerance_us: int, *, rows_per_slice: int | None = None, shards: int | None = None, stretch_us: int = 600_000_000
+    spark: SparkSession, log: DataFrame, tolerance_us: int, *, rows_per_slice: int | None = None, shards: int | None = None, stretch_us: int | None = None
 ) -> DataFrame:
     """The streaming join over a finished log: (left_id, right_id, gap_us), one row per left row.
 
@@ -138,16 +140,22 @@ def replay_nearest(
     rows_per_slice = rows_per_slice or 250_000 * cores
     shards = shards or 4 * max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
     log = scratch.keep(log, "log")
-    n = log.count()
+    # One pass tells the rows of each cell of ten minutes and, of all, the number, the end and the quantiles of time.
+    cells = log.groupBy("entity", F.floor(F.col("us") / CELL_US).alias("cell")).agg(F.count("*").alias("n"))
+    n, hottest = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
     if not n:
         return spark.createDataFrame([], OUT)
+    # A cell isn't split, so where ten minutes of an entity hold more than CELL_ROWS rows, cells are shorter.
+    stretch_us = stretch_us or max(4 * tolerance_us, CELL_US * CELL_ROWS // max(hottest, CELL_ROWS))
     slices = -(-n // rows_per_slice)
     inner = F.percentile_approx("us", F.array(*(F.lit(i / slices) for i in range(1, slices))), 100 * slices) if slices > 1 else F.array().cast("array<bigint>")
     last, cuts = log.agg(F.max("us"), inner).first()
     cuts = sorted({*cuts, last})  # as many as there are slices
-    # One pass lays the rows out by slice; each slice then arrives by a rename, without being read.
+    # The rows are arranged by time first, so that a task writes into the one or two slices that its stretch of time meets:
+    # as many files as cores in a slice, whatever the number of slices. Each slice then arrives by a rename, without being read.
     bounds = [-math.inf, *map(float, cuts[:-1]), math.inf]  # microseconds are exact as doubles
-    numbered = Bucketizer(splits=bounds, inputCol="_us", outputCol="_slice").transform(log.withColumn("_us", F.col("us").cast("double"))) if len(cuts) > 1 else log.withColumn("_slice", F.lit(0))
+    arranged = log.repartitionByRange(len(cuts) * cores, "us") if len(cuts) > 1 else log
+    numbered = Bucketizer(splits=bounds, inputCol="_us", outputCol="_slice").transform(arranged.withColumn("_us", F.col("us").cast("double"))) if len(cuts) > 1 else log.withColumn("_slice", F.lit(0))
     numbered.select(*log.columns, F.col("_slice").cast("int").alias("slice")).write.partitionBy("slice").parquet(scratch.path("sliced"))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     system = hadoop(scratch.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -1,10 +1,14 @@
 import datetime as dt
+import os
 import random
 
 import pytest
 
+from tessaro.llm import neartime
 from tessaro.llm.neartime import nearest_in_time, replay_nearest, tagged
 
+from tessaro.session import Scratch
+
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 L = "venue string, product_id string, ts timestamp, trade_id string, snap_id string"
 R = "venue string, product_id string, ts timestamp, snap_id bigint, kind string"
@@ -28,7 +32,7 @@ def test_rules(spark):
     assert pairs(spark, left, right) == [("", None, None), ("beyond", None, None), ("border", 11, 6), ("edge", 5, 2 * s), ("far", None, None), ("mid", 2**60 + 1, s), ("other", None, None)]
 
 
-def test_against_brute_force_in_slices(spark):
+def test_against_brute_force_in_slices(spark, monkeypatch):
     rng = random.Random(5)
     stamps = rng.sample(range(0, 400_000_000), 900)
     entity = lambda: ("v", "hot") if rng.random() < 0.5 else (rng.choice("vw"), rng.choice("ab"))
@@ -40,6 +44,15 @@ def test_against_brute_force_in_slices(spark):
         ok = near is not None and near[0] <= dt.timedelta(microseconds=1_500_000)
         want.append((i, near[2] if ok else None, near[0] // dt.timedelta(microseconds=1) if ok else None))
     assert pairs(spark, left, right, 1_500_000, rows_per_slice=300, shards=3, stretch_us=5_000_000) == sorted(want)
+    # an entity with too many rows in ten minutes has shorter cells; slices meet few files
+    monkeypatch.setattr(neartime, "CELL_ROWS", 10)
+    kept = []
+    monkeypatch.setattr(neartime, "Scratch", lambda *a: kept.append(Scratch(*a)) or kept[-1])
+    assert pairs(spark, left, right, 1_500_000, rows_per_slice=100, shards=3) == sorted(want)
+    arrived = os.path.join(kept[0].root.removeprefix("file://"), "arrived")
+    files = [f for at, _, names in os.walk(arrived) for f in names if f.endswith(".parquet")]
+    slices = len(os.listdir(arrived)) - 1
+    assert slices >= 9 and len(files) <= slices * (spark.sparkContext.defaultParallelism + 2) + 1
 
 
 def test_nothing_one_side_and_wrong_arguments(spark):
