@@ -11,6 +11,7 @@ those of their size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -59,12 +60,31 @@ def best_fit(counts: np.ndarray) -> list[Filling]:
     return out
 
 
-def fillings(left: np.ndarray, width: int = 4, tries: int = 600) -> list[dict[int, int]]:
-    """Undominated fillings around the largest item, the least waste first, at most `width`.
+class Limits(NamedTuple):
+    """What a search may spend; null is no limit.
+
+    nodes: states of the branch and bound. width: fillings kept around an item. tries: steps to
+    enumerate them. breadth: sizes tried next within a filling. bulk: a filling is used as often
+    as the numbers allow, and not once at a time.
+    """
+
+    nodes: int | None = 4_000
+    width: int | None = 4
+    tries: int | None = 600
+    breadth: int | None = 12
+    bulk: bool = True
+
+
+#: Every undominated filling, one container at a time, to the end: the optimum, whatever it takes.
+EXACT = Limits(None, None, None, None, False)
+
+
+def fillings(left: np.ndarray, limits: Limits = Limits()) -> tuple[list[dict[int, int]], bool]:
+    """Undominated fillings around the largest item, the least waste first, and whether they are all.
 
     A filling to which a further item could be added, or one of whose items could be replaced by
-    a larger one, is dominated. The search goes from large items to small and ends early at a
-    filling without waste.
+    a larger one, is dominated. The search goes from large items to small; with a width it ends
+    early at so many fillings without waste.
     """
     at = np.flatnonzero(left)
     first, cap = int(at[-1]), len(left) - 1
@@ -72,26 +92,34 @@ def fillings(left: np.ndarray, width: int = 4, tries: int = 600) -> list[dict[in
     number[first] -= 1
     sizes = at.tolist()
     found: list[tuple[int, tuple[int, ...]]] = []
-    state = {"tries": tries}
+    tries, whole, full = 0, True, 0
 
     def search(room: int, top: int, chosen: tuple[int, ...]) -> None:
-        if state["tries"] <= 0:
+        nonlocal tries, whole, full
+        if limits.tries is not None and tries >= limits.tries:
+            whole = False
             return
-        state["tries"] -= 1
+        tries += 1
         if not room or number.get(room, 0) > 0 and room <= top:
+            # What fills the room with one item dominates all that fill it with several.
             found.append((0, chosen + ((room,) if room else ())))
+            full += 1
             return
         i = int(np.searchsorted(at, min(room, top), side="right"))
         any_fits, looked = False, 0
-        while i > 0 and looked < 12:
+        while i > 0:
             i -= 1
             s = sizes[i]
             if number[s] > 0:
+                if looked == limits.breadth:
+                    whole = False
+                    return
                 any_fits, looked = True, looked + 1
                 number[s] -= 1
                 search(room - s, s, (*chosen, s))
                 number[s] += 1
-                if sum(f[0] == 0 for f in found) >= width:
+                if limits.width is not None and full >= limits.width:
+                    whole = False
                     return
         if not any_fits:
             found.append((room, chosen))
@@ -106,26 +134,33 @@ def fillings(left: np.ndarray, width: int = 4, tries: int = 600) -> list[dict[in
         if not any(len(chosen) <= len(k) and all(x >= y for x, y in zip(k, chosen)) for k in kept):
             kept.append(chosen)
     result = []
-    for chosen in kept[:width]:
+    for chosen in kept[: limits.width]:
         filling = {first: 1}
         for s in chosen:
             filling[s] = filling.get(s, 0) + 1
         result.append(filling)
-    return result
+    return result, whole and len(result) == len(kept)
 
 
-def bin_completion(counts: np.ndarray, nodes: int = 4_000) -> tuple[list[Filling], int, bool]:
+def bin_completion(counts: np.ndarray, limits: Limits = Limits()) -> tuple[list[Filling], int, bool]:
     """(fillings, lower bound, proven): proven if no packing has fewer containers.
 
-    counts[s] items of size s, the capacity being len(counts) - 1. The search visits at most
-    `nodes` states; its best packing is never worse than best fit.
+    counts[s] items of size s, the capacity being len(counts) - 1. Never worse than best fit; with
+    EXACT always proven, since the search then ends only at the bound or with nothing left to try.
     """
     counts = np.asarray(counts, np.int64)
     need = lower_bound(counts)
     best = best_fit(counts)
     best_n = sum(t for _, t in best)
-    left, used, path, visited, complete = counts.copy(), 0, [], 0, True
-    stack: list[Iterator[dict[int, int]]] = [iter(fillings(left))] if left.any() and best_n > need else []
+    left, used, path, visited, complete = counts.copy(), 0, [], 0, not limits.bulk
+
+    def branch() -> Iterator[dict[int, int]]:
+        nonlocal complete
+        options, whole = fillings(left, limits)
+        complete = complete and whole
+        return iter(options)
+
+    stack: list[Iterator[dict[int, int]]] = [branch()] if left.any() and best_n > need else []
     while stack:
         filling = next(stack[-1], None)
         if filling is None:
@@ -136,11 +171,11 @@ def bin_completion(counts: np.ndarray, nodes: int = 4_000) -> tuple[list[Filling
                 for s, n in undone.items():
                     left[s] += n * times
             continue
-        if visited >= nodes:
+        if visited == limits.nodes:
             complete = False
             break
         visited += 1
-        times = min(int(left[s]) // n for s, n in filling.items())
+        times = min(int(left[s]) // n for s, n in filling.items()) if limits.bulk else 1
         for s, n in filling.items():
             left[s] -= n * times
         used += times
@@ -154,8 +189,8 @@ def bin_completion(counts: np.ndarray, nodes: int = 4_000) -> tuple[list[Filling
         elif used + lower_bound(left) >= best_n:
             stack.append(iter(()))
         else:
-            stack.append(iter(fillings(left)))
-    return best, need, best_n == need
+            stack.append(branch())
+    return best, need, best_n == need or complete
 
 
 def places(packing: list[Filling]) -> list[tuple[int, int, int, int, int]]:
@@ -186,13 +221,14 @@ def token_sizes(documents: DataFrame, vocabulary: bytes, *, key: str = "doc_id",
     return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, n_tokens bigint").withColumnRenamed("key", key)
 
 
-def pack(spark: SparkSession, sizes: DataFrame, capacity: int, *, key: str = "doc_id", size: str = "n_tokens", salts: int = 64, nodes: int = 4_000) -> tuple[DataFrame, dict[str, int]]:
+def pack(spark: SparkSession, sizes: DataFrame, capacity: int, *, key: str = "doc_id", size: str = "n_tokens", salts: int = 64, limits: Limits = Limits()) -> tuple[DataFrame, dict[str, int]]:
     """(key, piece, start, size, container_id) and what the packing comes to.
 
     Items of no size, of null size or without key are left out. An item larger than the capacity,
     and no other, is split, into full containers and a rest that is packed like any item; start
     is where a piece begins. Repeated rows are packed as items of their own. An empty table
-    gives an empty result. Containers are numbered from 0.
+    gives an empty result. Containers are numbered from 0. The summary tells the lower bound of
+    containers and whether the packing is proven to have the fewest; EXACT proves it at any cost.
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
@@ -205,7 +241,7 @@ def pack(spark: SparkSession, sizes: DataFrame, capacity: int, *, key: str = "do
     counts = np.zeros(capacity + 1, np.int64)
     for row in each.groupBy("size").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
         counts[row["size"]] = row["n"]
-    packing, need, proven = bin_completion(counts, nodes)
+    packing, need, proven = bin_completion(counts, limits)
     taken = sum(t for _, t in packing)
     summary = {"containers": taken, "lower_bound": need, "proven": int(proven), "used": int((counts * np.arange(capacity + 1)).sum()), "capacity": capacity}
     where = spark.createDataFrame(places(packing), "size int, first bigint, end bigint, base bigint, per bigint")
@@ -214,6 +250,6 @@ def pack(spark: SparkSession, sizes: DataFrame, capacity: int, *, key: str = "do
     # A size that a third of all items have is ranked in as many parts as there are salts.
     ranked = pieces.withColumn("r", F.row_number().over(Window.partitionBy("size", "salt").orderBy("key", "piece")) - 1)
     ranked = ranked.join(offsets, ["size", "salt"]).withColumn("rank", F.col("r") + F.col("before"))
-    placed = ranked.join(F.broadcast(where), "size").filter("rank >= first AND rank < end")
+    placed = ranked.join(where, "size").filter("rank >= first AND rank < end")
     out = placed.select(F.col("key").alias(key), "piece", "start", F.col("size").cast("bigint").alias("size"), (F.col("base") + F.floor((F.col("rank") - F.col("first")) / F.col("per"))).alias("container_id"))
     return out, summary

@@ -64,6 +64,13 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(spark, sizes, CAPACITY)[0]
 
 
+def p8_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What the packing comes to: containers, their lower bound, whether it is proven to be the best, and the room unused."""
+    sizes = token_sizes(table(spark, d, "documents"), vocabulary_file(VOCABULARY))
+    s = pack(spark, sizes, CAPACITY)[1]
+    return spark.createDataFrame([(s["containers"], s["lower_bound"], bool(s["proven"]), s["containers"] * s["capacity"] - s["used"])], "containers bigint, lower_bound bigint, proven boolean, unused bigint")
+
+
 def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     """Every document with whether it was garbled, its text restored where possible, and the chains that were undone."""
     return restore(spark, table(spark, d, "documents"))
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
     "p8_containers": p8_containers,
+    "p8_summary": p8_summary,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from tessaro.llm.packing import best_fit, bin_completion, fillings, lower_bound, pack
+from tessaro.llm.packing import EXACT, Limits, best_fit, bin_completion, fillings, lower_bound, pack
 
 
 def counts(sizes, capacity):
@@ -54,14 +54,27 @@ def test_search_beats_best_fit_where_it_can():
     assert sum(t for _, t in bin_completion(c)[0]) == lower_bound(c) == 3
     rng = random.Random(2)
     hard = counts([rng.randint(26, 50) for _ in range(300)], 100)
-    assert sum(t for _, t in bin_completion(hard, 500)[0]) < sum(t for _, t in best_fit(hard))
+    assert sum(t for _, t in bin_completion(hard, Limits(nodes=500))[0]) < sum(t for _, t in best_fit(hard))
 
 
 def test_fillings_are_undominated():
     left = counts([7, 3, 2, 2, 1], 10)
-    assert fillings(left)[0] == {7: 1, 3: 1}
-    for a, b in itertools.permutations(fillings(left), 2):
+    assert fillings(left)[0][0] == {7: 1, 3: 1}
+    for a, b in itertools.permutations(fillings(left)[0], 2):
         assert a != b
+    assert fillings(left, EXACT)[1] and not fillings(counts([9, *range(1, 9)] * 3, 30), Limits(breadth=1, width=None))[1]
+
+
+def test_the_exact_way_is_proven(spark):
+    rng = random.Random(7)
+    for _ in range(40):
+        capacity = rng.choice((12, 30, 60))
+        sizes = sorted((rng.randint(capacity // 6, capacity // 2 + 2) for _ in range(rng.randint(3, 9))), reverse=True)
+        packing, _, proven = bin_completion(counts(sizes, capacity), EXACT)
+        assert proven and sum(t for _, t in packing) == optimum(sizes, capacity)
+    df = spark.createDataFrame([(i, s) for i, s in enumerate([6, 6, 6, 4, 4, 3, 3, 3])], "doc_id bigint, n_tokens bigint")
+    out, summary = pack(spark, df, 13, limits=EXACT)
+    assert summary["proven"] and out.select("container_id").distinct().count() == summary["containers"] == 3
 
 
 def test_table(spark):
