@@ -13,19 +13,33 @@ LEVELS = 10
 TAIL, MAX_TRADES, MAX_AGE_H = 600, 5000, 48
 
 
-def levels(side: str, n: int = LEVELS) -> Column:
-    """The first n levels of a side as (px, sz), of those the usable ones: a later level moves up for a dropped one."""
+def _told(side: str, n: int) -> Column:
+    """The first n levels of a side as (px, sz), without those that have a null."""
     cells = F.array(*(F.struct(F.col(f"{side}_px_{i}").alias("px"), F.col(f"{side}_sz_{i}").alias("sz")) for i in range(1, n + 1)))
-    fine = lambda x: x["px"].isNotNull() & x["sz"].isNotNull() & ~F.isnan(x["px"]) & ~F.isnan(x["sz"]) & (x["px"] > 0) & (x["sz"] >= 0)
-    return F.filter(cells, fine)
+    return F.filter(cells, lambda x: x["px"].isNotNull() & x["sz"].isNotNull())
+
+
+def _usable(x: Column) -> Column:
+    return ~F.isnan(x["px"]) & ~F.isnan(x["sz"]) & (x["px"] > 0) & (x["sz"] >= 0)
+
+
+def levels(side: str, n: int = LEVELS) -> Column:
+    """The usable levels of a side; a later one moves up for a dropped one."""
+    return F.filter(_told(side, n), _usable)
+
+
+def best(side: str) -> Column:
+    """The best level of a side; null if there is none or it can't be used."""
+    first = F.get(_told(side, LEVELS), F.lit(0))
+    return F.when(_usable(first), first)
 
 
 def with_levels(book: DataFrame, n: int = LEVELS) -> DataFrame:
-    return book.withColumns({"bids": levels("bid", n), "asks": levels("ask", n)})
+    return book.withColumns({"bids": levels("bid", n), "asks": levels("ask", n), "best_bid": best("bid"), "best_ask": best("ask")})
 
 
 def _top(side: str, field: str) -> Column:
-    return F.get(side, F.lit(0))[field]
+    return F.col({"bids": "best_bid", "asks": "best_ask"}[side])[field]
 
 
 def quotes() -> dict[str, Column]:
@@ -126,7 +140,7 @@ def bundle(book: DataFrame, trades: DataFrame, by: list[str], order: list[str])
     q = quotes()
     values = {"micro_dev_bps": q["deviation_bps"], "queue_imbalance": q["queue_imbalance"], "book_pressure": pressure(), "depth_ratio": depth_ratio(), "spread_bps": q["spread_bps"]}
     shown = [F.round(c, 3).alias(n) for n, c in values.items()]
-    last = book.groupBy(*by).agg(F.max_by(F.struct("bids", "asks"), F.struct(*order)).alias("b")).select(*by, "b.*").select(*by, *shown)
+    last = book.groupBy(*by).agg(F.max_by(F.struct("bids", "asks", "best_bid", "best_ask"), F.struct(*order)).alias("b")).select(*by, "b.*").select(*by, *shown)
     flow = trade_flow(trades, by, order).select(*by, F.round("tfi", 3).alias("tfi"), F.round("accel", 3).alias("flow_accel"), F.round("large_share", 3).alias("large_share"), "intensity")
     impact = kyle_lambda(trades, by, order).select(*by, F.round("kyle_lambda", 4).alias("impact_bps_per_unit"))
     return last.join(flow, by, "left").join(impact, by, "left")

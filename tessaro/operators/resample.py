@@ -60,9 +60,13 @@ def number_bars(bars: DataFrame, span: int = 1 << 20) -> DataFrame:
 
 
 def closed(bars: DataFrame, granularity: str, now: float) -> DataFrame:
-    """Without bars that aren't over at `now` (epoch seconds), and with text columns read as numbers; bad rows drop out."""
+    """Without bars that aren't over at `now` (epoch seconds), and with text columns read as numbers; bad rows drop out.
+
+    ts may be a timestamp, or seconds as a number or a text.
+    """
     names = ("open", "high", "low", "close", "volume")
-    typed = bars.select("product_id", "ts", *(F.col(c).try_cast("double").alias(c) for c in names)).dropna()
+    second = F.unix_micros("ts") / 1e6 if dict(bars.dtypes)["ts"].startswith("timestamp") else F.col("ts").try_cast("double")
+    typed = bars.select("product_id", F.timestamp_micros((second * 1e6).cast("bigint")).alias("ts"), *(F.col(c).try_cast("double").alias(c) for c in names)).dropna()
     return typed.filter(F.unix_micros("ts") / 1e6 + minutes_of(granularity) * 60 <= now)
 
 

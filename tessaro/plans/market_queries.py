@@ -25,11 +25,12 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | N
 
 def _levels_sql(side: str) -> str:
     cells = ", ".join(f"{{'px': {side}_px_{i}, 'sz': {side}_sz_{i}}}" for i in range(1, 11))
-    return f"list_filter([{cells}], lambda x: x.px IS NOT NULL AND x.sz IS NOT NULL AND NOT isnan(x.px) AND NOT isnan(x.sz) AND x.px > 0 AND x.sz >= 0) AS {side}s"
+    told, fine = f"list_filter([{cells}], lambda x: x.px IS NOT NULL AND x.sz IS NOT NULL)", "NOT isnan(x.px) AND NOT isnan(x.sz) AND x.px > 0 AND x.sz >= 0"
+    return f"list_filter({told}, lambda x: {fine}) AS {side}s, list_filter({told}[1:1], lambda x: {fine})[1] AS top_{side}"
 
 
 _LV = f"lv AS (SELECT product_id, venue, ts, seq, {_levels_sql('bid')}, {_levels_sql('ask')} FROM book)"
-_TOPS = "tops AS (SELECT *, bids[1].px AS pb, bids[1].sz AS qb, asks[1].px AS pa, asks[1].sz AS qa FROM lv)"
+_TOPS = "tops AS (SELECT *, top_bid.px AS pb, top_bid.sz AS qb, top_ask.px AS pa, top_ask.sz AS qa FROM lv)"
 _LEVELS = with_(views.BOOK, _LV, _TOPS)
 _Q = {
     "micro": "CASE WHEN pb <= pa AND qb + qa >= 1e-12 THEN (pa * qb + pb * qa) / (qb + qa) END", "mid": "CASE WHEN pb <= pa AND qb + qa >= 1e-12 THEN (pa + pb) / 2 END",

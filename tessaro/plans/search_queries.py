@@ -30,7 +30,7 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | N
 def _search(s: SparkSession, d: str) -> DataFrame:
     """A search over a planted walk; its product is the driver's own, not a table."""
     bars = synthetic.walks(s, [9], 2400, sigma=0.01, phi=-0.12).drop("seed")
-    found = search.run_search(bars, symbol="walk9")
+    found = search.run_search(bars, symbol="walk9", seed=9, kind="planted")
     rows = [(k, r["expr_id"], r["text"], r["family"], r["op"], r["verdict"], json.dumps(r.get("insample")), json.dumps(r.get("holdout"))) for k, r in enumerate(found["records"])]
     return s.createDataFrame(rows, "no int, expr_id string, text string, family string, op string, verdict string, insample string, holdout string")
 

@@ -1,9 +1,11 @@
 import datetime as dt
 import json
+import math
+import statistics
 
 import pytest
 
-from tessaro.operators.search import run_search, split
+from tessaro.operators.resample import closed
 from tessaro.sources import lake, synthetic
 from tessaro.streaming.bars import streamed_bars
 
@@ -37,10 +39,16 @@ def test_logs(spark, tmp_path):
     flat.write_text(json.dumps([{"timestamp": "2024-01-01T00:00:00Z", "symbol": "A", "regime": "trend_up", "confidence": 1}]))
     nested.write_text(json.dumps([{"generated_at": "2024-01-01T00:00:00Z", "decisions": [{"symbol": "A", "regime_decision": "x", "confidence": 0.5}] * 2}]))
     assert lake.decisions(spark, str(flat)).first().regime == "trend_up" and lake.decisions(spark, str(nested)).count() == 2
-    lake.write_archive(str(tmp_path / "a.jsonl"), {"seed": 7}, [{"expr_id": "a", "verdict": "noise"}, {"expr_id": "b", "verdict": "candidate"}])
-    records, meta = lake.archive(spark, str(tmp_path / "a.jsonl"))
-    assert records.count() == 2 and meta == {} or meta == {"seed": 7}
-    assert lake.replayed_differently(records, records.limit(1)).count() == 1
+    path = f"file://{tmp_path}/a.jsonl"
+    assert lake.read_archive(spark, path) == ([], {})
+    told = [{"expr_id": "a", "verdict": "noise", "parents": ["x", "y"], "insample": {"ic": 0.1, "n": 40, "abs_ic": 0.1, "threshold": 0.2}}, {"expr_id": "b", "verdict": "candidate", "generation": 3}]
+    lake.write_archive(spark, path, {"seed": 7, "split": {"n": 3}}, told)
+    records, meta = lake.archive(spark, path)
+    got = records.orderBy("line_no").collect()
+    assert meta == {"seed": 7, "split": {"n": 3}} and [(r.expr_id, r.verdict) for r in got] == [("a", "noise"), ("b", "candidate")]
+    assert got[0].parents == ["x", "y"] and got[0].insample.threshold == 0.2 and got[1].generation == 3
+    assert lake.read_archive(spark, path) == (told, meta)
+    assert [r.expr_id for r in lake.replayed_differently(records, records.filter("expr_id = 'a'")).collect()] == ["b"]
 
 
 def test_walks_are_reproducible(spark):
@@ -48,12 +56,28 @@ def test_walks_are_reproducible(spark):
     assert a == b and len(a) == 100 and all(r.low <= min(r.open, r.close) <= max(r.open, r.close) <= r.high for r in a)
 
 
-def test_search_finds_the_planted_and_is_deterministic(spark):
-    bars = synthetic.walks(spark, [9], 1200, sigma=0.01, phi=-0.3).drop("seed")
-    found = run_search(bars, generations=0)
-    assert {r["family"]: r["verdict"] for r in found["records"]}["reversal"] == "candidate"
-    assert found["holdout"][0]["passes"] and found == run_search(bars, generations=0)
-    assert split(2400).insample_end == 1872
+def test_paths_keep_their_moments():
+    plain, planted = (synthetic.path(5, 20_000, sigma=0.01, phi=phi) for phi in (0.0, -0.3))
+    r = lambda bars: [math.log(b[3] / a[3]) for a, b in zip(bars, bars[1:])]
+    for bars, phi in ((plain, 0.0), (planted, -0.3)):
+        x = r(bars)
+        assert abs(statistics.stdev(x) - 0.01) < 0.0002 and abs(statistics.correlation(x[1:], x[:-1]) - phi) < 0.02
+    with pytest.raises(ValueError):
+        synthetic.path(1, 5, phi=1.0)
+
+
+def test_candles_books_and_prints(spark):
+    rows = sorted(synthetic.candles(spark, ["A", "B"], "1h", 7_200_100.0, limit=5).collect())
+    assert len(rows) == 10 and rows[0].open != rows[5].open and float(rows[4].ts) == 7_200_000.0
+    assert rows[1:5] == synthetic.candles(spark, ["A"], "1h", 7_200_100.0, limit=4).collect()
+    done = closed(synthetic.candles(spark, ["A"], "1h", 7_200_100.0, limit=5), "1h", 7_200_100.0)
+    assert done.count() == 4 and dict(done.dtypes)["close"] == "double"
+    with pytest.raises(ConnectionError):
+        synthetic.candles(spark, ["A"], "1h", 0.0, failing=frozenset("A"))
+    b = synthetic.book(1)
+    assert b["bids"][0][0] == 99.99 and b["asks"][0][0] == 100.01 and b["bids"][9][0] == 99.9 and b == synthetic.book(1)
+    assert len(synthetic.prints(3, 50)) == 50 and {p[2] for p in synthetic.prints(3, 50)} == {"buy", "sell"}
+    assert synthetic.minutes(spark, "A", 1).count() == 1440
 
 
 def test_streamed_bars(spark, tmp_path):
