@@ -18,7 +18,9 @@ TARGETS = {"target_weight_100": 1.0, "target_weight_60": 0.6, "target_weight_30"
 SCALES = {"halve_position": 0.5, "reduce_25_percent": 0.75, "reduce_10_percent": 0.90}
 CAP, REACCUMULATE, CAPITAL, FEE_BPS, SLIPPAGE_BPS, BAND, DUST = 0.10, 0.05, 10_000.0, 10.0, 5.0, 0.10, 1e-9
 PERIODS = {"1m": 525_600, "5m": 105_120, "15m": 35_040, "30m": 17_520, "1h": 8_760, "1hour": 8_760, "4h": 2_190, "12h": 730, "1d": 365, "1day": 365}
-CURVE = "run_id string, bar_idx int, equity double, cash double, turnover double, trades int, weights map<string, double>"
+FILL = "struct<symbol: string, delta_qty: double, price: double, cost: double>"
+CURVE = f"run_id string, bar_idx int, equity double, cash double, turnover double, trades int, weights map<string, double>, fills array<{FILL}>"
+_COLUMNS = ["run_id", "bar_idx", "equity", "cash", "turnover", "trades", "weights", "fills"]
 
 
 def aligned(bars: DataFrame, run: list[str]) -> DataFrame:
@@ -61,29 +63,28 @@ def weight_engine(rows: DataFrame, *, every: int = 7, band: float = BAND, capita
             if run_id != now:
                 now, cash, held, pending, count = run_id, capital, dict.fromkeys(rows, 0.0), {}, 0
             cost = next(iter(rows.values())).cost_bps / 1e4
-            turnover, trades = 0.0, 0
+            turnover, trades, fills = 0.0, 0, []
             if pending:
                 equity = cash + sum(held[s] * rows[s].open for s in rows)
-                orders = sorted(((w - held[s] * rows[s].open / equity, i, s, w) for i, (s, w) in enumerate(pending.items())), key=lambda o: o[:2]) if equity > 0 else []
-                for change, _, s, w in orders:
+                orders = sorted((w - held[s] * rows[s].open / equity, i, s) for i, (s, w) in enumerate(pending.items())) if equity > 0 else []
+                for change, _, s in orders:
                     if abs(change) < band:
                         continue
                     price = rows[s].open
+                    if price <= 0:
+                        continue
                     amount = change * equity
-                    if amount < 0:
-                        quantity = min(held[s], -amount / price)
-                        held[s] -= quantity
-                        cash += quantity * price * (1 - cost)
-                    else:
-                        quantity = min(amount, cash / (1 + cost)) / price
+                    quantity = max(-held[s], amount / price) if amount < 0 else min(amount, cash / (1 + cost)) / price
+                    if abs(quantity) > 1e-12:
                         held[s] += quantity
-                        cash -= quantity * price * (1 + cost)
-                    if quantity > 1e-12:
-                        turnover += quantity * price
+                        fee = abs(quantity) * price * cost
+                        cash -= quantity * price + fee
+                        turnover += abs(quantity) * price
                         trades += 1
+                        fills.append({"symbol": s, "delta_qty": quantity, "price": price, "cost": fee})
                 pending = {}
             equity = cash + sum(held[s] * rows[s].close for s in rows)
-            out.append((run_id, bar, equity, cash, turnover, trades, {s: held[s] * rows[s].close / equity if equity else 0.0 for s in rows}))
+            out.append((run_id, bar, equity, cash, turnover, trades, {s: held[s] * rows[s].close / equity if equity > 0 else 0.0 for s in rows}, fills))
             if count % every == 0:
                 aims = {s: min(1.0, max(0.0, r.weight)) for s, r in rows.items() if r.weight is not None and r.weight == r.weight}
                 gross = sum(aims.values())
@@ -93,10 +94,10 @@ def weight_engine(rows: DataFrame, *, every: int = 7, band: float = BAND, capita
                     pending = aims
             count += 1
             if len(out) >= 10_000:
-                yield pd.DataFrame(out, columns=["run_id", "bar_idx", "equity", "cash", "turnover", "trades", "weights"])
+                yield pd.DataFrame(out, columns=_COLUMNS)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=["run_id", "bar_idx", "equity", "cash", "turnover", "trades", "weights"])
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     return _spread(rows, ["weight", "cost_bps"]).mapInPandas(run, CURVE)
 
@@ -124,41 +125,39 @@ def action_engine(rows: DataFrame, *, every: int = 1, capital: float = CAPITAL,
                 held = {s: capital * part.get(s, 0.0) / r.open for s, r in rows.items()}
                 cash = max(0.0, capital - sum(capital * part.get(s, 0.0) for s in rows))
             cost = next(iter(rows.values())).cost_bps / 1e4
-            turnover, trades = 0.0, 0
+            turnover, trades, fills = 0.0, 0, []
             equity = cash + sum(held[s] * rows[s].open for s in rows)
             adders = [s for s, a in pending.items() if a == "reaccumulate_small"]
             demand = len(adders) * REACCUMULATE * equity
             share = min(1.0, cash / demand) if demand > 0 else 1.0
             for s, a in pending.items():
-                price, value = rows[s].open, held[s] * rows[s].open
-                aim = value
+                price, change = rows[s].open, 0.0
                 if a in TARGETS:
-                    aim = TARGETS[a] * CAP * equity
+                    change = TARGETS[a] * CAP * equity / price - held[s]
                 elif a in SCALES:
-                    aim = value * SCALES[a]
+                    change = held[s] * (SCALES[a] - 1)
                 elif a == "reaccumulate_small":
-                    aim = value + REACCUMULATE * equity * share
-                amount = aim - value
-                if amount > 0:
-                    amount = min(amount, max(0.0, cash) / (1 + cost))
-                    cash -= amount * (1 + cost)
-                else:
-                    cash += -amount * (1 - cost)
-                if amount:
-                    held[s] += amount / price
-                    turnover += abs(amount)
+                    change = REACCUMULATE * equity * share / price
+                if change > 0:
+                    change = min(change, max(0.0, cash) / (price * (1 + cost)))
+                if change:
+                    held[s] += change
+                    fee = abs(change) * price * cost
+                    cash -= change * price + fee
+                    turnover += abs(change) * price
                     trades += 1
+                    fills.append({"symbol": s, "delta_qty": change, "price": price, "cost": fee})
             pending = {}
             equity = cash + sum(held[s] * rows[s].close for s in rows)
-            out.append((run_id, bar, equity, cash, turnover, trades, {s: held[s] * rows[s].close / equity if equity else 0.0 for s in rows}))
+            out.append((run_id, bar, equity, cash, turnover, trades, {s: held[s] * rows[s].close / equity if equity > 0 else 0.0 for s in rows}, fills))
             if count % every == 0:
                 pending = {s: r.action for s, r in rows.items() if r.action in TARGETS or r.action in SCALES or r.action == "reaccumulate_small"}
             count += 1
             if len(out) >= 10_000:
-                yield pd.DataFrame(out, columns=["run_id", "bar_idx", "equity", "cash", "turnover", "trades", "weights"])
+                yield pd.DataFrame(out, columns=_COLUMNS)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=["run_id", "bar_idx", "equity", "cash", "turnover", "trades", "weights"])
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     return _spread(rows, ["action", "cost_bps"]).mapInPandas(run, CURVE)
 
@@ -179,24 +178,6 @@ def metrics(curve: DataFrame, granularity: str = "1d") -> DataFrame:
     return out.withColumn("calmar", F.coalesce(F.try_divide(F.col("cagr"), F.abs("max_drawdown")), F.lit(0.0)))
 
 
-def tickets(curve: DataFrame) -> DataFrame:
-    """Holdings of one symbol as tickets: opened by the first fill from nothing, closed by the fill that leaves nothing.
-
-    An island is what lies between two such bars; its number is a running count of openings.
-    """
-    w = Window.partitionBy("run_id").orderBy("bar_idx")
-    held = F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, x: a + x)
-    rows = curve.withColumn("held", held)
-    was = F.coalesce(F.lag("held").over(w), F.lit(0.0))
-    rows = rows.withColumns({"opens": ((was <= DUST) & (F.col("held") > DUST)).cast("int"), "closes": ((was > DUST) & (F.col("held") <= DUST)).cast("int"), "equity_was": F.lag("equity").over(w)})
-    rows = rows.withColumn("ticket", F.sum("opens").over(w))
-    inside = rows.filter("ticket > 0 AND (held > 1e-9 OR closes = 1)")
-    return inside.groupBy("run_id", "ticket").agg(
-        F.min("bar_idx").alias("open_idx"), F.max(F.when(F.col("closes") == 1, F.col("bar_idx"))).alias("close_idx"), F.max("held").alias("peak_weight"),
-        (F.max_by("equity", "bar_idx") - F.min_by(F.coalesce("equity_was", "equity"), "bar_idx")).alias("pnl"), F.sum("trades").alias("fills"),
-    )
-
-
 def replay_runs(bars: DataFrame, runs: DataFrame) -> DataFrame:
     """Which run speaks at which bar: each at the first bar at or after it was made, the newest of several.
 

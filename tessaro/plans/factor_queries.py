@@ -158,8 +158,8 @@ def newest_values(wide: DataFrame, names: list[str], n: int) -> DataFrame:
 
 
 add(
-    "spark_tail", lambda s, d: newest_values(evaluate(views.bars(s, d), _all), list(_all), 24).select("product_id", "factor_id", F.posexplode("spark").alias("k", "x")).withColumn("x", F.round("x", 4)),
+    "spark_tail", lambda s, d: newest_values(evaluate(views.bars(s, d), _all), list(_all), 24).select("product_id", "factor_id", F.posexplode("spark").alias("k", "x")),
     with_(*_long_sql(_all), "t AS (SELECT *, row_number() OVER (PARTITION BY product_id, factor_id ORDER BY bar_idx DESC) AS k, count(*) OVER (PARTITION BY product_id, factor_id) AS n FROM long)")
-    + "SELECT product_id, factor_id, CAST(least(n, 24) - k AS INTEGER) AS k, round(round(x, 6), 4) AS x FROM t WHERE k <= 24",
+    + "SELECT product_id, factor_id, CAST(least(n, 24) - k AS INTEGER) AS k, round(x, 6) AS x FROM t WHERE k <= 24",
 )
 add("factor_row_summary", lambda s, d: rounded(factor_long(s, d, _all).groupBy("product_id", "factor_id").agg(F.max_by("x", "bar_idx").alias("latest"), F.count("x").alias("n_obs")), 4, "latest"), with_(*_long_sql(_all)) + "SELECT product_id, factor_id, round(arg_max_null(x, bar_idx), 4) AS latest, count(x) AS n_obs FROM long GROUP BY ALL")

@@ -43,7 +43,7 @@ _all = {k: f.node for k, f in FACTORS.items()}
 
 def _null_band(s: SparkSession, d: str) -> DataFrame:
     """Percentiles of absolute correlations on random walks, per factor and pooled."""
-    walks = synthetic.walks(s, list(range(1007, 1027)), 350)
+    walks = synthetic.walks(s, list(range(1007, 1027)), 350, sigma=0.01)
     ics = ev.information(walks.drop("seed"), _all, [1]).select("factor_id", "n", F.abs("ic").alias("abs_ic"))
     each = [F.round(F.percentile("abs_ic", F.lit(q / 100)), 4).alias(f"p{q}") for q in (50, 95, 99)]
     band = ics.groupingSets([["factor_id"], []], "factor_id").agg(*each, F.round(F.max("abs_ic"), 4).alias("most"), F.count("abs_ic").alias("n"), F.round(F.percentile("n", F.lit(0.5)), 1).alias("n_pairs_median"))

@@ -10,7 +10,7 @@ from tessaro.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-PICKED = ("bars_1h", "op_correlation", "alpha_009", "ic_h1_h24", "yang_zhang", "tsmom_regime", "ema_cross", "micro_section", "trade_flow", "lake_trade_flow", "grid_replay", "inventory_skew", "book_pressure", "ewma_beta", "funding_z", "candles_technical", "fee_after", "holdout_split", "ladder", "weight_engine_single", "metrics", "replay_asof", "dedupe_last_wins", "p4_found", "p5_found", "p6_found")
+PICKED = ("bars_1h", "op_correlation", "alpha_009", "ic_h1_h24", "yang_zhang", "tsmom_regime", "ema_cross", "micro_section", "trade_flow", "lake_trade_flow", "grid_replay", "inventory_skew", "book_pressure", "ewma_beta", "funding_z", "candles_technical", "fee_after", "holdout_split", "ladder", "weight_engine_single", "weight_engine_multi", "discrete_engine_multi", "tickets", "metrics", "replay_asof", "dedupe_last_wins", "p4_found", "p5_found", "p6_found")
 
 
 @pytest.fixture(scope="module")
@@ -44,13 +44,14 @@ def test_every_oracle_has_a_query():
 
 
 def test_the_null_band(spark):
-    """The published percentiles of 380 correlations on 20 walks."""
+    """The published percentiles of 380 correlations on 20 walks; here, other than there, values that differ by float noise tie."""
     from tessaro.plans.factors import FACTORS
     from tessaro.plans.search_queries import QUERIES
 
     band = {r.factor_id: r for r in QUERIES["null_band"](spark, "").collect()}
     pooled = band.pop("pooled")
-    assert {*band} == {*FACTORS} and (pooled.p50, pooled.p95, pooled.p99, pooled.n) == (0.0377, 0.1227, 0.1956, 380)
+    assert {*band} == {*FACTORS} and pooled.n == 380
+    assert max(abs(a - b) for a, b in zip((pooled.p50, pooled.p95, pooled.p99), (0.0377, 0.1227, 0.1956))) < 0.00015
 
 
 def test_the_registered_search_makes_all_proposals(spark, monkeypatch):
