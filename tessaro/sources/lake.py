@@ -7,7 +7,11 @@ to learn it. Unfinished writes end in .tmp and are never listed; unreadable file
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import re
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,11 +65,94 @@ def candles(spark: SparkSession, root: str, product_id: str | None = None, granu
     return resample(minutes, granularity)
 
 
-def write(rows: DataFrame, root: str, venue: str, table: str) -> None:
-    """Append rows to a venue's table, one file per day and task; readers never see a part of one."""
+def write(rows: DataFrame, root: str, venue: str, table: str, writer: str = "spark") -> None:
+    """Append rows to a venue's table, one file per hour; readers never see a part of one.
+
+    Files are written aside and take their names, {HH}-{writer}.parquet, by a rename; where a name
+    is taken, the new one sorts after it. As many renames as there are hours.
+    """
     names = [x.split()[0] for x in SCHEMAS[table].split(", ")]
-    dated = rows.withColumn("venue", F.lit(venue)).select(*names, F.col("ts").cast("date").alias("date"))
-    dated.repartition("date").write.mode("append").partitionBy("date").parquet(f"{root}/{venue}/{table}")
+    dated = rows.withColumn("venue", F.lit(venue)).select(*names, F.col("ts").cast("date").alias("date"), F.date_format("ts", "HH").alias("hour"))
+    spark, run = rows.sparkSession, uuid.uuid4().hex[:12]
+    home, aside = f"{root}/{venue}/{table}", f"{root}/{venue}/{table}/_{run}.tmp"
+    dated.repartition("date", "hour").sortWithinPartitions("date", "hour", "ts").write.partitionBy("date", "hour").parquet(aside)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(home).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    taken: dict[str, set[str]] = {}
+    for made in [s.getPath().toString() for s in system.globStatus(path(f"{aside}/date=*/hour=*/*.parquet")) or []]:
+        day, hour = made.split("/")[-3], made.split("/")[-2].removeprefix("hour=")
+        if day not in taken:
+            system.mkdirs(path(f"{home}/{day}"))
+            taken[day] = {s.getPath().getName() for s in system.listStatus(path(f"{home}/{day}"))}
+        name = f"{hour}-{writer}.parquet"
+        if name in taken[day]:
+            name = f"{hour}-{writer}~{time.time_ns():020d}-{run}.parquet"
+        taken[day].add(name)
+        system.rename(path(made), path(f"{home}/{day}/{name}"))
+    system.delete(path(aside), True)
+
+
+def hour_end(path: str) -> int | None:
+    """The second at which the hour a file is named after ends; null for a name that tells none."""
+    found = re.search(r"date=(\d{4}-\d{2}-\d{2})/(\d{1,2})-[^/]*$", path)
+    try:
+        return int(dt.datetime.fromisoformat(f"{found[1]}T{int(found[2]):02d}:00:00+00:00").timestamp()) + 3600 if found else None
+    except ValueError:
+        return None
+
+
+def files_since(spark: SparkSession, folder: str, since: float | None = None, hours: float | None = None) -> list[str]:
+    """A table's finished files whose hour ends after `since`, or no more than so many hours before the newest file's.
+
+    Names alone decide: no file is opened, and days before are not even listed. Files whose name
+    tells no hour are always among them.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    days = sorted((s.getPath().toString() for s in system.globStatus(path(f"{folder}/date=*")) or []), reverse=True)
+    kept: list[str] = []
+    for day in days:
+        files = [s.getPath().toString() for s in system.globStatus(path(f"{day}/*.parquet")) or []]
+        told = {f: hour_end(f) for f in files}
+        if hours is not None and since is None and any(told.values()):
+            since = max(t for t in told.values() if t) - hours * 3600 - 1
+        kept += [f for f, t in told.items() if t is None or since is None or t > since]
+        if since is not None and told and all(t is not None and t <= since for t in told.values()):
+            break
+    return sorted(kept)
+
+
+def read_files(spark: SparkSession, folder: str, table: str, files: list[str]) -> DataFrame:
+    """Rows of some of a table's files, with the file and position they were written at; unreadable files are skipped."""
+    if not files:
+        return spark.createDataFrame([], f"{SCHEMAS[table]}, _file string, _row bigint")
+    rows = spark.read.schema(SCHEMAS[table]).option("ignoreCorruptFiles", True).option("basePath", folder).parquet(*files)
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def book_tail(spark: SparkSession, root: str, n: int = 600, hours: float = 48.0) -> DataFrame:
+    """The newest n snapshots of each product on the venue where its newest one is, the last written of a stamp.
+
+    Only files named after the last hours before each venue's newest file are read.
+    """
+    from ..operators.microstructure import freshest_venue, newest
+
+    parts = []
+    for folder in _venues(spark, root, "book_top10"):
+        rows = read_files(spark, folder, "book_top10", files_since(spark, folder, hours=hours))
+        parts.append(rows.withColumn("venue", F.lit(folder.rstrip("/").split("/")[-2])))
+    if not parts:
+        return spark.createDataFrame([], BOOKS)
+    rows = reduce(DataFrame.unionByName, parts).filter("ts IS NOT NULL AND product_id IS NOT NULL")
+    rows = rows.join(freshest_venue(rows), ["product_id", "venue"], "left_semi")
+    return newest(last_written(rows, ["product_id", "venue", "ts"], ["_file", "_row"]).drop("_file", "_row"), ["product_id"], ["ts"], n)
+
+
+def trade_window(spark: SparkSession, root: str, venue: str, since: float, until: float) -> DataFrame:
+    """A venue's prints from one second to another, both inclusive; files of hours that ended before aren't read."""
+    folder = f"{root}/{venue}/market_trades"
+    rows = read_files(spark, folder, "market_trades", files_since(spark, folder, since=since))
+    return rows.filter(F.col("ts").between(F.timestamp_micros(F.lit(int(since * 1e6))), F.timestamp_micros(F.lit(int(until * 1e6)))))
 
 
 def missing_columns(spark: SparkSession, root: str, table: str) -> DataFrame:

@@ -34,6 +34,32 @@ def test_lake_round_trip(spark, tmp_path):
         lake.candles(spark, root, granularity="7m")
 
 
+def test_files_are_named_after_hours_and_pruned_by_them(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    cells = [f"{side}_{what}_{i}" for side in ("bid", "ask") for what in ("px", "sz") for i in range(1, 11)]
+
+    def snaps(hours, product="p", price=1.0):
+        rows = [(product, T0 + dt.timedelta(hours=h), h, *([price] * 40)) for h in hours]
+        return spark.createDataFrame(rows, "product_id string, ts timestamp, seq bigint, " + ", ".join(f"{c} double" for c in cells))
+
+    lake.write(snaps(range(0, 120, 10)), root, "a", "book_top10", "w")
+    lake.write(snaps([110], price=2.0), root, "a", "book_top10", "w")
+    lake.write(snaps([5, 40], "q"), root, "b", "book_top10", "w")
+    names = sorted(p.name for p in (tmp_path / "a/book_top10").rglob("*.parquet"))
+    assert len(names) == 13 and "14-w.parquet" in names and not list((tmp_path / "a").rglob("*.tmp"))
+    assert lake.hour_end("x/date=2024-01-01/05-w.parquet") == T0.timestamp() + 6 * 3600 and lake.hour_end("x/date=2024-01-01/part-0.parquet") is lake.hour_end("x/05-w.parquet") is None
+    folder = f"{root}/a/book_top10"
+    (tmp_path / "a/book_top10/date=2024-01-01/00-w.parquet").write_bytes(b"never opened")
+    assert [lake.hour_end(f) for f in lake.files_since(spark, folder, hours=48)] == [T0.timestamp() + (h + 1) * 3600 for h in (70, 80, 90, 100, 110, 110)]
+    got = lake.book_tail(spark, root).orderBy("product_id", "ts").collect()
+    assert [(r.product_id, r.venue, r.seq, r.bid_px_1) for r in got] == [("p", "a", h, 2.0 if h == 110 else 1.0) for h in (70, 80, 90, 100, 110)] + [("q", "b", 5, 1.0), ("q", "b", 40, 1.0)]
+    assert lake.book_tail(spark, f"{root}/none").count() == 0
+    prints = spark.createDataFrame([("p", T0 + dt.timedelta(hours=h), f"t{h}", 1.0, 1.0, "BUY") for h in range(6)], "product_id string, ts timestamp, trade_id string, price double, size double, side string")
+    lake.write(prints, root, "a", "market_trades")
+    window = lake.trade_window(spark, root, "a", T0.timestamp() + 7200, T0.timestamp() + 4 * 3600)
+    assert {r.trade_id for r in window.collect()} == {"t2", "t3", "t4"} and len(lake.files_since(spark, f"{root}/a/market_trades", since=T0.timestamp() + 7200)) == 4
+
+
 def test_logs(spark, tmp_path):
     flat, nested = tmp_path / "flat.json", tmp_path / "nested.json"
     flat.write_text(json.dumps([{"timestamp": "2024-01-01T00:00:00Z", "symbol": "A", "regime": "trend_up", "confidence": 1}]))
