@@ -66,13 +66,13 @@ def candles(spark: SparkSession, root: str, product_id: str | None = None, granu
 
 
 def write(rows: DataFrame, root: str, venue: str, table: str, writer: str = "spark") -> None:
-    """Append rows to a venue's table, one file per hour; readers never see a part of one.
+    """Append rows to a venue's table, one file per hour, or per day for candles; readers never see a part of one.
 
     Files are written aside and take their names, {HH}-{writer}.parquet, by a rename; where a name
     is taken, the new one sorts after it. As many renames as there are hours.
     """
     names = [x.split()[0] for x in SCHEMAS[table].split(", ")]
-    dated = rows.withColumn("venue", F.lit(venue)).select(*names, F.col("ts").cast("date").alias("date"), F.date_format("ts", "HH").alias("hour"))
+    dated = rows.withColumn("venue", F.lit(venue)).select(*names, F.col("ts").cast("date").alias("date"), (F.lit("00") if table == "candles_1m" else F.date_format("ts", "HH")).alias("hour"))
     spark, run = rows.sparkSession, uuid.uuid4().hex[:12]
     home, aside = f"{root}/{venue}/{table}", f"{root}/{venue}/{table}/_{run}.tmp"
     dated.repartition("date", "hour").sortWithinPartitions("date", "hour", "ts").write.partitionBy("date", "hour").parquet(aside)
