@@ -87,7 +87,8 @@ def column(node, ref) -> Column:  # noqa: ANN001, C901, PLR0911
     if op == "const":
         return F.lit(float(node[1]))
     if op == "forward":
-        return sln(sdiv(F.lead("close", node[1]).over(along()), F.col("close")))
+        then = F.lead("close", node[1]).over(along())
+        return F.when((F.col("close") > 0) & (then > 0), F.ln(F.try_divide(then, F.col("close"))))
     x = [ref(c) for c in operands(node)]
     p = node[-1]
     if op == "neg":

@@ -75,9 +75,9 @@ def factor_long(spark: SparkSession, d: str, nodes: dict) -> DataFrame:
     return _long(evaluate(views.bars(spark, d), nodes), list(nodes))
 
 
-def _long_sql(nodes: dict, digits: int | None = None) -> list[str]:
-    ctes, last = to_sql("bars", nodes)
-    return [views.bars_sql(), *ctes, "long AS (" + " UNION ALL ".join(f"SELECT product_id, bar_idx, close, '{n}' AS factor_id, {n} AS x FROM {last}" for n in nodes) + ")"]
+def _long_sql(nodes: dict, source: str = "bars", tables: str | None = None) -> list[str]:
+    ctes, last = to_sql(source, nodes)
+    return [tables or views.bars_sql(), *ctes, "long AS (" + " UNION ALL ".join(f"SELECT product_id, bar_idx, close, '{n}' AS factor_id, {n} AS x FROM {last}" for n in nodes) + ")"]
 
 
 add(
@@ -105,9 +105,9 @@ def spearman_sql(source: str, by: str, name: str) -> list[str]:
     ]
 
 
-def _ic_sql(nodes: dict, horizons: tuple[int, ...]) -> str:
-    pairs = " UNION ALL ".join(f"SELECT product_id, factor_id, {h} AS h, x, CASE WHEN close > 0 THEN ln(lead(close, {h}) {W} / close) END AS y FROM long" for h in horizons)
-    return with_(*_long_sql(nodes), f"pairs AS ({pairs})", *spearman_sql("pairs", "product_id, factor_id, h", "s")) + (
+def _ic_sql(nodes: dict, horizons: tuple[int, ...], source: str = "bars", tables: str | None = None) -> str:
+    pairs = " UNION ALL ".join(f"SELECT product_id, factor_id, {h} AS h, x, CASE WHEN close > 0 AND lead(close, {h}) {W} > 0 THEN ln(lead(close, {h}) {W} / close) END AS y FROM long" for h in horizons)
+    return with_(*_long_sql(nodes, source, tables), f"pairs AS ({pairs})", *spearman_sql("pairs", "product_id, factor_id, h", "s")) + (
         "SELECT product_id, factor_id, h, n, n // h AS n_eff, CASE WHEN n >= 30 AND (h <= 1 OR n // h >= 8) THEN round(rho, 4) END AS ic FROM s"
     )
 
@@ -163,3 +163,14 @@ add(
     + "SELECT product_id, factor_id, CAST(least(n, 24) - k AS INTEGER) AS k, round(x, 6) AS x FROM t WHERE k <= 24",
 )
 add("factor_row_summary", lambda s, d: rounded(factor_long(s, d, _all).groupBy("product_id", "factor_id").agg(F.max_by("x", "bar_idx").alias("latest"), F.count("x").alias("n_obs")), 4, "latest"), with_(*_long_sql(_all)) + "SELECT product_id, factor_id, round(arg_max_null(x, bar_idx), 4) AS latest, count(x) AS n_obs FROM long GROUP BY ALL")
+
+# The same on the lake's own bars, with their holes, NaN and corrections.
+add("lake_bars", lambda s, d: views.lake_bars(s, d), with_(views.LAKE_BARS) + "SELECT product_id, bar_idx, ts, open, high, low, close, volume FROM lake_bars")
+_dirty_ops = {n.removeprefix("op_"): node for n, node in OPERATORS.items()}
+_SPREADS = ("correlation", "stddev")  # what cancels out of them takes digits along
+add(
+    "lake_operators", lambda s, d: evaluate(views.lake_bars(s, d), _dirty_ops).select("product_id", "bar_idx", *((F.round(n, 6) if n in _SPREADS else ev.canonical(F.col(n))).alias(n) for n in _dirty_ops)),
+    with_(views.LAKE_BARS, *to_sql("lake_bars", _dirty_ops)[0]) + "SELECT product_id, bar_idx, " + ", ".join(f"{f'round({n}, 6)' if n in _SPREADS else canonical_sql(n)} AS {n}" for n in _dirty_ops) + f" FROM {to_sql('lake_bars', _dirty_ops)[1]}",
+)
+# Without SQL: where a volume is stuck, it is its own mean but for the last bit of a sum, which ranks (a043) tell apart.
+add("lake_ic", lambda s, d: ev.information(views.lake_bars(s, d), _all, [1]))

@@ -22,6 +22,14 @@ def bars(spark: SparkSession, d: str, granularity: str = "1hour") -> DataFrame:
     return number_bars(resample(ticks_to_minutes(ticks(spark, d)), granularity))
 
 
+def lake_bars(spark: SparkSession, d: str) -> DataFrame:
+    """The lake's own minute bars, one product per venue and product: the last delivery of each stamp, holes and all; NaN is a hole."""
+    rows = table(spark, d, "bars").filter("venue IS NOT NULL AND product_id IS NOT NULL AND timestamp IS NOT NULL")
+    x = F.struct(*(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("open", "high", "low", "close", "volume")))
+    kept = rows.groupBy(F.concat_ws("|", "venue", "product_id").alias("product_id"), F.col("timestamp").alias("ts")).agg(F.max_by(x, F.struct("ingested_at", "bar_id")).alias("x"))
+    return number_bars(kept.select("product_id", "ts", "x.*"))
+
+
 def walk(spark: SparkSession, d: str) -> DataFrame:
     """Daily price paths from whole-number returns of line items, one per return flag."""
     day = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("product_id"), F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias("ts")).agg(
@@ -72,6 +80,8 @@ def bars_sql(minutes: int = 60, name: str = "bars") -> str:
     )
 
 
+LAKE_BARS = "lake_kept AS (SELECT venue || '|' || product_id AS product_id, \"timestamp\" AS ts, arg_max({'open': open, 'high': high, 'low': low, 'close': close, 'volume': volume}, (ingested_at, bar_id)) AS x FROM bars WHERE venue IS NOT NULL AND product_id IS NOT NULL AND \"timestamp\" IS NOT NULL GROUP BY ALL), lake_bars AS (SELECT product_id, ts, CAST(row_number() OVER (PARTITION BY product_id ORDER BY ts) - 1 AS INTEGER) AS bar_idx, " + ", ".join(f"CASE WHEN NOT isnan(x.{c}) THEN x.{c} END AS {c}" for c in ("open", "high", "low", "close", "volume")) + " FROM lake_kept)"
+
 WALK = """day AS (
     SELECT l_returnflag AS product_id, date_trunc('day', l_shipdate) AS ts,
            CAST((((sum(l_orderkey * 31 + l_partkey * 17) % 601) + 601) % 601) - 300 AS BIGINT) AS bp, sum(l_quantity) AS volume FROM lineitem GROUP BY ALL),
