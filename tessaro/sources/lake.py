@@ -177,17 +177,23 @@ def missing_columns(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, path: str) -> DataFrame:
-    """A decision log as (ts, symbol, regime, confidence), from flat rows or from documents of runs; a mix is refused."""
-    raw = spark.read.option("multiLine", True).json(path)
-    flat, nested = "timestamp" in raw.columns, "decisions" in raw.columns
-    if flat and nested:
-        raise ValueError("the log mixes flat rows with documents of runs")
-    if nested:
-        rows = raw.select(F.to_timestamp("generated_at").alias("ts"), F.explode("decisions").alias("d"))
-        return rows.select("ts", "d.symbol", F.col("d.regime_decision").alias("regime"), F.col("d.confidence").cast("double").alias("confidence"))
-    return raw.select(F.to_timestamp("timestamp").alias("ts"), "symbol", "regime", F.col("confidence").cast("double").alias("confidence"))
-
-
+    """A decision log as (ts, symbol, regime, confidence, is_run), from flat rows or from documents of runs; a mix is refused."""
+    raw = spark.read.option("multiLine", True).schema(DECISIONS).json(path)
+    flat, nested = (F.count_if(F.col(c).isNotNull()) for c in ("timestamp", "decisions"))
+    n_flat, n_nested, n_bad = raw.agg(flat, nested, F.count_if(F.col("decisions").isNotNull() & F.col("generated_at").try_cast("timestamp").isNull())).first()
+    if n_flat and n_nested or n_bad:
+        raise ValueError("the log mixes flat rows with documents of runs" if n_flat and n_nested else "a run doesn't say when it was made")
+    if n_nested:
+        rows = raw.select(F.col("generated_at").try_cast("timestamp").alias("ts"), F.explode("decisions").alias("d"))
+        out = rows.select("ts", "d.symbol", F.col("d.regime_decision").alias("regime"), F.col("d.confidence").alias("confidence"), F.lit(True).alias("is_run"))
+        if not out.filter("symbol IS NULL OR regime IS NULL OR confidence IS NULL").isEmpty():
+            raise ValueError("a decision of a run needs symbol, regime_decision and confidence")
+        return out
+    return raw.select(F.col("timestamp").try_cast("timestamp").alias("ts"), "symbol", "regime", "confidence", F.lit(False).alias("is_run"))
+
+
+#: Both forms of the log: flat rows, and documents of runs.
+DECISIONS = "timestamp string, symbol string, regime string, confidence double, generated_at string, decisions array<struct<symbol: string, regime_decision: string, confidence: double>>"
 ARCHIVE = (
     "expr_id string, text string, family string, verdict string, insample struct<ic: double, n: bigint, abs_ic: double, threshold: double>, parents array<string>, op string, mode string, generation bigint, "
     "trial_no bigint, n_trials_at_verdict bigint, gates_version string, cleared_null boolean, reason string"
@@ -218,15 +224,19 @@ def _file(spark: SparkSession, path: str):  # noqa: ANN202
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def write_archive(spark: SparkSession, path: str, meta: dict, records: list[dict]) -> None:
-    """One search's archive on whatever file system the path names: meta first, keys sorted."""
-    lines = [json.dumps(row, sort_keys=True) for row in ({"_meta": True, **meta}, *records)]
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A file of the driver's, on whatever file system the path names."""
     fs, at = _file(spark, path)
     stream = fs.create(at, True)
-    stream.write(bytearray("\n".join([*lines, ""]).encode()))
+    stream.write(bytearray(text.encode()))
     stream.close()
 
 
+def write_archive(spark: SparkSession, path: str, meta: dict, records: list[dict]) -> None:
+    """One search's archive: meta first, keys sorted."""
+    write_text(spark, path, "".join(json.dumps(row, sort_keys=True) + "\n" for row in ({"_meta": True, **meta}, *records)))
+
+
 def replayed_differently(records: DataFrame, again: DataFrame) -> DataFrame:
     """expr_ids whose verdict isn't the same in a second run, or that it lacks."""
     other = again.select("expr_id", F.col("verdict").alias("_again"))
