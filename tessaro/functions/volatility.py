@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,10 +91,6 @@ def target_weight(score: Column, sigma: Column, target: float = 0.10) -> Column:
     return F.when(sigma > 0, clip(score * F.try_divide(F.lit(target), sigma), 0.0, 1.0)).when(score.isNotNull(), F.lit(0.0))
 
 
-def _history(lookback: int) -> Window:
-    return along().rowsBetween(-lookback, -1)
-
-
 def label(x: Column, steps: tuple[tuple[float, str], ...], lowest: str) -> Column:
     """The label of the first step that x reaches, from above."""
     out = None
@@ -113,51 +111,58 @@ def funding_label(pct: Column) -> Column:
     return F.when(pct >= 0.95, "extremely_positive").when(pct >= 0.80, "positive").when(pct <= 0.05, "extremely_negative").when(pct <= 0.20, "negative").otherwise("neutral")
 
 
-def _midrank(seen: Column, x: Column) -> Column:
-    """The share of `seen` below x, equals counting half; equal is what differs by 1e-9 of the largest magnitude."""
-    largest = F.aggregate(seen, F.greatest(F.abs(x), F.lit(1e-12)), lambda a, v: F.greatest(a, F.abs(v)))
-    below = F.aggregate(seen, F.lit(0.0), lambda a, v: a + F.when(F.abs(v - x) <= largest * 1e-9, 0.5).when(v < x, 1.0).otherwise(0.0))
-    return F.when(x.isNotNull(), F.coalesce(F.try_divide(below, F.size(seen)), F.lit(0.5)))
-
+def _against_history(x: np.ndarray, lookback: int) -> dict[str, np.ndarray]:
+    """Each value against the `lookback` before it: how many there are, their mean, deviation and median, z, and the midrank.
 
-def _scored(rows: DataFrame, value: str, lookback: int) -> DataFrame:
-    """Adds seen (the values before), samples, z and pct of a column against them."""
-    h = _history(lookback)
-    z = F.when(F.count(value).over(h) >= 2, F.try_divide(F.col(value) - F.avg(value).over(h), F.nullif(F.stddev_samp(value).over(h), F.lit(0.0))))
-    rows = rows.withColumns({"seen": F.collect_list(value).over(h), "z": z})
-    return rows.withColumns({"samples": F.size("seen"), "pct": _midrank(F.col("seen"), F.col(value))})
+    Equal, for the midrank, is what differs by 1e-9 of the largest magnitude. NaN is no value.
+    """
+    seen = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(lookback, np.nan), x]), lookback)[: len(x)]
+    known = ~np.isnan(seen)
+    n = known.sum(axis=1)
+    with np.errstate(all="ignore"), warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # windows without a value
+        mean = np.where(known, seen, 0.0).sum(axis=1) / n
+        sd = np.sqrt(np.where(known, (seen - mean[:, None]) ** 2, 0.0).sum(axis=1) / (n - 1))
+        least, most = np.nanmin(seen, axis=1), np.nanmax(seen, axis=1)
+        sd = np.where(least == most, 0.0, sd)  # equal values have no deviation, however their sum is rounded
+        z = np.where((n >= 2) & (sd > 0), (x - mean) / sd, np.nan)
+        near = 1e-9 * np.fmax(np.fmax(np.abs(x), np.fmax(np.abs(least), np.abs(most))), 1e-12)[:, None]
+        rank = 0.5 * ((seen < x[:, None] - near) | (seen <= x[:, None] + near)).sum(axis=1) + 0.5 * (seen < x[:, None] - near).sum(axis=1)
+        pct = np.where(np.isnan(x), np.nan, np.where(n > 0, rank / n, 0.5))
+        return {"samples": n.astype(float), "mean": mean, "sd": sd, "median": np.nanmedian(seen, axis=1), "z": z, "pct": pct}
 
 
 def momentum_z(bars: DataFrame, h: int, lookback: int = 120, span: int | None = None) -> DataFrame:
     """Adds return_pct, z, pct, samples and label of the h-bar return against those of the `lookback` bars before it."""
 
-    def make(df: DataFrame) -> DataFrame:
-        before = F.lag("close", h).over(along())
-        return _scored(df.withColumn("r", F.when(before > 0, F.col("close") / before - 1)), "r", lookback)
+    def step(first: bool, x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        before = shifted(x["close"], h)
+        with np.errstate(all="ignore"):
+            r = np.where(before > 0, x["close"] / before - 1, np.nan)
+        return {"return_pct": r * 100} | {k: v for k, v in _against_history(r, lookback).items() if k in ("z", "pct", "samples")}
 
-    rows = in_stretches(bars, h + lookback, make, span=span)
-    return rows.withColumns({"return_pct": F.round(F.col("r") * 100, 4), "label": z_label(F.col("z")), "z": F.round("z", 3), "pct": F.round("pct", 3)}).drop("seen", "r")
+    rows = scan(bars, ["close"], ["return_pct", "z", "pct", "samples"], h + lookback, step, span)
+    return rows.withColumns({"label": z_label(F.col("z")), "return_pct": F.round("return_pct", 4), "z": F.round("z", 3), "pct": F.round("pct", 3), "samples": F.col("samples").cast("int")})
 
 
 def volatility_state(bars: DataFrame, window: int = 24, lookback: int = 120, ppy: float = 8760.0, span: int | None = None) -> DataFrame:
     """Adds vol (annualised), median, pct (tolerant midrank among the estimates before), z, vol_of_vol, samples and regime."""
 
-    def make(df: DataFrame) -> DataFrame:
-        w = along().rowsBetween(-(window - 1), 0)
-        df = df.withColumn("lr", sln(sdiv(F.col("close"), F.lag("close", 1).over(along()))))
-        df = df.withColumn("vol", F.when(F.count("lr").over(w) == window, F.stddev_samp("lr").over(w) * ppy**0.5))
-        df = _scored(df, "vol", lookback)
-        return df.withColumn("vol_of_vol", F.coalesce(F.try_divide(F.stddev_samp("vol").over(_history(lookback)), F.avg("vol").over(_history(lookback))), F.lit(0.0)))
-
-    rows = in_stretches(bars, window + lookback, make, span=span)
-    middle = F.sort_array("seen")
-    n = F.size(middle)
-    median = F.when(n > 0, (F.get(middle, F.floor((n - 1) / 2).cast("int")) + F.get(middle, F.floor(n / 2).cast("int"))) / 2)
-    known = F.col("vol").isNotNull()
-    regime = F.when(known, F.when(F.col("samples") == 0, "insufficient_history").otherwise(volatility_label(F.col("pct"))))
-    return rows.withColumns({
-        "median": F.when(known, median), "regime": regime, "pct": F.round("pct", 3), "z": F.round("z", 3), "vol_of_vol": F.when(known, F.round("vol_of_vol", 3)), "samples": F.when(known, F.col("samples")),
-    }).drop("seen", "lr")
+    def step(first: bool, x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        before = shifted(x["close"], 1)
+        with np.errstate(all="ignore"):
+            r = np.where((x["close"] > 0) & (before > 0), np.log(x["close"] / before), np.nan)
+        last = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(window - 1, np.nan), r]), window)
+        vol = np.where(np.isnan(last).any(axis=1), np.nan, last.std(axis=1, ddof=1) * ppy**0.5)
+        h = _against_history(vol, lookback)
+        known = ~np.isnan(vol)
+        with np.errstate(all="ignore"):
+            spread = np.where((h["samples"] >= 2) & (h["mean"] > 0), h["sd"] / h["mean"], 0.0)
+        return {"vol": vol, "pct": h["pct"], "z": h["z"]} | {k: np.where(known, v, np.nan) for k, v in (("median", h["median"]), ("vol_of_vol", spread), ("samples", h["samples"]))}
+
+    rows = scan(bars, ["close"], ["vol", "pct", "z", "median", "vol_of_vol", "samples"], window + lookback, step, span)
+    regime = F.when(F.col("vol").isNotNull(), F.when(F.col("samples") == 0, "insufficient_history").otherwise(volatility_label(F.col("pct"))))
+    return rows.withColumns({"regime": regime, "pct": F.round("pct", 3), "z": F.round("z", 3), "vol_of_vol": F.round("vol_of_vol", 3), "samples": F.col("samples").cast("int")})
 
 
 def funding_summary(rates: DataFrame, by: list[str], order: list[str], intervals: int = 3 * 365) -> DataFrame:
