@@ -63,10 +63,10 @@ def full(x: Column, w: int, value: Column) -> Column:
 
 
 def trailing_rank(x: Column, w: int) -> Column:
-    """Midrank of the current value in its trailing window, in (0, 1]."""
-    seen = F.collect_list(x).over(frame(w))
-    less = F.aggregate(seen, F.lit(0.0), lambda a, v: a + F.when(v < x, 1.0).when(v == x, 0.5).otherwise(0.0))
-    return full(x, w, (less + 0.5) / w)
+    """Midrank of the current value in its trailing window, in (0, 1]: from where it stands in the sorted window, from either end."""
+    seen = F.sort_array(F.collect_list(x).over(frame(w)))
+    less, above = F.array_position(seen, x) - 1, F.array_position(F.reverse(seen), x) - 1
+    return full(x, w, ((less + w - above) / 2 + 0.5) / w)
 
 
 def trailing_correlation(x: Column, y: Column, w: int) -> Column:
