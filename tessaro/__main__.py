@@ -115,7 +115,7 @@ def parser() -> argparse.ArgumentParser:
     sub = out.add_subparsers(dest="command", required=True)
     b, s = sub.add_parser("backtest"), sub.add_parser("search")
     for p in (b, s):
-        p.add_argument("--lake-root", required=True)
+        p.add_argument("--lake-root", default=lake.default_root())
         p.add_argument("--granularity", default="1h")
         p.add_argument("--start")
         p.add_argument("--end")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +42,30 @@ add("search_run", _search)
 _all = {k: f.node for k, f in FACTORS.items()}
 
 
+def null_correlations(s: SparkSession, reseeds: int = 20, bars: int = 350, *, horizon: int = 1, seed0: int = 1000, sigma: float = 0.01) -> DataFrame:
+    """(product_id, factor_id, n, abs_ic) of every factor on seeded random walks; a refused correlation is null."""
+    walks = synthetic.walks(s, list(range(seed0, seed0 + reseeds)), bars, sigma=sigma)
+    return ev.information(walks.drop("seed"), _all, [horizon]).select("product_id", "factor_id", "n", F.abs("ic").alias("abs_ic"))
+
+
+def null_document(s: SparkSession, reseeds: int = 20, bars: int = 350, *, horizon: int = 1, seed0: int = 1000, timeframe: str = "1h") -> dict:
+    """What search.calibrate() takes: percentiles per factor and pooled, and the samples; as many as walks times factors."""
+    if reseeds < 1 or bars < 2 or horizon < 1:
+        raise ValueError("a null document takes a walk of two bars and a horizon")
+    rows = null_correlations(s, reseeds, bars, horizon=horizon, seed0=seed0).collect()
+    r4 = lambda q, xs: round(float(np.percentile(xs, q)), 4) if xs else None
+    each = []
+    for k, f in FACTORS.items():
+        xs, n = [r["abs_ic"] for r in rows if r["factor_id"] == k and r["abs_ic"] is not None], [r["n"] for r in rows if r["factor_id"] == k]
+        each.append({"id": k, "num": f.number, "abs_ic_p50": r4(50, xs), "abs_ic_p95": r4(95, xs), "abs_ic_max": max(xs, default=None), "n": len(xs), "n_pairs_median": r4(50, n)})
+    known = [(r["abs_ic"], r["n"]) for r in sorted(rows) if r["abs_ic"] is not None]
+    pooled = {f"p{q}": r4(q, [ic for ic, _ in known]) for q in (50, 95, 99)} | {"n": len(known)}
+    return {"n_reseeds": reseeds, "bars": bars, "horizon": horizon, "timeframe": timeframe, "alphas": each, "pooled": pooled, "samples": [list(x) for x in known]}
+
+
 def _null_band(s: SparkSession, d: str) -> DataFrame:
     """Percentiles of absolute correlations on random walks, per factor and pooled."""
-    walks = synthetic.walks(s, list(range(1007, 1027)), 350, sigma=0.01)
-    ics = ev.information(walks.drop("seed"), _all, [1]).select("factor_id", "n", F.abs("ic").alias("abs_ic"))
+    ics = null_correlations(s, seed0=1007)
     each = [F.round(F.percentile("abs_ic", F.lit(q / 100)), 4).alias(f"p{q}") for q in (50, 95, 99)]
     band = ics.groupingSets([["factor_id"], []], "factor_id").agg(*each, F.round(F.max("abs_ic"), 4).alias("most"), F.count("abs_ic").alias("n"), F.round(F.percentile("n", F.lit(0.5)), 1).alias("n_pairs_median"))
     return band.withColumn("factor_id", F.coalesce("factor_id", F.lit("pooled")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import re
 import time
 import uuid
@@ -26,6 +27,11 @@ BOOKS = f"{_KEYS}, seq bigint, " + ", ".join(f"{side}_{what}_{i} double" for sid
 SCHEMAS = {"candles_1m": CANDLES, "market_trades": TRADES, "book_top10": BOOKS}
 
 
+def default_root() -> str:
+    """The lake that is meant where none is named: $TESSARO_LAKE_ROOT, else data/lake below the working folder."""
+    return os.environ.get("TESSARO_LAKE_ROOT") or f"file://{os.getcwd()}/data/lake"
+
+
 def _venues(spark: SparkSession, root: str, table: str) -> list[str]:
     """The venues' folders that hold the table; none if the root doesn't exist."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/*/{table}")
