@@ -85,7 +85,26 @@ def _correlations(spark: SparkSession, d: str) -> DataFrame:
     return ev.correlation_matrix(wide, names)
 
 
+def _hourly_sql() -> str:
+    """All hourly series of the board, one row per product, bar and factor."""
+    nodes = {k: f.node for k, f in FACTORS.items()}
+    p = "PARTITION BY product_id ORDER BY bar_idx"
+    hist, v24 = f"OVER ({p} ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)", f"OVER ({p} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"
+    score = lambda x: f"CASE WHEN count({x}) {hist} >= 2 THEN round(({x} - avg({x}) {hist}) / nullif(stddev_samp({x}) {hist}, 0), 3) END"
+    near = "abs(v - vol) <= 1e-9 * greatest(abs(vol), list_max(list_transform(seen, lambda u: abs(u))), 1e-12)"
+    tables = [
+        *_long_sql(nodes), f"rr AS (SELECT *, ln(close / lag(close) OVER ({p})) AS lr, " + ", ".join(f"close / lag(close, {h}) OVER ({p}) - 1 AS r{h}" for h in (6, 24, 72)) + " FROM bars)",
+        f"vv AS (SELECT *, CASE WHEN count(lr) {v24} = 24 THEN stddev_samp(lr) {v24} END AS vol FROM rr)",
+        f"ss AS (SELECT *, coalesce(list_filter(list(vol) {hist}, lambda u: u IS NOT NULL), []) AS seen, {score('vol')} AS vol_z, " + ", ".join(f"{score(f'r{h}')} AS mom_z_{h}" for h in (6, 24, 72)) + " FROM vv)",
+        f"zz AS (SELECT *, CASE WHEN vol IS NULL THEN NULL WHEN len(seen) = 0 THEN 0.5 ELSE round((len(list_filter(seen, lambda v: v < vol AND NOT ({near}))) + 0.5 * len(list_filter(seen, lambda v: {near}))) / len(seen), 3) END AS vol_pct FROM ss)",
+        "every AS (SELECT product_id, bar_idx, factor_id, x FROM long UNION ALL " + " UNION ALL ".join(f"SELECT product_id, bar_idx, '{n}', {n} FROM zz" for n in ("mom_z_6", "mom_z_24", "mom_z_72", "vol_pct", "vol_z")) + ")",
+    ]
+    pairs = "pairs AS (SELECT a.product_id, a.factor_id AS id_i, b.factor_id AS id_j, a.x, b.x AS y FROM every a JOIN every b ON a.product_id = b.product_id AND a.bar_idx = b.bar_idx AND a.factor_id < b.factor_id)"
+    return with_(*tables, pairs, *spearman_sql("pairs", "product_id, id_i, id_j", "s")) + "SELECT product_id, id_i, id_j, n, CASE WHEN n >= 30 THEN round(rho, 4) END AS rho FROM s"
+
+
 QUERIES["board_correlations"] = _correlations
+SQL["board_correlations"] = _hourly_sql()
 
 
 def _flat(spark: SparkSession, d: str) -> DataFrame:

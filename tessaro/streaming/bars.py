@@ -1,4 +1,4 @@
-"""Bars from a stream of prints. Beyond the reference, which has no streams."""
+"""Bars from a stream of prints."""
 
 from __future__ import annotations
 
