@@ -187,6 +187,18 @@ add("tickets", lambda s, d: tickets.tickets(_decided(s, d)).select(*_TICKET, *_M
                CASE WHEN long AND shut THEN l_ts WHEN NOT long THEN lead(CASE WHEN long THEN f_ts END) OVER (PARTITION BY product_id ORDER BY no) END AS close_ts, n AS n_decisions, round(CASE WHEN long THEN f_px ELSE d_px END, 6) AS entry,
                CASE WHEN long AND shut THEN round(l_px, 6) END AS exit, CASE WHEN long THEN round(sz, 6) ELSE 0.0 END AS size, CASE WHEN long AND shut THEN round(cash, 6) END AS pnl, CASE WHEN long THEN round(fees, 6) ELSE 0.0 END AS fees,
                CASE WHEN long THEN round(peak, 6) END AS peak_weight, CASE WHEN long AND shut THEN round(cash / bought, 6) END AS return_on_cost FROM tk""")
+_COSTED = ", ".join(x for c in COSTS for x in single_sql(f"k{c}", "aimed", c / 1e4))
+_COSTED_ALL = " UNION ALL ".join(f"SELECT product_id, CAST({c} AS DOUBLE) AS cost_bps, bar_idx, cash + q * close AS equity, CASE WHEN amount <> 0 THEN 1 ELSE 0 END AS trades FROM k{c}" for c in COSTS)
+
+
+def _costed(s: SparkSession, d: str) -> DataFrame:
+    """The policy's decisions under a grid of whole costs a side."""
+    out = tickets.summary(views.walk(s, d), tickets.views(views.walk(s, d)))
+    return out.select("product_id", F.inline("cost_grid"))
+
+
+add("ticket_cost_grid", _costed, _RISING + ", " + ", ".join(_DECIDED[:3]) + f", {_COSTED}, c AS ({_COSTED_ALL}), r AS (SELECT *, equity / lag(equity) OVER (PARTITION BY product_id, cost_bps ORDER BY bar_idx) - 1 AS r FROM c)"
+    " SELECT product_id, cost_bps, round(arg_max(equity, bar_idx) / arg_min(equity, bar_idx) - 1, 6) AS total_return, round(coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(365), 0), 6) AS sharpe, CAST(sum(trades) AS BIGINT) AS n_trades FROM r GROUP BY ALL")
 add("backtest_summary", lambda s, d: tickets.summary(views.walk(s, d), tickets.views(views.walk(s, d))))
 
 
